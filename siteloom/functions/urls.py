@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siteloom import constants as K
+from siteloom.functions import noise as N
 from siteloom.functions import text as T
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -68,119 +69,115 @@ def has_query(canonical: Column) -> Column:
     return canonical.contains("?")
 
 
-def _merge_segments(segments: Column, absolute: bool) -> Column:
-    """Resolve '', '.' and '..' in a list of path segments."""
+def _parts(u: str) -> str:
+    """Pieces of a URL as a struct; a missing piece is the empty string."""
+    pieces = [f"'{name}', regexp_extract({u}, {N.literal(_SPLIT)}, {i + 1})" for i, name in enumerate("snpq")]
+    return f"named_struct({', '.join(pieces)})"
 
-    def step(acc: Column, seg: Column) -> Column:
-        up = F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        return (
-            F.when((seg == "") | (seg == "."), acc)
-            .when(seg == "..", up.otherwise(acc))
-            .otherwise(F.concat(acc, F.array(seg)))
-        )
 
-    return F.aggregate(segments, F.array().cast("array<string>"), step)
+def _walk(path: str, keep_empty: bool) -> str:
+    """Segments of a path with '.' and '..' resolved, and empty ones if not kept."""
+    skip = "seg = '.'" if keep_empty else "seg in ('', '.')"
+    least = 1 if keep_empty else 0
+    return (
+        f"aggregate(split({path}, '/'), cast(array() as array<string>), (acc, seg) ->"
+        f" case when {skip} then acc"
+        f" when seg = '..' and size(acc) > {least} then slice(acc, 1, greatest(size(acc) - 1, 0))"
+        f" when seg = '..' then acc else concat(acc, array(seg)) end)"
+    )
+
+
+_DOTS = r"/\.{1,2}(?:/|$)"
 
 
-def normal_path(path: Column) -> Column:
+def _normal_path(p: str) -> str:
     """Dot segments and repeated slashes removed; a trailing slash is kept; exactly two
     leading slashes are kept as two, the way POSIX paths are normalised."""
-    lead = F.when(path.rlike("^//(?!/)"), "//").otherwise("/")
-    joined = F.array_join(_merge_segments(F.split(path, "/"), True), "/")
-    body = F.concat(lead, joined)
-    needs_slash = path.endswith("/") & (body != "/")
-    full = F.when(needs_slash, F.concat(body, F.lit("/"))).otherwise(body)
-    plain = ~path.rlike(r"//|/\.{1,2}(?:/|$)")
-    return F.when(path == "", "/").when(plain & path.startswith("/"), path).otherwise(full)
+    lead = f"case when {N.matches(p, '^//(?!/)')} then '//' else '/' end"
+    closed = f"case when endswith({p}, '/') and body <> '/' then concat(body, '/') else body end"
+    rebuilt = N.let(f"concat({lead}, array_join({_walk(p, False)}, '/'))", "body", closed)
+    plain = f"startswith({p}, '/') and not {N.matches(p, '//|' + _DOTS)}"
+    return f"case when {p} = '' then '/' when {plain} then {p} else {rebuilt} end"
+
+
+def _dot_free(p: str) -> str:
+    """Dot segments of a merged reference; empty segments survive until _normal_path."""
+    closing = f"case when {N.matches(p, r'/\.{1,2}$')} then '/' else '' end"
+    rebuilt = f"concat(array_join({_walk(p, True)}, '/'), {closing})"
+    return f"case when {N.matches(p, _DOTS)} then {rebuilt} else {p} end"
 
 
-def _form_decode(s: Column) -> Column:
-    lone_percent = F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(lone_percent), s)
+def _form_decode(s: str) -> str:
+    lone_percent = f"regexp_replace({s}, '%(?![0-9A-Fa-f]{{2}})', '%25')"
+    return f"coalesce(try_url_decode({lone_percent}), {s})"
 
 
-def _form_encode(s: Column) -> Column:
-    return F.replace(F.replace(F.url_encode(s), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+def _form_encode(s: str) -> str:
+    return f"replace(replace(url_encode({s}), '%7E', '~'), '*', '%2A')"
 
 
-def normal_query(query: Column) -> Column:
+def _normal_query(q: str) -> str:
     """Tracking parameters dropped, the rest sorted by name and value and re-encoded.
     Parameters with an empty value are kept, empty pairs are not."""
-    pairs = F.transform(
-        F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(
-            _form_decode(F.substring_index(p, "=", 1)).alias("k"),
-            F.when(p.contains("="), _form_decode(F.regexp_replace(p, "^[^=]*=", "")))
-            .otherwise("")
-            .alias("v"),
-        ),
+    value = _form_decode("substr(x, instr(x, '=') + 1)")
+    pairs = (
+        f"transform(filter(split({q}, '&'), x -> x <> ''), x -> named_struct("
+        f"'k', {_form_decode("substring_index(x, '=', 1)")},"
+        f" 'v', case when contains(x, '=') then {value} else '' end))"
     )
-    kept = F.filter(pairs, lambda p: ~T.equals_any(F.lower(p["k"]), K.TRACKING_PARAMS))
-    encoded = F.transform(
-        F.array_sort(kept),
-        lambda p: F.concat(_form_encode(p["k"]), F.lit("="), _form_encode(p["v"])),
-    )
-    return F.when(query == "", "").otherwise(F.array_join(encoded, "&"))
-
-
-def _dot_free(path: Column) -> Column:
-    """Dot segments of a merged reference; empty segments survive until normal_path."""
-
-    def step(acc: Column, seg: Column) -> Column:
-        up = F.when(F.size(acc) > 1, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        return (
-            F.when(seg == ".", acc)
-            .when(seg == "..", up.otherwise(acc))
-            .otherwise(F.concat(acc, F.array(seg)))
-        )
-
-    merged = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
-    closing = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
-    return F.when(
-        path.rlike(r"/\.{1,2}(?:/|$)"), F.concat(F.array_join(merged, "/"), closing)
-    ).otherwise(path)
-
-
-def resolve(reference: Column, base: Column) -> UrlParts:
-    """Pieces of ``reference`` as seen from the absolute URL ``base``."""
-    r, b = split_url(reference), split_url(base)
-    own_scheme = (r.scheme != "") & (r.scheme != b.scheme)
-    own_netloc = own_scheme | (r.netloc != "") | reference.rlike(_HAS_AUTHORITY)
-    inherits_path = ~own_netloc & (r.path == "")
-    folder = F.when(b.path == "", "/").otherwise(F.regexp_replace(b.path, "[^/]*$", ""))
-    path = (
-        F.when(own_netloc, r.path)
-        .when(r.path == "", b.path)
-        .when(r.path.startswith("/"), _dot_free(r.path))
-        .otherwise(_dot_free(F.concat(folder, r.path)))
-    )
-    return UrlParts(
-        scheme=F.when(r.scheme != "", r.scheme).otherwise(b.scheme),
-        netloc=F.when(own_netloc, r.netloc).otherwise(b.netloc),
-        path=path,
-        query=F.when(inherits_path & (r.query == ""), b.query).otherwise(r.query),
+    kept = f"array_sort(filter({pairs}, x -> not {N.equals_any('lower(x.k)', K.TRACKING_PARAMS)}))"
+    encoded = f"transform({kept}, x -> concat({_form_encode('x.k')}, '=', {_form_encode('x.v')}))"
+    return (
+        f"case when {q} = '' then '' else"
+        f" {N.let(f"array_join({encoded}, '&')", 'z', "case when z = '' then '' else concat('?', z) end")} end"
     )
 
 
-def canonical_url(url: Column, base: Column | None = None) -> Column:
-    """One spelling per page, or null for anything that is not an http(s) page."""
-    raw = T.strip_text(url)
-    p = split_url(raw) if base is None else resolve(raw, base)
-    netloc = F.lower(p.netloc)
+def _assemble(t: str) -> str:
     netloc = (
-        F.when(p.scheme == "http", F.regexp_replace(netloc, ":80$", ""))
-        .when(p.scheme == "https", F.regexp_replace(netloc, ":443$", ""))
-        .otherwise(netloc)
+        f"case {t}.s when 'http' then regexp_replace(lower({t}.n), ':80$', '')"
+        f" else regexp_replace(lower({t}.n), ':443$', '') end"
     )
     # ';params' belong to the last path segment and name no page of their own.
-    path = normal_path(F.regexp_replace(p.path, ";[^/]*$", ""))
-    query = normal_query(p.query)
-    whole = F.concat(
-        p.scheme, F.lit("://"), netloc, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
+    path = N.let(f"regexp_replace({t}.p, ';[^/]*$', '')", "path", _normal_path("path"))
+    return (
+        f"case when {t}.s in ('http', 'https') then"
+        f" concat({t}.s, '://', {netloc}, {path}, {_normal_query(t + '.q')}) end"
     )
-    page = p.scheme.isin("http", "https") & (raw != "")
-    not_page = T.starts_with_any(raw, ["mailto:", "tel:", "javascript:", "#"])
-    return F.when(page & ~not_page, whole)
+
+
+def _resolved(r: str, b: str, u: str) -> str:
+    """Pieces of reference ``r`` (its text is ``u``) as seen from the absolute URL ``b``."""
+    own_scheme = f"(lower({r}.s) <> '' and lower({r}.s) <> lower({b}.s))"
+    own_netloc = f"({own_scheme} or {r}.n <> '' or {N.matches(u, _HAS_AUTHORITY)})"
+    merged = (
+        f"concat(case when {b}.p = '' then '/' else regexp_replace({b}.p, '[^/]*$', '') end, {r}.p)"
+    )
+    path = (
+        f"case when {own_netloc} then {r}.p when {r}.p = '' then {b}.p"
+        f" when startswith({r}.p, '/') then {_dot_free(r + '.p')}"
+        f" else {N.let(merged, 'm', _dot_free('m'))} end"
+    )
+    return (
+        f"named_struct('s', lower(case when {r}.s <> '' then {r}.s else {b}.s end),"
+        f" 'n', case when {own_netloc} then {r}.n else {b}.n end, 'p', {path},"
+        f" 'q', case when not {own_netloc} and {r}.p = '' and {r}.q = '' then {b}.q else {r}.q end)"
+    )
+
+
+def canonical_url(url: str, base: str | None = None) -> Column:
+    """One spelling per page, or null for anything that is not an http(s) page. ``url`` and
+    ``base`` are column names; relative URLs are resolved against an absolute ``base``.
+
+    Every piece is bound once and reused; see links.with_canonical_url for using the result
+    in filters without computing it again."""
+    own = "named_struct('s', lower(r.s), 'n', r.n, 'p', r.p, 'q', r.q)"
+    target = own if base is None else N.let(_parts(base), "b", _resolved("r", "b", "u"))
+    page = N.let(_parts("u"), "r", N.let(target, "t", _assemble("t")))
+    not_page = f"u = '' or {N.starts_with_any('u', ['mailto:', 'tel:', 'javascript:', '#'])}"
+    # Control characters that browsers drop from inside a URL are dropped here too.
+    text = f"regexp_replace({N.strip(url)}, {N.literal(r'[\t\r\n]')}, '')"
+    return F.expr(N.let(text, "u", f"case when {not_page} then null else {page} end"))
 
 
 # --- gates ------------------------------------------------------------------------

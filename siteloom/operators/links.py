@@ -11,6 +11,13 @@ from siteloom.functions import urls as U
 from siteloom.operators.prefix import running_rank
 
 
+def with_canonical_url(df: DataFrame, url: str = "url", base: str | None = None) -> DataFrame:
+    """Add ``canonical_url``. It comes out of a generator, because the optimizer does not
+    move predicates below one: each filter on the result would else resolve the URL anew."""
+    canonical = U.canonical_url(url, base)
+    return df.select(*df.columns, F.explode(F.array(canonical)).alias("canonical_url"))
+
+
 def page_links(parsed: DataFrame) -> DataFrame:
     """One row per ``a[href]`` with its place on the page, text and canonical target.
 
@@ -28,8 +35,7 @@ def page_links(parsed: DataFrame) -> DataFrame:
     )
     kept = [c for c in ("page_id", "site", "url", "depth") if c in parsed.columns]
     rows = parsed.select(*kept, base.alias("base"), F.expr(f"inline({anchors})"))
-    target = U.canonical_url(F.col("href"), F.col("base"))
-    return rows.select(*rows.columns, target.alias("canonical_url")).drop("base")
+    return with_canonical_url(rows, "href", "base").drop("base")
 
 
 def link_graph(links: DataFrame) -> DataFrame:
@@ -41,8 +47,7 @@ def link_graph(links: DataFrame) -> DataFrame:
 
 
 def canonical_pages(pages: DataFrame) -> DataFrame:
-    url = U.canonical_url(F.col("url"))
-    return pages.withColumn("canonical_url", url).withColumn(
+    return with_canonical_url(pages).withColumn(
         "site_key", U.site_key_of(F.col("canonical_url"))
     )
 

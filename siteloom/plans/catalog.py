@@ -93,12 +93,11 @@ def messy_urls(spark, folder):
             )
         ).alias("x"),
     ).select("c_custkey", "x.*")
-    href, base_col = F.col("href"), F.col("base")
     return rows.select(
         "c_custkey",
         "kind",
-        F.when(base_col.isNull(), U.canonical_url(href))
-        .otherwise(U.canonical_url(href, base_col))
+        F.when(F.col("base").isNull(), U.canonical_url("href"))
+        .otherwise(U.canonical_url("href", "base"))
         .alias("canonical_url"),
     )
 

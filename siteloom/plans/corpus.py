@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.functions import urls as U
+from siteloom.operators.links import with_canonical_url
 from siteloom.operators.prefix import running_rank
 from siteloom.sources.tables import table
 
@@ -246,7 +246,7 @@ def shop_links(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("l"),
     ).select("url", F.col("l.ord").cast("bigint").alias("ord"), "l.href", "l.anchor")
     links = from_home.unionByName(from_order).unionByName(from_product)
-    return links.withColumn("canonical_url", U.canonical_url(F.col("href"), F.col("url")))
+    return with_canonical_url(links, "href", "url")
 
 
 def shop_archive(spark: SparkSession, folder: str) -> DataFrame:

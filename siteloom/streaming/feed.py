@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siteloom.functions import urls as U
 from siteloom.operators.extract import extract_pages
+from siteloom.operators.links import with_canonical_url
 from siteloom.operators.profile import build_profiles
 from siteloom.sources.store import merge_table
 
@@ -45,7 +45,7 @@ def extract_feed(pages: DataFrame) -> DataFrame:
 def first_sightings(pages: DataFrame, time: str, horizon: str) -> DataFrame:
     """Drop a canonical URL seen again within the horizon. State is bounded by it."""
     return (
-        pages.withColumn("canonical_url", U.canonical_url(F.col("url")))
+        with_canonical_url(pages)
         .filter("canonical_url is not null")
         .withWatermark(time, horizon)
         .dropDuplicatesWithinWatermark(["canonical_url"])
