@@ -603,8 +603,8 @@ SELECT 'https://shop-' || o_custkey || '.test/orders/' || o_orderkey AS url, {_r
 FROM orders JOIN customer ON o_custkey = c_custkey"""
 ORACLES["politeness"] = """
 WITH r AS (
-  SELECT event_id, user_id, epoch_ms(ts) AS ready,
-    row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) * 43200000 AS step FROM events)
+  SELECT event_id, user_id, epoch_us(ts) // 1000 AS ready,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) * 43200000 AS step FROM events)
 SELECT event_id, 'user-' || user_id || '.test' AS netloc,
   max(ready - step) OVER (PARTITION BY user_id ORDER BY ready, event_id) + step AS start_ms FROM r"""
 

@@ -64,8 +64,9 @@ def retry_reduction(attempts: DataFrame) -> DataFrame:
     """One outcome per URL: the first attempt that ends the matter, or, in a log that was
     cut short, the last attempt there is."""
     log = attempts.filter(F.col("attempt") <= K.MAX_RETRIES + 1)
-    preference = F.when(_is_terminal(), F.struct(F.lit(0), F.col("attempt"))).otherwise(
-        F.struct(F.lit(1), -F.col("attempt"))
+    # Smallest first: whether it is no end, then the earliest end or else the latest attempt.
+    preference = F.struct(
+        ~_is_terminal(), F.when(_is_terminal(), F.col("attempt")).otherwise(-F.col("attempt"))
     )
     return (
         log.select("url", "attempt", _attempt_result().alias("r"), preference.alias("p"))
@@ -148,10 +149,8 @@ def robots_decisions(
     everybody; within it the first rule whose prefix fits. No rule means allowed."""
     agent = user_agent.split("/")[0].lower()
     p = U.split_url(F.col("url"))
-    path = F.concat(
-        F.when(p.path == "", "/").otherwise(T.percent_decode(p.path)),
-        F.when(p.query == "", "").otherwise(F.concat(F.lit("?"), T.percent_decode(p.query))),
-    )
+    query = F.when(p.query == "", "").otherwise(F.concat(F.lit("?"), T.percent_decode(p.query)))
+    path = F.coalesce(F.nullif(F.concat(T.percent_decode(p.path), query), F.lit("")), F.lit("/"))
     named = F.filter(
         "entries",
         lambda e: ~F.array_contains(e["agents"], "*")
@@ -165,10 +164,7 @@ def robots_decisions(
         .join(rules, "host_key", "left")
         .withColumn("rules", entry["rules"])
     )
-    fitting = F.filter(
-        "rules",
-        lambda r: (r["prefix"] == "*") | F.col("robots_path").startswith(r["prefix"]),
-    )
+    fitting = F.filter("rules", lambda r: F.col("robots_path").startswith(r["prefix"]))
     allowed = F.coalesce(F.get(fitting, F.lit(0))["allow"], F.lit(True))
     return decided.withColumn("allowed", allowed).drop(
         "host_key", "robots_path", "entries", "rules"
