@@ -3,12 +3,13 @@
 The rules run inside array functions, once per candidate, and there are many of them.
 Written as SQL a whole rule set reaches the planner in one piece; arguments and results
 are SQL expressions, e.g. ``F.expr(listing_noise("text", "bucket", "company_name"))``.
+Candidates are clean text: trimmed, with single spaces.
 """
 
 from __future__ import annotations
 
 from siteloom import constants as K
-from siteloom.functions.text import WHITESPACE, _any_of
+from siteloom.functions.text import WHITESPACE, WHITESPACE_CHARS, _any_of
 
 
 def literal(pattern: str) -> str:
@@ -38,7 +39,7 @@ def ends_with_any(s: str, needles: list[str]) -> str:
 
 
 def strip(s: str) -> str:
-    return f"regexp_replace({s}, {literal(f'^{WHITESPACE}|{WHITESPACE}$')}, '')"
+    return f"btrim({s}, '{WHITESPACE_CHARS}')"
 
 
 def clean(s: str) -> str:
@@ -104,9 +105,8 @@ def _rules(bucket: str, company_name: str) -> dict[str, str]:
 
 
 def _view(text: str) -> str:
-    t = strip(text)
-    words = f"filter(split(lower({t}), {literal(WHITESPACE)}), w -> w <> '')"
-    return f"named_struct('t', {t}, 'low', lower({t}), 'w', {words})"
+    words = f"filter(split(lower({text}), ' '), w -> w <> '')"
+    return f"named_struct('t', {text}, 'low', lower({text}), 'w', {words})"
 
 
 def listing_noise(text: str, bucket: str, company_name: str) -> str:

@@ -1,13 +1,12 @@
 """URL rules as Column expressions.
 
 ``parse_url`` rejects paths the pipeline must accept (a bare ``|``, a bad ``%zz``), so
-URLs are taken apart with the generic-syntax pattern of RFC 3986, appendix B, and
-relative references are resolved by section 5.2.2 of the same text.
+URLs are taken apart by the generic syntax of RFC 3986, and relative references are
+resolved by section 5.2.2 of the same text.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -18,34 +17,16 @@ from siteloom import constants as K
 from siteloom.functions import noise as N
 from siteloom.functions import text as T
 
-_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 NETLOC_PATTERN = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
-_HAS_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
+_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 
-@dataclass(frozen=True)
-class UrlParts:
-    """Pieces of one URL column. A missing piece is the empty string."""
-
-    scheme: Column
-    netloc: Column
-    path: Column
-    query: Column
-
-
-def split_url(url: Column) -> UrlParts:
-    # Control characters that browsers drop from inside a URL are dropped here too.
-    u = F.regexp_replace(url, r"[\t\r\n]", "")
-    return UrlParts(
-        scheme=F.lower(F.regexp_extract(u, _SPLIT, 1)),
-        netloc=F.regexp_extract(u, _SPLIT, 2),
-        path=F.regexp_extract(u, _SPLIT, 3),
-        query=F.regexp_extract(u, _SPLIT, 4),
-    )
+def url_netloc(url: Column) -> Column:
+    return F.regexp_extract(url, NETLOC_PATTERN, 1)
 
 
 def url_path(url: Column) -> Column:
-    return split_url(url).path
+    return F.regexp_extract(url, _PATH, 1)
 
 
 def site_key(netloc: Column) -> Column:
@@ -54,7 +35,7 @@ def site_key(netloc: Column) -> Column:
 
 
 def site_key_of(url: Column) -> Column:
-    return site_key(split_url(url).netloc)
+    return site_key(url_netloc(url))
 
 
 def is_same_site(url: Column, root_url: Column) -> Column:
@@ -70,9 +51,22 @@ def has_query(canonical: Column) -> Column:
 
 
 def _parts(u: str) -> str:
-    """Pieces of a URL as a struct; a missing piece is the empty string."""
-    pieces = [f"'{name}', regexp_extract({u}, {N.literal(_SPLIT)}, {i + 1})" for i, name in enumerate("snpq")]
-    return f"named_struct({', '.join(pieces)})"
+    """Pieces of a URL as a struct: scheme ``s``, authority ``n`` and whether there is one
+    ``h``, path ``p``, query ``q``. A missing piece is the empty string."""
+    query = "case when contains(f, '?') then substr(f, instr(f, '?') + 1) else '' end"
+    # After the scheme: either an authority up to the next slash, or the path at once.
+    authority = "case when startswith(o.r, '//') then substring_index(substr(o.r, 3), '/', 1) else '' end"
+    path = "case when startswith(o.r, '//') then substr(o.r, 3 + length(a)) else o.r end"
+    struct = (
+        f"named_struct('s', lower(o.s), 'n', a, 'h', startswith(o.r, '//'), 'p', {path}, 'q', {query})"
+    )
+    scheme = N.literal(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
+    opened = (
+        f"named_struct('s', regexp_extract(g, {scheme}, 1),"
+        f" 'r', regexp_replace(g, {scheme}, ''))"
+    )
+    rest = N.let("substring_index(f, '?', 1)", "g", N.let(opened, "o", N.let(authority, "a", struct)))
+    return N.let(f"substring_index({u}, '#', 1)", "f", rest)
 
 
 def _walk(path: str, keep_empty: bool) -> str:
@@ -146,10 +140,9 @@ def _assemble(t: str) -> str:
     )
 
 
-def _resolved(r: str, b: str, u: str) -> str:
-    """Pieces of reference ``r`` (its text is ``u``) as seen from the absolute URL ``b``."""
-    own_scheme = f"(lower({r}.s) <> '' and lower({r}.s) <> lower({b}.s))"
-    own_netloc = f"({own_scheme} or {r}.n <> '' or {N.matches(u, _HAS_AUTHORITY)})"
+def _resolved(r: str, b: str) -> str:
+    """Pieces of reference ``r`` as seen from the absolute URL ``b``."""
+    own_netloc = f"(({r}.s <> '' and {r}.s <> {b}.s) or {r}.h)"
     merged = (
         f"concat(case when {b}.p = '' then '/' else regexp_replace({b}.p, '[^/]*$', '') end, {r}.p)"
     )
@@ -159,7 +152,7 @@ def _resolved(r: str, b: str, u: str) -> str:
         f" else {N.let(merged, 'm', _dot_free('m'))} end"
     )
     return (
-        f"named_struct('s', lower(case when {r}.s <> '' then {r}.s else {b}.s end),"
+        f"named_struct('s', case when {r}.s <> '' then {r}.s else {b}.s end,"
         f" 'n', case when {own_netloc} then {r}.n else {b}.n end, 'p', {path},"
         f" 'q', case when not {own_netloc} and {r}.p = '' and {r}.q = '' then {b}.q else {r}.q end)"
     )
@@ -171,12 +164,13 @@ def canonical_url(url: str, base: str | None = None) -> Column:
 
     Every piece is bound once and reused; see links.with_canonical_url for using the result
     in filters without computing it again."""
-    own = "named_struct('s', lower(r.s), 'n', r.n, 'p', r.p, 'q', r.q)"
-    target = own if base is None else N.let(_parts(base), "b", _resolved("r", "b", "u"))
-    page = N.let(_parts("u"), "r", N.let(target, "t", _assemble("t")))
+    page = _assemble("r")
+    if base is not None:
+        page = N.let(_parts(base), "b", N.let(_resolved("r", "b"), "t", _assemble("t")))
+    page = N.let(_parts("u"), "r", page)
     not_page = f"u = '' or {N.starts_with_any('u', ['mailto:', 'tel:', 'javascript:', '#'])}"
     # Control characters that browsers drop from inside a URL are dropped here too.
-    text = f"regexp_replace({N.strip(url)}, {N.literal(r'[\t\r\n]')}, '')"
+    text = f"translate({N.strip(url)}, '\t\r\n', '')"
     return F.expr(N.let(text, "u", f"case when {not_page} then null else {page} end"))
 
 
@@ -213,7 +207,7 @@ def is_third_party_listing(url: Column) -> Column:
 
 
 def name_from_domain(url: Column) -> Column:
-    host = F.regexp_replace(F.lower(split_url(url).netloc), r"^www\.", "")
+    host = F.regexp_replace(F.lower(url_netloc(url)), r"^www\.", "")
     return F.nullif(T.capitalize(F.substring_index(host, ".", 1)), F.lit(""))
 
 

@@ -148,9 +148,8 @@ def robots_decisions(
     """Add ``allowed``. The first entry naming our agent counts, else the first entry for
     everybody; within it the first rule whose prefix fits. No rule means allowed."""
     agent = user_agent.split("/")[0].lower()
-    p = U.split_url(F.col("url"))
-    query = F.when(p.query == "", "").otherwise(F.concat(F.lit("?"), T.percent_decode(p.query)))
-    path = F.coalesce(F.nullif(F.concat(T.percent_decode(p.path), query), F.lit("")), F.lit("/"))
+    target = T.percent_decode(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^#]*)", 1))
+    path = F.coalesce(F.nullif(target, F.lit("")), F.lit("/"))
     named = F.filter(
         "entries",
         lambda e: ~F.array_contains(e["agents"], "*")
@@ -159,7 +158,7 @@ def robots_decisions(
     default = F.filter("entries", lambda e: F.array_contains(e["agents"], "*"))
     entry = F.coalesce(F.get(named, F.lit(0)), F.get(default, F.lit(0)))
     decided = (
-        urls.withColumn("host_key", F.concat(p.scheme, F.lit("://"), p.netloc))
+        urls.withColumn("host_key", F.regexp_extract("url", r"^([^:/?#]+://[^/?#]*)", 1))
         .withColumn("robots_path", path)
         .join(rules, "host_key", "left")
         .withColumn("rules", entry["rules"])

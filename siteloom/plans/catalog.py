@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from siteloom.plans import corpus
 from siteloom.session import checkpoint_dir, cut_lineage
 from siteloom.sources import store
 from siteloom.sources.html import dom_nodes, outlines
-from siteloom.sources.tables import scan_pages, table
+from siteloom.sources.tables import scan_pages, spread, table
 from siteloom.streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,13 +291,13 @@ def page_emails(spark, folder):
 
 @query
 def document_emails(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", T.emails_in(F.col("text")).alias("e"))
+    rows = spread(table(spark, folder, "documents"), "doc_id").select("doc_id", T.emails_in(F.col("text")).alias("e"))
     return rows.select("doc_id", F.explode("e").alias("email"))
 
 
 @query
 def document_phones(spark, folder):
-    rows = table(spark, folder, "documents").select(
+    rows = spread(table(spark, folder, "documents"), "doc_id").select(
         "doc_id", F.explode(T.phones_in(T.clean_text(F.col("text")))).alias("phone")
     )
     return rows
@@ -355,10 +357,10 @@ def phone_verdicts(spark, folder):
 
 def _candidates(spark, folder) -> DataFrame:
     """Lines of documents, and labels as listings show them, made of the other tables."""
-    documents = table(spark, folder, "documents").select(
+    documents = spread(table(spark, folder, "documents"), "doc_id").select(
         F.explode(F.split("text", "\n")).alias("text"), F.col("lang").alias("bucket")
     )
-    orders = table(spark, folder, "orders").select(
+    orders = spread(table(spark, folder, "orders"), "o_orderkey").select(
         F.explode(
             F.array(
                 F.date_format("o_orderdate", "dd/MM/yyyy"),
@@ -407,12 +409,11 @@ def _candidates(spark, folder) -> DataFrame:
 def noise_audit(spark, folder):
     """How many candidates each noise rule rejects, and how many any rule does."""
     flags = _candidates(spark, folder).select(
-        F.expr(N.noise_flags("text", "bucket", "company_name")).alias("r"),
-        F.expr(N.listing_noise("text", "bucket", "company_name")).alias("any_rule"),
+        F.expr(N.noise_flags("text", "bucket", "company_name")).alias("r")
     )
     counted = flags.agg(
         F.count("*").alias("candidates"),
-        F.count_if("any_rule").alias("any_rule"),
+        F.count_if(reduce(or_, [F.col(f"r.{name}") for name in N.RULE_NAMES])).alias("any_rule"),
         *[F.count_if(F.col(f"r.{name}")).alias(name) for name in N.RULE_NAMES],
     )
     names = ["candidates", "any_rule", *N.RULE_NAMES]
@@ -433,7 +434,7 @@ def _document_page(wrap_open: str, line_open: str, line_close: str, wrap_close:
 @query
 def heading_items(spark, folder):
     """Documents as pages with one heading per line."""
-    pages = table(spark, folder, "documents").select(
+    pages = spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").alias("page_id"),
         F.lit("Images").alias("name"),
         _document_page("<html><body><nav><h2>Menu</h2></nav><main>", "<h2>", "</h2>", "</main>").alias("html"),
@@ -445,7 +446,7 @@ def heading_items(spark, folder):
 @query
 def card_items(spark, folder):
     """Documents as pages with one card per line, read as a product listing."""
-    pages = table(spark, folder, "documents").select(
+    pages = spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").alias("page_id"),
         F.lit("products").alias("bucket"),
         F.lit("Images").alias("name"),
@@ -595,7 +596,7 @@ def crawl_replay(spark, folder):
     """Best-first replay of all shops at once, one page per shop and round."""
     fetched, _ = frontier.crawl(
         corpus.shop_sites(spark, folder),
-        corpus.shop_archive(spark, folder),
+        cut_lineage(corpus.shop_archive(spark, folder)),
         cut_lineage(corpus.shop_links(spark, folder)),
         max_pages=3,
     )
@@ -610,7 +611,7 @@ def crawl_stops(spark, folder):
     """Why a crawl in one round of up to ten pages ended."""
     fetched, rows = frontier.crawl(
         corpus.shop_sites(spark, folder),
-        corpus.shop_archive(spark, folder),
+        cut_lineage(corpus.shop_archive(spark, folder)),
         cut_lineage(corpus.shop_links(spark, folder).filter("anchor like 'Order%'")),
         max_pages=10,
         k=9,
@@ -622,7 +623,9 @@ def crawl_stops(spark, folder):
 
 @query
 def site_reach(spark, folder):
-    edges = links.link_graph(corpus.shop_links(spark, folder))
+    edges = cut_lineage(
+        links.link_graph(corpus.shop_links(spark, folder)).select("url", "canonical_url")
+    )
     seeds = corpus.shop_sites(spark, folder).select("site", F.col("start_url").alias("url"))
     return (
         frontier.site_reach(seeds, edges)

@@ -162,7 +162,7 @@ def supplier_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
     far = 10**12
     pages = [
-        _page(signals, "", F.lit(0), 0, HOME.replace("p{css}", "p{css}")),
+        _page(signals, "", F.lit(0), 0, HOME),
         _page(suppliers, "about-us", F.lit(1), 1, ABOUT),
         _page(signals, "contact", F.lit(2), 1, CONTACT),
         _page(industries, "solutions/industry/{lower(p_type)}-goods",
@@ -174,7 +174,8 @@ def supplier_pages(spark: SparkSession, folder: str) -> DataFrame:
     out = pages[0]
     for p in pages[1:]:
         out = out.unionByName(p)
-    return out
+    # The rows are few bytes each until here, and parsing is not: keep all cores busy.
+    return out.repartition(spark.sparkContext.defaultParallelism * 2, "page_id")
 
 
 # --- shops: a link graph over customers, orders and lines -----------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Call sites per expression cost more than the expressions; turn on when debugging.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -38,13 +41,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="siteloom-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared)
     return shared
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows out and go on from the copy, so that a lost executor costs one
-    round at most and plans of iterative jobs stay short."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows out and go on from the copy, so that a lost executor costs one round
+    at most and plans of iterative jobs stay short.
+
+    The copy is a Parquet table in the shared folder: its size is known, so joins with it
+    are broadcast exactly when that is small, and only the columns in use are read back."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a plain scan whose rows are costly to work on. A scan of
+    many splits, as any large table has, is left as it is and not shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, url, html`` with bodies over the size cap rejected before any parsing."""
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
-    return pages.filter(F.octet_length("html") <= K.MAX_PAGE_BYTES)
+    return spread(pages.filter(F.octet_length("html") <= K.MAX_PAGE_BYTES), "page_id")
