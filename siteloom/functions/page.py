@@ -29,26 +29,34 @@ def elements(condition: str, var: str = "e") -> str:
     return f"filter(elems, {var} -> not {var}.in_script and ({condition}))"
 
 
-def _strings(e: str, keep: str, separator: str = " ") -> str:
-    inside = f"slice(texts, {e}.t0 + 1, {e}.t1 - {e}.t0)"
-    return f"array_join(transform(filter({inside}, x -> {keep}), x -> x.s), '{separator}')"
+def _inside(e: str) -> str:
+    return f"slice(texts, {e}.t0 + 1, {e}.t1 - {e}.t0)"
+
+
+def _clean_join(strings: str, keep: str) -> str:
+    """Clean text of those strings that are to be kept; each is clean by itself already."""
+    return f"nullif(array_join(transform(filter({strings}, x -> {keep}), x -> coalesce(x.c, x.s)), ' '), '')"
 
 
 def full_text(e: str) -> str:
-    return clean(_strings(e, PLAIN))
+    return _clean_join(_inside(e), PLAIN)
 
 
 def main_text(e: str) -> str:
-    return clean(_strings(e, MAIN))
+    return _clean_join(_inside(e), MAIN)
 
 
 def listing_text(e: str) -> str:
-    return clean(_strings(e, LISTING))
+    return _clean_join(_inside(e), LISTING)
+
+
+def _glued(e: str) -> str:
+    return f"array_join(transform(filter({_inside(e)}, x -> x.kind = 'text'), x -> x.s), '')"
 
 
 def anchor_text(e: str) -> str:
     """Strings joined without a separator, white space inside them untouched."""
-    return _strings(e, "x.kind = 'text'", "")
+    return _glued(e)
 
 
 # --- whole page -------------------------------------------------------------------
@@ -56,19 +64,15 @@ def anchor_text(e: str) -> str:
 
 def title() -> str:
     first = f"get({elements("e.tag = 'title'")}, 0)"
-    return let(first, "t", clean(_strings("t", "x.kind = 'text'", "")))
+    return let(first, "t", clean(_glued("t")))
 
 
 def h1() -> str:
     return let(f"get({elements("e.tag = 'h1'")}, 0)", "t", full_text("t"))
 
 
-def _all_plain() -> str:
-    return f"array_join(transform(filter(texts, x -> {PLAIN}), x -> x.s), ' ')"
-
-
 def visible_text() -> str:
-    return clean(_all_plain())
+    return _clean_join("texts", PLAIN)
 
 
 def is_js_shell() -> str:
@@ -81,7 +85,8 @@ def is_js_shell() -> str:
         f"case when n >= {K.THIN_TEXT_CHARS} then false"
         f" else n < {K.EMPTY_SHELL_CHARS} or {mount} end"
     )
-    return f"(has_body and {let(f'length({_all_plain()})', 'n', verdict)})"
+    uncleaned = f"length(array_join(transform(filter(texts, x -> {PLAIN}), x -> x.s), ' '))"
+    return f"(has_body and {let(uncleaned, 'n', verdict)})"
 
 
 def _meta(attribute: str, value: str) -> str:
@@ -195,11 +200,18 @@ def address_candidates() -> str:
     )
 
 
+# Every office keyword holds one of these.
+OFFICE_STEMS = ["office", "address", "headquarters", "principal place"]
+
+
 def office_addresses() -> str:
     """Struct of ``hq`` and ``other``: the blocks around an explicit office label."""
+    # Plain searches for a common part rule out nearly all text before the pattern is tried.
+    stems = " or ".join(f"contains(l, '{stem}')" for stem in OFFICE_STEMS)
+    keywords = N.contains_any("l", K.HQ_OFFICE_KEYWORDS + K.OTHER_OFFICE_KEYWORDS)
     labels = (
         "filter(texts, t -> not t.in_script and t.kind <> 'raw' and t.parent >= 0 and "
-        f"{N.contains_any('lower(t.s)', K.HQ_OFFICE_KEYWORDS + K.OTHER_OFFICE_KEYWORDS)})"
+        f"{let('lower(t.s)', 'l', f'({stems}) and {keywords}')})"
     )
     low, high = K.ADDRESS_LENGTH
     block = let("get(elems, t.parent)", "u", full_text("u"))

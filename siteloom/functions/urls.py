@@ -50,6 +50,12 @@ def has_query(canonical: Column) -> Column:
     return canonical.contains("?")
 
 
+_PLAIN_HOST = r"^https?://[a-z0-9.\-]+"
+# Printable ASCII without ? # and ;, no dot segments, no empty segments.
+_PLAIN_PATH = r"^(?!.*/[/.])/[!-\"$-:<->@-~]*$"
+_CANONICAL = _PLAIN_HOST + r"(?!.*/[/.])/[!-\"$-:<->@-~]*$"
+
+
 def _parts(u: str) -> str:
     """Pieces of a URL as a struct: scheme ``s``, authority ``n`` and whether there is one
     ``h``, path ``p``, query ``q``. A missing piece is the empty string."""
@@ -171,7 +177,15 @@ def canonical_url(url: str, base: str | None = None) -> Column:
     not_page = f"u = '' or {N.starts_with_any('u', ['mailto:', 'tel:', 'javascript:', '#'])}"
     # Control characters that browsers drop from inside a URL are dropped here too.
     text = f"translate({N.strip(url)}, '\t\r\n', '')"
-    return F.expr(N.let(text, "u", f"case when {not_page} then null else {page} end"))
+    slow = N.let(text, "u", f"case when {not_page} then null else {page} end")
+    # Most URLs are canonical but for a fragment, or are plain paths seen from a plain host.
+    quick = f"when {N.matches('d', _CANONICAL)} then d"
+    if base is not None:
+        quick += (
+            f" when {N.matches('d', _PLAIN_PATH)} and {N.matches(base, _PLAIN_HOST + '(?:[/?#]|$)')}"
+            f" then concat(regexp_extract({base}, {N.literal(_PLAIN_HOST)}, 0), d)"
+        )
+    return F.expr(N.let(f"substring_index({url}, '#', 1)", "d", f"case {quick} else {slow} end"))
 
 
 # --- gates ------------------------------------------------------------------------

@@ -842,7 +842,9 @@ def stored_tables(spark, folder):
 def feed_extract(spark, folder):
     """Page files as a stream, fields appended; equal to the batch result."""
     out = _scratch(spark, "feed")
-    pages = feed.page_feed(spark, folder, "pages.parquet")
+    # One small file makes one split; spread it, as a feed of many files is by itself.
+    cores = spark.sparkContext.defaultParallelism
+    pages = feed.page_feed(spark, folder, "pages.parquet").repartition(cores, "page_id")
     fields = feed.extract_feed(pages).select(
         "page_id", "title", "page_type", "company_name_guess",
         _long("visible_chars").alias("visible_chars"), _joined("emails"),

@@ -13,9 +13,10 @@ any body is put into a paragraph, and the end of input closes what is left.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -60,7 +61,8 @@ ELEMENT = T.StructType(
 TEXT = T.StructType(
     [
         T.StructField("parent", T.IntegerType(), False),
-        T.StructField("s", T.StringType(), False),
+        T.StructField("s", T.StringType(), False),  # trimmed
+        T.StructField("c", T.StringType(), True),  # with single spaces, if that differs
         T.StructField("kind", T.StringType(), False),  # text | comment | raw
         T.StructField("in_script", T.BooleanType(), False),
         T.StructField("in_chrome", T.BooleanType(), False),
@@ -145,6 +147,8 @@ _OUTSIDE = _Open(-1, None, False, False, False, False)
 
 
 def _is_chrome(tag: str, classes: list[str], elem_id: str | None) -> bool:
+    if not classes and not elem_id:
+        return tag in CHROME_TAGS
     joined = " ".join(classes)
     return (
         tag in CHROME_TAGS
@@ -153,13 +157,28 @@ def _is_chrome(tag: str, classes: list[str], elem_id: str | None) -> bool:
     )
 
 
-class _Outline(HTMLParser):
+# Comment, tag with its attributes, or declaration. A tag ends at the first > outside quotes.
+_MARKUP = re.compile(
+    r"<!--(?P<comment>.*?)(?:-->|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^\"'>]+|\"[^\"]*\"|'[^']*'|[\"'])*+)>"
+    r"|<[!?/][^>]*(?:>|\Z)",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'>]+/$")
+_RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in ("script", "style")}
+
+
+def _text(s: str) -> str:
+    return unescape(s) if "&" in s else s
+
+
+class _Outline:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.elems: list[dict] = []
         self.texts: list[tuple] = []
         self.stack: list[_Open] = []
-        self.data: list[str] = []
+        self.data = ""
         self.links = 0
         self.ink = 0
         self.seen: set[str] = set()
@@ -207,7 +226,7 @@ class _Outline(HTMLParser):
     def _outside_body(self) -> bool:
         return not self.stack or self.stack[-1].tag in ("html", "head")
 
-    def _start(self, tag: str, attrs: list, keep_open: bool) -> None:
+    def _start(self, tag: str, attrs: str, keep_open: bool) -> None:
         self._flush()
         if tag in ("html", "head", "body"):
             if tag in self.seen:
@@ -220,8 +239,9 @@ class _Outline(HTMLParser):
         if tag not in HEAD_ONLY and tag not in ("html", "head", "body"):
             self._imply_body()
         values: dict[str, str] = {}
-        for name, value in attrs:
-            values.setdefault(name, value or "")
+        if attrs:
+            for name, *quoted in _ATTRIBUTE.findall(attrs):
+                values.setdefault(name.lower(), _text(quoted[0] or quoted[1] or quoted[2]))
         self._push(tag, values, keep_open and tag not in VOID)
 
     def _imply_body(self) -> None:
@@ -231,13 +251,7 @@ class _Outline(HTMLParser):
             self.seen.add("body")
             self._push("body", {}, True)
 
-    def handle_starttag(self, tag, attrs):
-        self._start(tag, attrs, True)
-
-    def handle_startendtag(self, tag, attrs):
-        self._start(tag, attrs, False)
-
-    def handle_endtag(self, tag):
+    def _end(self, tag: str) -> None:
         self._flush()
         priority = END_PRIORITY.get(tag, DEFAULT_END_PRIORITY)
         for o in reversed(self.stack):
@@ -249,39 +263,54 @@ class _Outline(HTMLParser):
             if END_PRIORITY.get(o.tag, DEFAULT_END_PRIORITY) > priority:
                 break
         if tag == "p":
-            self._start("p", [], False)
+            self._start("p", "", False)
 
     # -- strings -----------------------------------------------------------------
-    def handle_data(self, data):
-        self.data.append(data)
-
-    def handle_comment(self, data):
-        self._flush()
-        self._string(data, "comment")
-
     def _flush(self) -> None:
-        """One string per run of character data, however the reader chopped it up."""
-        if not self.data:
-            return
-        run = "".join(self.data)
-        self.data.clear()
-        if run.strip() and self._outside_body():
-            self._imply_body()
-            self._push("p", {}, True)
-        self._string(run, "text")
+        """One string per run of character data."""
+        run, self.data = self.data, ""
+        if run and not run.isspace():
+            if self._outside_body():
+                self._imply_body()
+                self._push("p", {}, True)
+            self._string(run, "text")
 
     def _string(self, s: str, kind: str) -> None:
         s = s.strip()
         if s:
             up = self.stack[-1] if self.stack else _OUTSIDE
             kind = "raw" if up.raw and kind == "text" else kind
-            self.texts.append((up.id, s, kind, up.script, up.chrome))
+            words = s.split()
+            single = " ".join(words)
+            self.texts.append(
+                (up.id, s, None if single == s else single, kind, up.script, up.chrome)
+            )
             if kind == "text" and not up.chrome:
-                self.ink += sum(map(len, s.split()))
+                self.ink += len(single) - len(words) + 1
 
+    # -- page ----------------------------------------------------------------------
     def outline(self, html: str) -> tuple[list[dict], list[tuple]]:
-        self.feed(html)
-        self.close()
+        at = 0
+        while markup := _MARKUP.search(html, at):
+            self.data += _text(html[at : markup.start()])
+            at = markup.end()
+            tag, comment = markup["tag"], markup["comment"]
+            if tag is None:
+                self._flush()
+                if comment:
+                    self._string(comment, "comment")
+            elif markup["end"]:
+                self._end(tag.lower())
+            else:
+                tag, attrs = tag.lower(), markup["attrs"]
+                closed = attrs.endswith("/") and not _SLASH_IN_VALUE.search(attrs)
+                self._start(tag, attrs, not closed)
+                if tag in _RAW_END:
+                    end = _RAW_END[tag].search(html, at)
+                    stop = end.start() if end else len(html)
+                    self.data = html[at:stop]
+                    at = stop
+        self.data += _text(html[at:])
         self._flush()
         while self.stack:
             self._pop()

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siteloom import constants as K
 from siteloom.functions import page as P
 from siteloom.operators.extract import choose_body, extract_pages, parse_pages
 from siteloom.operators.links import page_links
@@ -184,6 +185,11 @@ def test_addresses(fields):
     ]
 
 
+def test_office_stems_cover_all_keywords():
+    for keyword in K.HQ_OFFICE_KEYWORDS + K.OTHER_OFFICE_KEYWORDS:
+        assert any(stem in keyword for stem in P.OFFICE_STEMS)
+
+
 def test_thin(fields):
     assert fields["thin"].is_thin_content and not fields["thick"].is_thin_content
     assert fields["empty"].is_thin_content and not fields["empty"].has_body
