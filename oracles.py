@@ -627,7 +627,7 @@ audit AS (
     CASE WHEN length(about_text) < 200 THEN 'partial_static_only' ELSE 'success' END, NULL, 1, site FROM texts
   UNION ALL SELECT site, 2, site || 'contact', 'contact', site || 'contact/', 'Contact | ' || s_name, 200, true,
     CASE WHEN length(contact_text) < 200 THEN 'partial_static_only' ELSE 'success' END, NULL, 1, site FROM texts
-  UNION ALL SELECT site, 99, site || 'news/gone', 'blog_news', NULL, NULL, 404, false, 'failed', 'http_404', 1, site
+  UNION ALL SELECT site, 3, site || 'news/gone', 'blog_news', NULL, NULL, 404, false, 'failed', 'http_404', 1, site
     FROM texts)
 """
 ORACLES["page_audit"] = f"""{AUDIT}
@@ -643,6 +643,12 @@ SELECT site AS input_url, CAST(4 AS BIGINT) AS pages_discovered, CAST(3 AS BIGIN
   'https://x.com/supplier' || k AS twitter, results, '-|-|-|http_404' AS errors
 FROM texts JOIN (SELECT site, string_agg(extraction_result, '|' ORDER BY seq) AS results FROM audit GROUP BY 1)
   USING (site)"""
+ORACLES["site_reports"] = f"""WITH {SUPPLIERS}
+SELECT upper(site) AS input_url, site, CAST(4 AS BIGINT) AS pages_discovered, CAST(3 AS BIGINT) AS pages_fetched_ok,
+  CAST(1 AS BIGINT) AS pages_failed, CAST(4 AS BIGINT) AS max_pages_limit, 'max_pages_reached' AS stop_reason,
+  home_name AS company_name, coalesce(label, plot) AS headquarters,
+  landline || '|' || mobile || '|' || name_digits AS phones, 'home|about|contact|home' AS page_types,
+  '-|-|-|unknown_error' AS errors FROM sup"""
 ORACLES["stored_tables"] = f"""{AUDIT}
 SELECT site AS website, home_name AS company_name, '["' || sales || '","' || support || '"]' AS emails, url, page_type,
   http_status, fetched_ok, extraction_result, error FROM audit JOIN texts USING (site)"""

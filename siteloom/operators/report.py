@@ -77,16 +77,15 @@ def crawl_reports(
     """One nested report per site.
 
     ``runs``: ``site, input_url, started_at, finished_at, stop_reason``. The page list of a
-    report is bounded by the page budget of a crawl; a site with more records than that did
-    not come out of one crawl, and is an error rather than something to cut."""
-    page = F.struct("seq", F.struct(*PAGE_FIELDS).alias("page"))
-    checked = F.when(F.col("n") <= max_pages, F.col("all_pages")).otherwise(
-        F.raise_error(F.lit("more page records than the page budget of one crawl"))
-    )
+    report is bounded by the page budget of a crawl. A record with a place (``seq``) beyond
+    it did not come out of one crawl; that is an error rather than something to cut."""
+    page = F.when(
+        F.col("seq") < max_pages, F.struct("seq", F.struct(*PAGE_FIELDS).alias("page"))
+    ).otherwise(F.raise_error(F.lit("page record beyond the page budget of the crawl")))
     pages = (
         records.groupBy("site")
-        .agg(F.count("*").alias("n"), F.array_sort(F.collect_list(page)).alias("all_pages"))
-        .select("site", F.transform(checked, lambda p: p["page"]).alias("pages"))
+        .agg(F.array_sort(F.collect_list(page)).alias("all_pages"))
+        .select("site", F.transform("all_pages", lambda p: p["page"]).alias("pages"))
     )
     company = profiles.select(
         F.col("website").alias("site"), F.struct(*COMPANY_FIELDS).alias("company")

@@ -20,6 +20,7 @@ from siteloom.functions import urls as U
 from siteloom.operators import fetchlog, frontier, links, profile, report
 from siteloom.operators.extract import choose_body, extract_pages, page_fields, parse_pages
 from siteloom.plans import corpus
+from siteloom.plans.pipeline import report_sites
 from siteloom.session import checkpoint_dir, cut_lineage
 from siteloom.sources import store
 from siteloom.sources.html import dom_nodes, outlines
@@ -712,7 +713,7 @@ def _supplier_runs(spark, folder):
     """Supplier pages as tried, and a page per supplier that was not there."""
     pages = corpus.supplier_pages(spark, folder).filter("seq < 100")
     gone = pages.filter("seq = 0").select(
-        "site", F.lit(99).cast("bigint").alias("seq"), F.lit(1).alias("depth"),
+        "site", F.lit(3).cast("bigint").alias("seq"), F.lit(1).alias("depth"),
         F.concat("site", F.lit("news/gone")).alias("url"),
     )
     fine = pages.select("site", "seq", "depth", "url")
@@ -781,6 +782,32 @@ def crawl_reports(spark, folder):
     )
 
 
+@query
+def site_reports(spark, folder):
+    """From start URLs and a fetch log to reports: crawl, read, merge, with four pages each."""
+    pages = corpus.supplier_pages(spark, folder)
+    attempts = pages.select(
+        "url", F.lit(1).alias("attempt"), F.lit(200).alias("status"),
+        F.lit("text/html").alias("content_type"),
+        F.octet_length("html").cast("bigint").alias("body_bytes"),
+        F.col("html").alias("body"), F.col("url").alias("final_url"),
+        F.lit(None).cast("string").alias("exception"), F.lit(None).cast("string").alias("message"),
+    )
+    sites = pages.filter("seq = 0").select(F.upper("url").alias("start_url"))
+    result = report_sites(sites, attempts, max_pages=4, k=4)
+    meta = "crawl_meta."
+    return result.reports.select(
+        "input_url", "site",
+        *[f"{meta}{c}" for c in ("pages_discovered", "pages_fetched_ok", "pages_failed",
+                                 "max_pages_limit", "stop_reason")],
+        F.col("company.company_name").alias("company_name"),
+        F.col("company.headquarters").alias("headquarters"),
+        F.array_join("company.phones", "|").alias("phones"),
+        F.array_join(F.col("pages.page_type"), "|").alias("page_types"),
+        F.array_join(F.transform("pages", lambda p: F.coalesce(p["error"], F.lit("-"))), "|").alias("errors"),
+    )
+
+
 @query
 def companies_upsert(spark, folder):
     """Two crawls of suppliers: the second has other descriptions and fewer suppliers."""
