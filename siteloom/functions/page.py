@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siteloom import constants as K
 from siteloom.functions import noise as N
 from siteloom.functions import text as T
-from siteloom.functions.noise import clean, let, literal, matches, strip
+from siteloom.functions.noise import clean, let, literal, strip
 from siteloom.functions.urls import NETLOC_PATTERN
 
 PLAIN = "x.kind = 'text' and not x.in_script"

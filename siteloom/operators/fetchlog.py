@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from siteloom import constants as K
 from siteloom.functions import text as T
-from siteloom.functions import urls as U
 from siteloom.operators.prefix import running_max, running_rank
 
 # Exception types that count as time-out or connection trouble and are tried again.

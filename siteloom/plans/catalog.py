@@ -18,7 +18,7 @@ from siteloom.functions import page as P
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
 from siteloom.operators import fetchlog, frontier, links, profile, report
-from siteloom.operators.extract import choose_body, extract_pages, page_fields, parse_pages
+from siteloom.operators.extract import choose_body, extract_pages
 from siteloom.plans import corpus
 from siteloom.plans.pipeline import report_sites
 from siteloom.session import checkpoint_dir, cut_lineage

@@ -36,12 +36,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster. Only a single-machine session may make its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    shared = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
+    )
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="siteloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(shared)
+        context.setCheckpointDir(shared)
     return shared
 
 
