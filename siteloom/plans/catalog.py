@@ -710,8 +710,8 @@ def politeness(spark, folder):
 
 
 def _supplier_runs(spark, folder):
-    """Supplier pages as tried, and a page per supplier that was not there."""
-    pages = corpus.supplier_pages(spark, folder).filter("seq < 100")
+    """A crawl of supplier sites one link deep, and a page per supplier that was not there."""
+    pages = corpus.supplier_pages(spark, folder).filter("depth <= 1")
     gone = pages.filter("seq = 0").select(
         "site", F.lit(3).cast("bigint").alias("seq"), F.lit(1).alias("depth"),
         F.concat("site", F.lit("news/gone")).alias("url"),
@@ -926,7 +926,7 @@ def feed_profiles(spark, folder):
     """Profiles kept up to date from a stream of page files."""
     landing, extract = _scratch(spark, "landing"), _scratch(spark, "extract")
     profiles = _scratch(spark, "profiles")
-    corpus.supplier_pages(spark, folder).filter("seq < 1000000000000").write.parquet(landing)
+    corpus.supplier_pages(spark, folder).write.parquet(landing)
     pages = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
     feed.refresh_profiles(extract_pages(pages), extract, profiles, _scratch(spark, "profile-state"))
     return store.read_table(spark, profiles).select(
