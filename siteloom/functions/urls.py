@@ -109,11 +109,13 @@ def _dot_free(p: str) -> str:
 
 def _form_decode(s: str) -> str:
     lone_percent = f"regexp_replace({s}, '%(?![0-9A-Fa-f]{{2}})', '%25')"
-    return f"coalesce(try_url_decode({lone_percent}), {s})"
+    decoded = f"coalesce(try_url_decode({lone_percent}), {s})"
+    return f"case when contains({s}, '%') or contains({s}, '+') then {decoded} else {s} end"
 
 
 def _form_encode(s: str) -> str:
-    return f"replace(replace(url_encode({s}), '%7E', '~'), '*', '%2A')"
+    encoded = f"replace(replace(url_encode({s}), '%7E', '~'), '*', '%2A')"
+    return f"case when {N.matches(s, '[^A-Za-z0-9_.~-]')} then {encoded} else {s} end"
 
 
 def _normal_query(q: str) -> str:
