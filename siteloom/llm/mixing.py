@@ -6,7 +6,8 @@ until all three margins hold. The weight of a cell over its tokens is the probab
 its documents are drawn; a document is drawn if a hash of its id falls below it, so a draw can be
 repeated and does not depend on the partitions.
 
-A cell with fewer tokens than it is asked for is taken whole, with probability 1. Null is a value of
+A cell with fewer tokens than it is asked for is taken whole, with probability 1, and later rounds
+let the others make up for it. Null is a value of
 its own in every dimension. Null text has one token, the end token. Rows with equal ids share
 their fate within a cell; a null id is drawn like an empty one. Without rows there are no cells
 and no result rows.
@@ -61,11 +62,19 @@ def _targets(cells: DataFrame, dimension: str) -> DataFrame:
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(
+    cells: DataFrame,
+    targets: dict[str, DataFrame],
+    most: Column | None = None,
+    rounds: int = ROUNDS,
+) -> DataFrame:
     """``cells`` (the dimensions, ``tokens``) with ``weight``: shares of the whole whose sums over
-    every dimension meet ``targets`` (dimension, ``target``), as near as ``rounds`` rounds come."""
+    every dimension meet ``targets`` (dimension, ``target``), as near as ``rounds`` rounds come.
+    ``most``: what a cell can weigh at most; the others make up for it."""
     now = cut_lineage(cells.withColumn("weight", F.col("tokens").cast("double")))
-    for _ in range(rounds):
+    for i in range(rounds):
+        if i and most is not None:
+            now = now.withColumn("weight", F.least("weight", most))
         for dimension, target in targets.items():
             scale = (
                 now.groupBy(dimension)
@@ -85,12 +94,11 @@ def mixed(docs: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS) -> Data
     names = [f"_{d}" for d in DIMENSIONS]
     cells = cut_lineage(keyed.groupBy(*names).agg(F.sum("n_tokens").cast("long").alias("tokens")))
     targets = {n: cut_lineage(_targets(cells, n)) for n in names}
-    weights = rake(cells, targets, rounds)
-    total = weights.agg(F.sum("tokens").alias("total"))
-    rate = F.lit(budget) * F.col("weight") * F.col("total") / F.col("tokens")
-    drawn = cut_lineage(
-        weights.crossJoin(total).select(*names, F.least(F.lit(1.0), rate).alias("probability"))
-    )
+    total = cells.agg(F.sum("tokens").alias("total")).first().total or 1
+    most = F.col("tokens") / F.lit(budget * total)
+    weights = rake(cells, targets, most, rounds)
+    rate = F.least(F.lit(1.0), F.col("weight") / most).alias("probability")
+    drawn = cut_lineage(weights.select(*names, rate))
     text = F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     uniform = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16**13)
     return (

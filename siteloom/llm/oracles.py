@@ -2,13 +2,91 @@
 
 from __future__ import annotations
 
+from siteloom.llm.licenses import ACROSS_LINES, BY_LINE, HINTS, RULES, SENTENCES
+
 ORACLES: dict[str, str] = {}
 
+ORACLES["op5_topk_search"] = """
+with points as (
+  select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id,
+    list_inner_product(q.v::double[], c.v::double[])::bigint as score
+  from points q join points c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+ranked as (
+  select query_id, vec_id, score,
+    row_number() over (partition by query_id order by score desc, vec_id)::int as rank
+  from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+def _license_reading(name: str, ends: str) -> str:
+    hint = "|".join(HINTS)
+    cases = " ".join(f"when '{s}' then '{i}'" for i, s in SENTENCES.items())
+    clean = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+    return f"""
+{name}_ids as (
+  select r, list_filter(list_transform(
+      list_filter(regexp_split_to_array(coalesce(text, ''), '{ends}'),
+        lambda s: regexp_matches(s, '{hint}', 'i')),
+      lambda s: case {clean} {cases} end), lambda i: i is not null) as ids
+  from numbered),
+{name}_text as (
+  select r, len(ids) as n, case when len(ids) = 0 then ''
+    else ' ' || array_to_string(ids, '  ') || ' ' end as s0 from {name}_ids)"""
+
+
+def _license_rules(name: str) -> str:
+    steps, at = [], f"{name}_text"
+    for k, (_, rule) in enumerate(RULES):
+        run = "".join(f" {i} " for i in rule)
+        steps.append(
+            f"{name}_{k} as (select *, contains(s{k}, '{run}') as f{k},"
+            f" replace(s{k}, '{run}', '|') as s{k + 1} from {at})"
+        )
+        at = f"{name}_{k}"
+    return ",\n".join(steps)
+
+
+def _license_sql() -> str:
+    last = len(RULES) - 1
+    names = list(dict.fromkeys(n for n, _ in RULES))
+    tests = []
+    for name in names:
+        own = [k for k, (n, _) in enumerate(RULES) if n == name]
+        either = " or ".join(f"a.f{k} or b.f{k}" for k in own)
+        tests.append(f"case when {either} then '{name}' end")
+    left = "len(list_filter(string_split({}.s{}, ' '), lambda x: regexp_matches(x, '[a-z]')))"
+    return f"""
+with numbered as (select doc_id, text, row_number() over () as r from documents),
+{_license_reading("a", BY_LINE)},
+{_license_reading("b", ACROSS_LINES)},
+{_license_rules("a")},
+{_license_rules("b")}
+select n.doc_id,
+  trim(replace(case when b.n > a.n then b.s0 else a.s0 end, '  ', ' ')) as sentence_ids,
+  greatest(a.n, b.n)::bigint as n_known,
+  concat_ws(',', {", ".join(tests)}) as licenses,
+  (case when b.n > a.n then {left.format("b", last + 1)}
+    else {left.format("a", last + 1)} end)::bigint as n_left
+from numbered n join a_{last} a using (r) join b_{last} b using (r)
+"""
+
+
+ORACLES["op10_license_scan"] = _license_sql()
+
 _SCALED = (
     "select _source, _lang, _topic, tokens, weight * target / sum(weight) over (partition by {d})"
     " as weight, i from ({inner}) join target_{d} using ({d})"
 )
-_ROUND = "select * from raked where i < 10"
+_ROUND = (
+    "select _source, _lang, _topic, tokens, case when i = 0 then weight else least(weight,"
+    " tokens / (0.5 * (select sum(tokens) from cells))) end as weight, i from raked where i < 10"
+)
 for _d in ("_source", "_lang", "_topic"):
     _ROUND = _SCALED.format(d=_d, inner=_ROUND)
 
@@ -35,8 +113,8 @@ raked as (
   union all
   select _source, _lang, _topic, tokens, weight, i + 1 from ({_ROUND})),
 drawn as (
-  select _source, _lang, _topic, least(1.0, 0.5 * weight
-    * (select sum(tokens)::double from cells) / tokens) as p from raked where i = 10)
+  select _source, _lang, _topic, least(1.0,
+    weight / (tokens / (0.5 * (select sum(tokens) from cells)))) as p from raked where i = 10)
 select doc_id, source, lang, topic, n_tokens, round(p, 6) as probability,
   ('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 13))::bigint
     / 4503599627370496.0 < p as kept

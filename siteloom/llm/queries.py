@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import jaccard, langid, mixing, packing, quality
+from siteloom.llm import jaccard, knn, langid, licenses, mixing, packing, quality, quotes
+from siteloom.llm import sharding, urlfilter
 from siteloom.session import ship_package
 from siteloom.sources.tables import table
 
@@ -40,6 +41,11 @@ def op2_best_fit_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
 
 
+@query
+def op3_quotation_linking(spark, folder):
+    return quotes.reply_ordered(table(spark, folder, "conversations"))
+
+
 def _fold() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
@@ -56,6 +62,11 @@ def op4_language_id(spark, folder):
     return langid.identify(marked, language_profiles(docs), ["doc_id", "held_out"])
 
 
+@query
+def op5_topk_search(spark, folder):
+    return knn.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op6_mixing(spark, folder):
     docs = mixing.with_tokens(table(spark, folder, "documents")).withColumn(
@@ -65,6 +76,23 @@ def op6_mixing(spark, folder):
     return rows.withColumn("probability", F.round("probability", 6))
 
 
+@query
+def op7_sharding(spark, folder):
+    return sharding.sharded(table(spark, folder, "documents").select("doc_id", "text"), 24)
+
+
+@query
+def op8_url_filter(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    judged = urlfilter.judge(pages, urlfilter.default_model(spark), urlfilter.RULES)
+    return judged.withColumn("block_score", F.round("block_score", 4))
+
+
 @query
 def op9_jaccard_join(spark, folder):
     return jaccard.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
