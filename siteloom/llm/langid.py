@@ -27,6 +27,8 @@ from siteloom.llm.rows import append_columns
 PROFILE = 400
 UNKNOWN = "und"
 _BITS = np.uint64(21)  # a code point
+# Tell n-grams of one and two characters from longer ones that start at a blank.
+_ONE, _PAIR = np.uint64(1 << 63), np.uint64(0x1FFFFF << 42)
 
 _letters = np.zeros(0x110000, dtype=np.int8)  # 0: not looked up yet, 1: letter, 2: other
 
@@ -55,12 +57,10 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not len(a):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     one = a[a > 0]
-    two = (a[:-1] << _BITS) | a[1:]
+    two = _PAIR | (a[:-1] << _BITS) | a[1:]
     middle = a[1:-1] > 0  # a blank inside would join two words
     three = ((a[:-2] << (_BITS * np.uint64(2))) | (a[1:-1] << _BITS) | a[2:])[middle]
-    # Apart by length: a bigram that starts at a blank is not its second letter alone.
-    length = np.uint64(63)
-    ordered = np.sort(np.concatenate([one | (np.uint64(1) << length), two, three]))
+    ordered = np.sort(np.concatenate([_ONE | one, two, three]))
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     return ordered[starts], np.diff(np.append(starts, len(ordered)))
 
