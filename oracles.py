@@ -195,7 +195,7 @@ ORACLES["page_types"] = f"WITH {RAW_FIELDS} SELECT page_id, url_type, page_type
 ORACLES["page_texts"] = f"""
 WITH {RAW_FIELDS}
 SELECT page_id, coalesce(length(visible), 0) AS visible_chars, md5(visible) AS visible_md5,
-  md5(substr(visible, 1, 1000)) AS sample_md5, coalesce(length(visible), 0) < 200 AS is_thin
+  coalesce(length(visible), 0) < 200 AS is_thin
 FROM raw_fields"""
 
 EMAIL = "[a-zA-Z0-9][a-zA-Z0-9._%+-]*@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"
@@ -353,9 +353,8 @@ def _line_items(keep: str, low_len: int, high_len: int) -> str:
 WITH v AS ({_viewed(lines)}),
 good AS (SELECT * FROM v WHERE length(t) BETWEEN {low_len} AND {high_len} AND {keep}),
 firsts AS (SELECT doc_id, min(i) AS i, arg_min(t, i) AS t FROM good GROUP BY doc_id, low),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM firsts),
 items AS (SELECT doc_id, count(*) AS n, string_agg(t, '|' ORDER BY i) AS items
-          FROM ranked WHERE r <= 40 GROUP BY 1)
+          FROM firsts GROUP BY 1)
 SELECT documents.doc_id AS page_id, coalesce(n, 0) AS n_items, coalesce(items, '') AS items
 FROM documents LEFT JOIN items ON documents.doc_id = items.doc_id"""
 
@@ -401,7 +400,7 @@ inds AS (
 MEMBERS = """
 hosts AS (SELECT s_nationkey AS n, min(s_suppkey) AS k FROM supplier GROUP BY 1),
 members AS (
-  SELECT c_custkey, c_name, n_name, site || 'business/member-' || c_custkey || '-' || lower(c_mktsegment) AS url
+  SELECT c_custkey, c_name, n_name, site, site || 'business/member-' || c_custkey || '-' || lower(c_mktsegment) AS url
   FROM customer JOIN hosts ON c_nationkey = hosts.n JOIN sup USING (k))
 """
 ALL = f"WITH {SUPPLIERS}, {PARTS}, {MEMBERS}"
@@ -459,21 +458,20 @@ prod1 AS (
   SELECT site, min(p_partkey * 10 + pos) AS o, arg_min(item, p_partkey * 10 + pos) AS item
   FROM prod GROUP BY site, lower(item)),
 prod2 AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY o) AS n FROM prod1),
-products AS (SELECT site, string_agg(item, '|' ORDER BY n) AS products FROM prod2 WHERE n <= 25 GROUP BY 1),
-industries AS (
-  SELECT site, string_agg(i1 || '|' || i2 || '|' || i3, '|' ORDER BY p_partkey) AS industries FROM inds GROUP BY 1)
+facts AS (
+  SELECT site AS website,
+    unnest(['company_name', 'description', 'headquarters', 'other_locations', 'other_locations',
+      'other_locations', 'emails', 'emails', 'phones', 'phones', 'phones', 'social_linkedin', 'social_twitter'])
+      AS field, unnest([1, 1, 1, 1, 2, 3, 1, 2, 1, 2, 3, 1, 1]) AS place,
+    unnest([home_name, about, coalesce(label, plot), hall, yard, branch, sales, support, landline, mobile,
+      name_digits, 'https://www.linkedin.com/company/supplier-' || k, 'https://x.com/supplier' || k]) AS value
+  FROM sup
+  UNION ALL SELECT site, 'products', n, item FROM prod2
+  UNION ALL SELECT site, 'industries', row_number() OVER (PARTITION BY site ORDER BY p_partkey, pos), item FROM
+    (SELECT site, p_partkey, unnest([i1, i2, i3]) AS item, unnest([1, 2, 3]) AS pos FROM inds))
 """
-ORACLES["company_profiles"] = f"""{ALL}, {PRODUCTS}
-SELECT site AS website, home_name AS company_name, about AS description, coalesce(label, plot) AS headquarters,
-  hall || '|' || yard || '|' || branch AS other_locations, coalesce(products, '') AS products, '' AS services,
-  '' AS solutions, coalesce(industries, '') AS industries, sales || '|' || support AS emails,
-  landline || '|' || mobile || '|' || name_digits AS phones,
-  'linkedin=https://www.linkedin.com/company/supplier-' || k || '|twitter=https://x.com/supplier' || k AS social_links
-FROM sup LEFT JOIN products USING (site) LEFT JOIN industries USING (site)"""
-ORACLES["feed_profiles"] = f"""{ALL}, {PRODUCTS}
-SELECT site AS website, home_name AS company_name, coalesce(label, plot) AS headquarters,
-  coalesce(industries, '') AS industries, landline || '|' || mobile || '|' || name_digits AS phones
-FROM sup LEFT JOIN industries USING (site)"""
+ORACLES["company_profiles"] = f"{ALL}, {PRODUCTS} SELECT website, field, CAST(place AS BIGINT) AS place, value FROM facts"
+ORACLES["feed_profiles"] = ORACLES["company_profiles"]
 
 ORACLES["rendered_pages"] = """
 SELECT 'https://spa-' || c_custkey || '.test/' AS url,
@@ -563,13 +561,12 @@ judged AS (
          WHEN flag = 'A' THEN CASE WHEN ls = 'F' AND tax > 5 THEN 404 ELSE 200 END END AS status,
     CASE WHEN flag = 'R' THEN CASE WHEN ls = 'F' THEN 'ReadTimeout' WHEN tax <= 4 THEN 'ConnectionError'
          ELSE 'InvalidURL' END END AS exc
-  FROM att WHERE attempt <= 3),
+  FROM att),
 ended AS (
   SELECT *, CASE WHEN exc IS NOT NULL THEN exc || ': line ' || attempt
       WHEN tax = 8 THEN 'non_html_content_type:application/pdf' WHEN tax = 7 THEN 'non_html_content_type:unknown'
-      WHEN q >= 49 THEN 'page_too_large' WHEN status <> 200 THEN 'http_' || status END AS error,
-    attempt = 3 OR CASE WHEN exc IS NOT NULL THEN exc = 'InvalidURL'
-      ELSE tax >= 7 OR q >= 49 OR status < 500 END AS terminal FROM judged),
+      WHEN status <> 200 THEN 'http_' || status END AS error,
+    CASE WHEN exc IS NOT NULL THEN exc = 'InvalidURL' ELSE tax >= 7 OR status < 500 END AS terminal FROM judged),
 picked AS (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY NOT terminal,
     CASE WHEN terminal THEN attempt ELSE -attempt END) AS n FROM ended),
@@ -610,7 +607,7 @@ SELECT event_id, 'user-' || user_id || '.test' AS netloc,
 
 # --- reports and stores -----------------------------------------------------------------------------------------
 
-AUDIT = f"""WITH {SUPPLIERS},
+AUDIT = f"""{ALL},
 texts AS (
   SELECT *, home_title || ' About us Contact Login Brochure More ' || s_name || ' works Supplying ' || n_name
     || ' since 1998 & counting. in x t own ' || sales || ', you@company.com, icon' || k || '@2x.png' AS home_text,
@@ -622,26 +619,40 @@ audit AS (
   SELECT site, CAST(0 AS BIGINT) AS seq, site AS url, 'home' AS page_type, CAST(NULL AS VARCHAR) AS final_url,
     home_title AS title, CAST(200 AS BIGINT) AS http_status, true AS fetched_ok,
     CASE WHEN length(home_text) < 200 THEN 'partial_static_only' ELSE 'success' END AS extraction_result,
-    CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS depth, CAST(NULL AS VARCHAR) AS discovered_from FROM texts
+    CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS depth, CAST(NULL AS VARCHAR) AS discovered_from,
+    false AS is_third_party FROM texts
   UNION ALL SELECT site, 1, site || 'about-us', 'about', NULL, 'About | ' || s_name, 200, true,
-    CASE WHEN length(about_text) < 200 THEN 'partial_static_only' ELSE 'success' END, NULL, 1, site FROM texts
+    CASE WHEN length(about_text) < 200 THEN 'partial_static_only' ELSE 'success' END, NULL, 1, site, false FROM texts
   UNION ALL SELECT site, 2, site || 'contact', 'contact', site || 'contact/', 'Contact | ' || s_name, 200, true,
-    CASE WHEN length(contact_text) < 200 THEN 'partial_static_only' ELSE 'success' END, NULL, 1, site FROM texts
-  UNION ALL SELECT site, 3, site || 'news/gone', 'blog_news', NULL, NULL, 404, false, 'failed', 'http_404', 1, site
-    FROM texts)
+    CASE WHEN length(contact_text) < 200 THEN 'partial_static_only' ELSE 'success' END, NULL, 1, site, false FROM texts
+  UNION ALL SELECT site, 1099511627776, site || 'news/gone', 'blog_news', NULL, NULL, 404, false, 'failed',
+    'http_404', 1, site, false FROM texts
+  UNION ALL SELECT site, 1000000000000 + p_partkey, url, 'products', NULL, p_name || ' | ' || p_brand, 200, true,
+    CASE WHEN length(p_name || ' | ' || p_brand || ' All categories ' || p_name || ' ' || i1 || ' ' || i2 || ' MOQ: '
+      || p_size || ' units Ask for Quote Fits all ' || i3 || ' Know More ACME ' || upper(p_name)
+      || ' TRADING CO View Profile ' || i4 || ' First name * maintainer' || p_partkey || '@parts.test') < 200
+      THEN 'partial_static_only' ELSE 'success' END, NULL, 2, site, false FROM parts
+  UNION ALL SELECT site, 100 + p_partkey, url, 'industries', NULL, p_type, 200, true,
+    CASE WHEN length(p_type || ' ' || p_type || ' goods ' || i2 || ' ' || i3 || ' Reduce ' || p_type || ' waste') < 200
+      THEN 'partial_static_only' ELSE 'success' END, NULL, 2, site, false FROM inds
+  UNION ALL SELECT site, 2000000000000 + c_custkey, url, 'third_party_listing', NULL, c_name || ' Pvt Ltd', 200, true,
+    CASE WHEN length(c_name || ' Pvt Ltd ' || c_name || ' ' || c_name || ', Elsewhere Road, ' || n_name
+      || ' contact@member-' || c_custkey || '.test') < 200
+      THEN 'partial_static_only' ELSE 'success' END, NULL, 2, site, true FROM members)
 """
 ORACLES["page_audit"] = f"""{AUDIT}
-SELECT *, 'static' AS rendered_with, false AS is_third_party FROM audit"""
+SELECT *, 'static' AS rendered_with FROM audit"""
 ORACLES["status_rollup"] = f"""{AUDIT}
 SELECT site, page_type, count(*) AS pages, round(avg(CASE WHEN fetched_ok THEN 0 ELSE 1 END), 6) AS failed_rate,
-  CAST(0 AS DOUBLE) AS third_party_rate, CAST(0 AS DOUBLE) AS dynamic_rate
+  round(avg(CASE WHEN is_third_party THEN 1 ELSE 0 END), 6) AS third_party_rate, CAST(0 AS DOUBLE) AS dynamic_rate
 FROM audit GROUP BY ROLLUP (site, page_type)"""
 ORACLES["crawl_reports"] = f"""{AUDIT}
-SELECT site AS input_url, CAST(4 AS BIGINT) AS pages_discovered, CAST(3 AS BIGINT) AS pages_fetched_ok,
-  CAST(1 AS BIGINT) AS pages_failed, CAST(40 AS BIGINT) AS max_pages_limit, 'queue_exhausted' AS stop_reason,
+SELECT site AS input_url, pages_discovered, pages_discovered - 1 AS pages_fetched_ok,
+  CAST(1 AS BIGINT) AS pages_failed, CAST(NULL AS BIGINT) AS max_pages_limit, 'queue_exhausted' AS stop_reason,
   home_name AS company_name, coalesce(label, plot) AS headquarters, sales || '|' || support AS emails,
-  'https://x.com/supplier' || k AS twitter, results, '-|-|-|http_404' AS errors
-FROM texts JOIN (SELECT site, string_agg(extraction_result, '|' ORDER BY seq) AS results FROM audit GROUP BY 1)
+  'https://x.com/supplier' || k AS twitter, results, errors
+FROM texts JOIN (SELECT site, count(*) AS pages_discovered, string_agg(extraction_result, '|' ORDER BY seq) AS results,
+    string_agg(coalesce(error, '-'), '|' ORDER BY seq) AS errors FROM audit GROUP BY 1)
   USING (site)"""
 ORACLES["site_reports"] = f"""WITH {SUPPLIERS}
 SELECT upper(site) AS input_url, site, CAST(4 AS BIGINT) AS pages_discovered, CAST(3 AS BIGINT) AS pages_fetched_ok,
@@ -679,6 +690,4 @@ SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, count(*
   round(avg(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END), 6) AS third_party_rate
 FROM events GROUP BY 1"""
 ORACLES["crawl_health"] = _HEALTH
-ORACLES["feed_health"] = (
-    f"SELECT * FROM ({_HEALTH}) WHERE window_start + 86400 <= (SELECT max(epoch(ts)) - 600 FROM events)"
-)
+ORACLES["feed_health"] = _HEALTH

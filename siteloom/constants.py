@@ -1,28 +1,11 @@
 """Fixed values. Results depend on every entry, so they are stated plainly here
 and used nowhere else by copy; order matters where a comment says so."""
 
-# --- budgets and limits -------------------------------------------------------
-MAX_RETRIES = 2
-RETRY_BACKOFF_SECONDS = 1.5
-MAX_PAGES = 40
-MAX_DEPTH = 3
-MAX_PAGE_BYTES = 5_000_000
-CRAWL_DELAY_SECONDS = 0.5
-USER_AGENT = "CompanyInfoBot/1.0 (+contact: assignment-crawler; respects robots.txt)"
-
+# --- page texts ---------------------------------------------------------------
 THIN_TEXT_CHARS = 200
 EMPTY_SHELL_CHARS = 60
-TEXT_SAMPLE_CHARS = 1000
 SPA_ROOT_IDS = ["root", "app", "__next", "__nuxt", "gatsby-focus-wrapper"]
 
-ADDRESS_CAP = 10
-OFFICE_CAP = 5
-HEADING_CAP = 40
-LISTING_CAP = 40
-OTHER_LOCATIONS_CAP = 10
-BUCKET_CAP = 25
-CONTACT_CAP = 10
-
 # --- URLs ---------------------------------------------------------------------
 NON_HTML_EXTENSIONS = [
     ".pdf", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico",

@@ -194,14 +194,15 @@ def address_candidates() -> str:
     )
     low, high = K.ADDRESS_LENGTH
     return (
-        f"slice(array_distinct(concat(filter({tagged}, a -> a is not null),"
+        f"array_distinct(concat(filter({tagged}, a -> a is not null),"
         f" filter(transform({hinted}, e -> {full_text('e')}),"
-        f" a -> length(a) between {low} and {high}))), 1, {K.ADDRESS_CAP})"
+        f" a -> length(a) between {low} and {high})))"
     )
 
 
-# Every office keyword holds one of these.
-OFFICE_STEMS = ["office", "address", "headquarters", "principal place"]
+# A few short texts such that every office keyword holds one of them.
+_LABELS = K.HQ_OFFICE_KEYWORDS + K.OTHER_OFFICE_KEYWORDS
+OFFICE_STEMS = sorted({next(w for w in reversed(k.split()) if len(w) > 4) for k in _LABELS})
 
 
 def office_addresses() -> str:
@@ -230,8 +231,8 @@ def office_addresses() -> str:
     )
     lists = (
         "named_struct("
-        f"'hq', slice(array_distinct(filter(hs, h -> h <> '')), 1, {K.OFFICE_CAP}),"
-        f" 'other', slice(array_distinct(transform({other}, b -> b.block)), 1, {K.OFFICE_CAP}))"
+        "'hq', array_distinct(filter(hs, h -> h <> '')),"
+        f" 'other', array_distinct(transform({other}, b -> b.block)))"
     )
     return let(blocks, "bs", let(hq_blocks, "hs", lists))
 
@@ -239,15 +240,15 @@ def office_addresses() -> str:
 # --- items --------------------------------------------------------------------------
 
 
-def distinct_items(items: str, cap: int) -> str:
-    """First spelling of each item, case ignored, in order, cut at ``cap``."""
-    firsts = (
-        "filter(transform(xs, (t, i) ->"
-        " case when array_position(low, lower(t)) = i + 1 then t end), t -> t is not null)"
-    )
-    return let(
-        items, "xs", f"slice({let('transform(xs, t -> lower(t))', 'low', firsts)}, 1, {cap})"
+def distinct_items(items: str) -> str:
+    """First spelling of each item, case ignored, in order. Equal ones are brought together by
+    sorting, so that long lists do not compare all with all."""
+    sorted_ = (
+        f"array_sort(transform({items}, (t, i) -> named_struct('l', lower(t), 'i', i, 't', t)))"
     )
+    firsts = "filter(xs, (x, j) -> j = 0 or get(xs, j - 1).l <> x.l)"
+    placed = f"array_sort(transform({firsts}, x -> named_struct('i', x.i, 't', x.t)))"
+    return let(sorted_, "xs", f"transform({placed}, x -> x.t)")
 
 
 CHROMELESS_LINKS = "filter(elems, e -> e.tag = 'a' and not e.in_chrome)"
@@ -267,7 +268,7 @@ def heading_items(name: str) -> str:
         f" and not {N.boilerplate('lower(t)', name)}"
     )
     both = f"concat(transform({headings}, e -> {main_text('e')}), {entries})"
-    return distinct_items(f"filter({both}, t -> {good})", K.HEADING_CAP)
+    return distinct_items(f"filter({both}, t -> {good})")
 
 
 def _usable(text: str, bucket: str, name: str) -> str:
@@ -321,7 +322,7 @@ def listing_items(bucket: str, name: str) -> str:
     """Items of a listing page: links that point into a taxonomy, then cards."""
     both = f"concat({taxonomy_items('ls')}, {card_items('ls', bucket, name)})"
     found = let(titled_links(bucket, name), "ls", f"filter({both}, t -> t is not null)")
-    return distinct_items(found, K.LISTING_CAP)
+    return distinct_items(found)
 
 
 def bucket_items(page_type: str, name: str, url_name: str) -> str:

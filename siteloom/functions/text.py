@@ -73,8 +73,9 @@ def capitalize(s: Column) -> Column:
     return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
 
 
-def text_sample(s: Column) -> Column:
-    return F.substring(s, 1, K.TEXT_SAMPLE_CHARS)
+def text_sample(s: Column, chars: int | None = None) -> Column:
+    """The text, or its first ``chars`` characters where the caller asks for them."""
+    return s if chars is None else F.substring(s, 1, chars)
 
 
 # --- e-mail and phone -------------------------------------------------------------

@@ -10,6 +10,7 @@ from siteloom.functions import classify as C
 from siteloom.functions import page as P
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
+from siteloom.session import cut_lineage
 from siteloom.sources.html import outlines
 
 
@@ -22,9 +23,10 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_fields(parsed: DataFrame) -> DataFrame:
+def page_fields(parsed: DataFrame, sample_chars: int | None = None) -> DataFrame:
     """All extracted fields and the page type. ``parsed`` may carry ``depth`` (distance
-    at which the page was first seen); without it no page counts as the start page.
+    at which the page was first seen); without it no page counts as the start page. The text
+    sample is the whole visible text unless ``sample_chars`` cuts it.
 
     Three projections, each using the columns of the one before several times over, so
     that the optimizer keeps them apart and every text is put together once.
@@ -57,7 +59,7 @@ def page_fields(parsed: DataFrame) -> DataFrame:
         "title",
         "h1",
         F.expr(P.meta_description()).alias("meta_description"),
-        T.text_sample(visible).alias("visible_text_sample"),
+        T.text_sample(visible, sample_chars).alias("visible_text_sample"),
         F.coalesce(F.length(visible), F.lit(0)).alias("visible_chars"),
         P.phones("visible").alias("phones"),
         F.expr(P.social_links("own_site")).alias("social_links"),
@@ -82,20 +84,26 @@ def choose_body(static: DataFrame, rendered: DataFrame) -> DataFrame:
     """Replace the body of script-filled pages by their browser-rendered one, where that
     succeeded. ``rendered`` is keyed by ``url`` and holds ``ok`` and ``html``.
 
-    Only shells look for a partner, so only their bodies are shuffled; the outline that
-    tells a shell is computed from the static body and dropped again.
-    """
-    shells = (
-        outlines(static.select("page_id", "url", "html", (F.col("html") != "").alias("has_body")))
-        .filter(F.expr(P.is_js_shell()))
-        .select("page_id", "url")
+    Shells are told in one parse that is written out; only they are looked up and shuffled, all
+    other pages go on as they are."""
+    parsed = outlines(static.withColumn("has_body", F.col("html") != "").withColumn("body", F.col("html")))
+    told = cut_lineage(
+        parsed.select(
+            *[c for c in static.columns if c != "html"],
+            F.col("body").alias("html"),
+            F.coalesce(F.expr(P.is_js_shell()), F.lit(False)).alias("_shell"),
+        )
     )
     usable = rendered.filter(F.col("ok") & (F.col("html") != "")).select(
         "url", F.col("html").alias("rendered_html")
     )
-    swaps = shells.join(usable, "url").select("page_id", "rendered_html")
-    return static.join(swaps, "page_id", "left").select(
-        *[c for c in static.columns if c != "html"],
+    others = [c for c in static.columns if c != "html"]
+    swapped = told.filter("_shell").join(usable, "url", "left").select(
+        *others,
         F.coalesce("rendered_html", "html").alias("html"),
         F.when(F.col("rendered_html").isNotNull(), "dynamic").otherwise("static").alias("rendered_with"),
     )
+    plain = told.filter("not _shell").select(
+        *others, "html", F.lit("static").alias("rendered_with")
+    )
+    return swapped.unionByName(plain)

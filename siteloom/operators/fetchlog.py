@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom import constants as K
 from siteloom.functions import text as T
 from siteloom.operators.prefix import running_max, running_rank
 
@@ -20,7 +19,13 @@ def is_html(content_type: Column) -> Column:
     return ct.startswith("text/html") | ct.contains("xhtml")
 
 
-def _attempt_result() -> Column:
+def _too_large(max_bytes: int | None) -> Column:
+    if max_bytes is None:
+        return F.lit(False)
+    return F.coalesce(F.col("body_bytes") > max_bytes, F.lit(False))
+
+
+def _attempt_result(max_bytes: int | None) -> Column:
     """What one attempt would mean if it were the last. The order of the tests counts: a
     404 served as plain text is rejected for its type."""
     status, exception = F.col("status"), F.col("exception")
@@ -36,7 +41,7 @@ def _attempt_result() -> Column:
             ~is_html(ct),
             F.concat(F.lit("non_html_content_type:"), F.when(ct == "", "unknown").otherwise(ct)),
         )
-        .when(F.col("body_bytes") > K.MAX_PAGE_BYTES, "page_too_large")
+        .when(_too_large(max_bytes), "page_too_large")
         .when(~ok, F.concat(F.lit("http_"), status.cast("string")))
     )
     return F.struct(
@@ -50,25 +55,33 @@ def _attempt_result() -> Column:
     )
 
 
-def _is_terminal() -> Column:
+def _is_terminal(max_attempts: int | None, max_bytes: int | None) -> Column:
     exception = F.col("exception")
-    refused = ~is_html(F.col("content_type")) | (F.col("body_bytes") > K.MAX_PAGE_BYTES)
+    refused = ~is_html(F.col("content_type")) | _too_large(max_bytes)
     again = F.when(exception.isNull(), ~refused & (F.col("status") >= 500)).otherwise(
         exception.isin(RETRIED_EXCEPTIONS)
     )
-    return ~again | (F.col("attempt") > K.MAX_RETRIES)
+    if max_attempts is None:
+        return ~again
+    return ~again | (F.col("attempt") >= max_attempts)
 
 
-def retry_reduction(attempts: DataFrame) -> DataFrame:
-    """One outcome per URL: the first attempt that ends the matter, or, in a log that was
-    cut short, the last attempt there is."""
-    log = attempts.filter(F.col("attempt") <= K.MAX_RETRIES + 1)
+def retry_reduction(
+    attempts: DataFrame, max_attempts: int | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """One outcome per URL: the first attempt that ends the matter, or else the last there is.
+
+    Every attempt of the log counts and bodies of any size do, unless the caller names the number
+    of attempts after which a fetch was given up, or the size from which a body was refused."""
+    terminal = _is_terminal(max_attempts, max_bytes)
     # Smallest first: whether it is no end, then the earliest end or else the latest attempt.
     preference = F.struct(
-        ~_is_terminal(), F.when(_is_terminal(), F.col("attempt")).otherwise(-F.col("attempt"))
+        ~terminal, F.when(terminal, F.col("attempt")).otherwise(-F.col("attempt"))
     )
     return (
-        log.select("url", "attempt", _attempt_result().alias("r"), preference.alias("p"))
+        attempts.select(
+            "url", "attempt", _attempt_result(max_bytes).alias("r"), preference.alias("p")
+        )
         .groupBy("url")
         .agg(F.min_by(F.struct("r", "attempt"), "p").alias("x"))
         .select("url", F.col("x.attempt").alias("attempts"), "x.r.*")
@@ -142,7 +155,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
 
 def robots_decisions(
-    urls: DataFrame, rules: DataFrame, user_agent: str = K.USER_AGENT
+    urls: DataFrame, rules: DataFrame, user_agent: str
 ) -> DataFrame:
     """Add ``allowed``. The first entry naming our agent counts, else the first entry for
     everybody; within it the first rule whose prefix fits. No rule means allowed."""
@@ -170,7 +183,7 @@ def robots_decisions(
 
 
 def fetch_outcomes(
-    attempts: DataFrame, rules: DataFrame | None = None, user_agent: str = K.USER_AGENT
+    attempts: DataFrame, rules: DataFrame | None = None, user_agent: str = "*"
 ) -> DataFrame:
     """Outcome per URL. With ``rules`` a forbidden URL is blocked, whatever the log says;
     without them robots files are not respected."""

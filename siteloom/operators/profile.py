@@ -1,40 +1,35 @@
 """All pages of a site to one company profile.
 
-Every page contributes facts ``(site, field, key, rank, seq, pos, value)``. Facts with the
-same key are copies of one thing, and the least one in (rank, seq, pos) wins. That is a
-minimum, so copies collapse on the map side and no site, however large, is gathered
-anywhere; what reaches the last step is at most a few dozen facts per site.
+Every page contributes facts ``(site, field, key, rank, seq, source, pos, value)``. Facts with the
+same key are copies of one thing, and the least one in (rank, seq, source, pos) wins. That is a
+minimum, so copies collapse on the map side. The result is long: one row per fact with its place in
+the field, numbered in buckets, so no site or field, however large, is gathered anywhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom import constants as K
 from siteloom.functions import classify as C
+from siteloom.operators.prefix import running_rank
 
-CAPS = {
-    "company_name": 1,
-    "description": 1,
-    "hq_label": 1,
-    "hq_address": 1,
-    "other_locations": K.OTHER_LOCATIONS_CAP,
-    **{bucket: K.BUCKET_CAP for bucket in K.BUCKET_TYPES},
-    "emails": K.CONTACT_CAP,
-    "phones": K.CONTACT_CAP,
-    "social": len({platform for _, platform in K.SOCIAL_DOMAINS}),
-}
 LIST_FIELDS = ["other_locations", *K.BUCKET_TYPES, "emails", "phones"]
 # Ordered by value, all others by first appearance.
-SORTED_FIELDS = ["emails", "phones"]
+SORTED_FIELDS = ["emails", "phones", "social"]
+#: Pages whose facts of one field are numbered together.
+BUCKET_PAGES = 256
 
 
-def _fact(field: Column, key: Column, rank: Column, pos: Column, value: Column) -> Column:
+def _fact(
+    field: Column, key: Column, rank: Column, pos: Column, value: Column, source: int = 0
+) -> Column:
     return F.struct(
         field.alias("field"),
         key.alias("key"),
         rank.cast("int").alias("rank"),
+        F.lit(source).alias("source"),
         pos.cast("int").alias("pos"),
         value.alias("value"),
     )
@@ -46,10 +41,8 @@ def _one(name: str, rank: Column, value: Column) -> Column:
     return F.when(F.coalesce(value != "", F.lit(False)), F.array(fact))
 
 
-def _many(name: Column, items: Column, key, first_pos: int = 0) -> Column:
-    return F.transform(
-        items, lambda x, i: _fact(name, key(x), F.lit(0), i + first_pos, x)
-    )
+def _many(name: Column, items: Column, key, source: int = 0) -> Column:
+    return F.transform(items, lambda x, i: _fact(name, key(x), F.lit(0), i, x, source))
 
 
 def _page_facts() -> Column:
@@ -62,7 +55,8 @@ def _page_facts() -> Column:
         return x
 
     # The first address of an HQ page is claimed below (claimed_addresses), not here.
-    unclaimed = F.when(on_hq_page, F.slice(addresses, 2, K.ADDRESS_CAP)).otherwise(addresses)
+    rest = F.slice(addresses, F.lit(2), F.greatest(F.size(addresses), F.lit(1)))
+    unclaimed = F.when(on_hq_page, rest).otherwise(addresses)
     parts = [
         _one(
             "company_name",
@@ -77,7 +71,7 @@ def _page_facts() -> Column:
         _one("hq_label", F.lit(0), F.get("headquarters_candidates", F.lit(0))),
         F.when(on_hq_page, _one("hq_address", F.lit(0), F.get(addresses, F.lit(0)))),
         _many(F.lit("other_locations"), unclaimed, same, 1),
-        _many(F.lit("other_locations"), offices, same, K.ADDRESS_CAP + 1),
+        _many(F.lit("other_locations"), offices, same, 2),
         F.when(
             page_type.isin(K.BUCKET_TYPES),
             _many(page_type, F.col("heading_list_items"), F.lower),
@@ -94,7 +88,7 @@ def _page_facts() -> Column:
             lambda s, i: _fact(F.lit("social"), s["platform"], F.lit(0), i, s["href"]),
         ),
     ]
-    empty = F.array().cast("array<struct<field:string,key:string,rank:int,pos:int,value:string>>")
+    empty = F.array().cast("array<struct<field:string,key:string,rank:int,source:int,pos:int,value:string>>")
     return F.concat(*[F.coalesce(p, empty) for p in parts])
 
 
@@ -112,13 +106,16 @@ def _claimed_addresses(pages: DataFrame) -> DataFrame:
         F.lit("other_locations").alias("field"),
         F.col("value").alias("key"),
         F.lit(0).alias("rank"),
+        F.lit(0).alias("source"),
         F.lit(0).alias("pos"),
         "value",
     )
 
 
 def profile_facts(extract: DataFrame) -> DataFrame:
-    """Surviving facts, numbered within (site, field) and cut at the field's cap."""
+    """``site, field, place, key, value`` of all surviving facts. ``extract`` has one row per page
+    with ``site`` and ``seq`` (the order in which pages count as seen) and the fields of
+    ``page_fields``; it is read more than once, so pass a stored table."""
     pages = extract.filter(~F.col("is_third_party"))
     facts = (
         pages.select("site", "seq", F.explode(_page_facts()).alias("f"))
@@ -127,26 +124,49 @@ def profile_facts(extract: DataFrame) -> DataFrame:
     )
     best = (
         facts.groupBy("site", "field", "key")
-        .agg(F.min(F.struct("rank", "seq", "pos", "value")).alias("b"))
+        .agg(F.min(F.struct("rank", "seq", "source", "pos", "value")).alias("b"))
         .select("site", "field", "key", "b.*")
     )
-    by_value = F.when(F.col("field").isin(SORTED_FIELDS), F.col("key")).otherwise("")
-    order = Window.partitionBy("site", "field").orderBy(by_value, "rank", "seq", "pos", "key")
-    cap = F.create_map(*[F.lit(x) for pair in CAPS.items() for x in pair])
-    # The constant bound lets Spark cut each group before the shuffle already.
-    return (
-        best.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= max(CAPS.values()))
-        .filter(F.col("place") <= cap[F.col("field")])
+    by_value = F.col("field").isin(SORTED_FIELDS)
+    order = [
+        F.when(by_value, F.col("key")).otherwise(""),
+        *map(F.col, ("rank", "seq", "source", "pos", "key")),
+    ]
+    # Both follow the order: the first character of a key, the page of a fact.
+    bucket = F.when(by_value, F.ascii("key").cast("bigint")).otherwise(
+        F.floor(F.col("seq") / BUCKET_PAGES)
+    )
+    ranked = running_rank(best, ["site", "field"], order, bucket)
+    return ranked.select(
+        "site", "field", F.col("running_rank").cast("bigint").alias("place"), "key", "value"
+    )
+
+
+def company_facts(facts: DataFrame) -> DataFrame:
+    """``website, field, place, value``: the stored form of all profiles. The label of a
+    headquarters wins over its address."""
+    labelled = facts.filter("field = 'hq_label'").select("site", F.lit("hq_address").alias("field"))
+    named = facts.join(labelled, ["site", "field"], "left_anti").select(
+        F.col("site").alias("website"),
+        F.when(F.col("field").isin("hq_label", "hq_address"), "headquarters")
+        .when(F.col("field") == "social", F.concat(F.lit("social_"), F.col("key")))
+        .otherwise(F.col("field"))
+        .alias("field"),
+        F.when(F.col("field") == "social", 1).otherwise(F.col("place")).alias("place"),
+        "value",
     )
+    return named
 
 
-def build_profiles(extract: DataFrame, sites: DataFrame | None = None) -> DataFrame:
-    """One row per site. ``extract`` has one row per page with ``site`` and ``seq`` (the
-    order in which pages count as seen) and the fields of ``page_fields``; it is read
-    more than once, so pass a stored table. With ``sites`` (column ``site``) sites
-    without any usable page get a row too."""
+def build_profiles(
+    extract: DataFrame, sites: DataFrame | None = None, most: int | None = None
+) -> DataFrame:
+    """One nested row per site, as reports hold it; with ``sites`` (column ``site``) sites without any
+    usable page get a row too. A row holds all distinct items of its site, unless the caller says
+    how many of a list (``most``) are enough; for sites of any size use ``company_facts``."""
     facts = profile_facts(extract)
+    if most is not None:
+        facts = facts.filter((F.col("place") <= most) | (F.col("field") == "social"))
 
     def single(field: str) -> Column:
         return F.max(F.when(F.col("field") == field, F.col("value")))

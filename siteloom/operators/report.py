@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from siteloom import constants as K
 from siteloom.functions import classify as C
 from siteloom.functions import urls as U
 from siteloom.operators.fetchlog import extraction_result
@@ -24,17 +24,18 @@ def page_records(tried: DataFrame, extract: DataFrame) -> DataFrame:
     """One audit row per URL tried.
 
     ``tried``: ``site, seq, url, depth, discovered_from, status, ok, error, final_url``, plus
-    ``rendered_with``. ``extract``: ``url`` and the fields of ``page_fields`` for pages that
-    could be read. A page without a body counts as failed even when the fetch went well.
+    ``rendered_with``. ``extract``: ``site``, ``url`` and the fields of ``page_fields`` for pages
+    that could be read; sites may share pages. A page without a body counts as failed even when the fetch went well.
     Category, flags and title of failed pages come from the URL alone."""
     fields = extract.select(
+        "site",
         "url",
         "title",
         F.col("page_type").alias("read_type"),
         "is_thin_content",
         "has_body",
     )
-    rows = tried.join(fields, "url", "left")
+    rows = tried.join(fields, ["site", "url"], "left")
     has_body = F.col("ok") & F.coalesce("has_body", F.lit(False))
     third_party = U.is_third_party_listing(F.col("url"))
     guess = C.url_guess(F.col("url"), F.col("depth"))
@@ -72,16 +73,13 @@ def crawl_reports(
     records: DataFrame,
     profiles: DataFrame,
     runs: DataFrame,
-    max_pages: int = K.MAX_PAGES,
+    max_pages: int | None = None,
 ) -> DataFrame:
-    """One nested report per site.
-
-    ``runs``: ``site, input_url, started_at, finished_at, stop_reason``. The page list of a
-    report is bounded by the page budget of a crawl. A record with a place (``seq``) beyond
-    it did not come out of one crawl; that is an error rather than something to cut."""
-    page = F.when(
-        F.col("seq") < max_pages, F.struct("seq", F.struct(*PAGE_FIELDS).alias("page"))
-    ).otherwise(F.raise_error(F.lit("page record beyond the page budget of the crawl")))
+    """One nested report per site, with all its page records in their order (``seq``).
+
+    ``runs``: ``site, input_url, started_at, finished_at, stop_reason``. ``max_pages``: the budget
+    that the fetches had, if any, to be stated in the report."""
+    page = F.struct("seq", F.struct(*PAGE_FIELDS).alias("page"))
     pages = (
         records.groupBy("site")
         .agg(F.array_sort(F.collect_list(page)).alias("all_pages"))
@@ -107,6 +105,25 @@ def crawl_reports(
     )
 
 
+def invalid_reports(starts: DataFrame, schema: StructType) -> DataFrame:
+    """Reports of start URLs (``input_url``) that no page can have: no pages and no company."""
+    meta = F.struct(
+        F.lit(None).cast("string").alias("started_at"),
+        F.lit(None).cast("string").alias("finished_at"),
+        *[F.lit(0).cast("bigint").alias(c) for c in
+          ("pages_discovered", "pages_fetched_ok", "pages_failed")],
+        F.lit(None).cast("bigint").alias("max_pages_limit"),
+        F.lit("invalid_start_url").alias("stop_reason"),
+    )
+    return starts.select(
+        F.lit(None).cast("string").alias("site"),
+        "input_url",
+        meta.alias("crawl_meta"),
+        F.lit(None).cast(schema["company"].dataType).alias("company"),
+        F.array().cast(schema["pages"].dataType).alias("pages"),
+    )
+
+
 def _iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 

@@ -266,7 +266,6 @@ def page_texts(spark, folder):
         "page_id",
         _long(F.coalesce(F.length(visible), F.lit(0))).alias("visible_chars"),
         F.md5(visible.cast("binary")).alias("visible_md5"),
-        F.md5(T.text_sample(visible).cast("binary")).alias("sample_md5"),
         (F.coalesce(F.length(visible), F.lit(0)) < 200).alias("is_thin"),
     )
 
@@ -513,21 +512,9 @@ def supplier_links(spark, folder):
 
 @query
 def company_profiles(spark, folder):
-    """The flagship: all pages of each site parsed, extracted and merged into one row."""
+    """The flagship: all pages of each site parsed, extracted and merged into facts."""
     extract = cut_lineage(_supplier_extract(spark, folder).drop("visible_text_sample"))
-    profiles = profile.build_profiles(extract)
-    social = F.array_join(
-        F.transform(
-            F.array_sort(F.map_entries("social_links")),
-            lambda e: F.concat(e["key"], F.lit("="), e["value"]),
-        ),
-        "|",
-    )
-    return profiles.select(
-        "website", "company_name", "description", "headquarters",
-        *[_joined(f) for f in profile.LIST_FIELDS],
-        social.alias("social_links"),
-    )
+    return profile.company_facts(profile.profile_facts(extract))
 
 
 @query
@@ -571,7 +558,7 @@ def _first_round(spark, folder):
     found = seeds.select("site", "url", "depth").join(
         corpus.shop_links(spark, folder).select("url", "ord", "canonical_url", "anchor"), "url"
     )
-    return seeds, seeds.unionByName(frontier.new_frontier_rows(seeds, found))
+    return seeds, seeds.unionByName(frontier.new_frontier_rows(seeds, found, max_depth=None))
 
 
 @query
@@ -600,6 +587,7 @@ def crawl_replay(spark, folder):
         cut_lineage(corpus.shop_archive(spark, folder)),
         cut_lineage(corpus.shop_links(spark, folder)),
         max_pages=3,
+        max_depth=3,
     )
     return fetched.select(
         "site", "url", _long("seq").alias("seq"), _long("depth").alias("depth"),
@@ -615,6 +603,7 @@ def crawl_stops(spark, folder):
         cut_lineage(corpus.shop_archive(spark, folder)),
         cut_lineage(corpus.shop_links(spark, folder).filter("anchor like 'Order%'")),
         max_pages=10,
+        max_depth=3,
         k=9,
     )
     return frontier.stop_reasons(fetched, rows, max_pages=10).select(
@@ -629,7 +618,7 @@ def site_reach(spark, folder):
     )
     seeds = corpus.shop_sites(spark, folder).select("site", F.col("start_url").alias("url"))
     return (
-        frontier.site_reach(seeds, edges)
+        frontier.site_reach(seeds, edges, max_depth=None)
         .groupBy("site", _long("hops").alias("hops"))
         .agg(F.count("*").alias("n_urls"))
     )
@@ -681,7 +670,7 @@ def retry_final(spark, folder):
 @query
 def fetch_outcomes(spark, folder):
     rules = fetchlog.robots_rules(corpus.robots_files(spark, folder))
-    outcomes = fetchlog.fetch_outcomes(corpus.fetch_attempts(spark, folder), rules)
+    outcomes = fetchlog.fetch_outcomes(corpus.fetch_attempts(spark, folder), rules, corpus.AGENT)
     return outcomes.groupBy("ok", "error", _long("status").alias("status")).agg(
         F.count("*").alias("n"), F.sum(_long("attempts")).alias("attempts")
     )
@@ -691,7 +680,7 @@ def fetch_outcomes(spark, folder):
 def robots_decisions(spark, folder):
     rules = fetchlog.robots_rules(corpus.robots_files(spark, folder))
     urls = table(spark, folder, "orders").select(corpus.order_url().alias("url"))
-    return fetchlog.robots_decisions(urls, rules).select("url", "allowed")
+    return fetchlog.robots_decisions(urls, rules, corpus.AGENT).select("url", "allowed")
 
 
 @query
@@ -710,10 +699,10 @@ def politeness(spark, folder):
 
 
 def _supplier_runs(spark, folder):
-    """A crawl of supplier sites one link deep, and a page per supplier that was not there."""
-    pages = corpus.supplier_pages(spark, folder).filter("depth <= 1")
+    """Whole supplier sites, and a page per supplier that was not there."""
+    pages = corpus.supplier_pages(spark, folder)
     gone = pages.filter("seq = 0").select(
-        "site", F.lit(3).cast("bigint").alias("seq"), F.lit(1).alias("depth"),
+        "site", F.lit(1 << 40).alias("seq"), F.lit(1).alias("depth"),
         F.concat("site", F.lit("news/gone")).alias("url"),
     )
     fine = pages.select("site", "seq", "depth", "url")
@@ -794,7 +783,7 @@ def site_reports(spark, folder):
         F.lit(None).cast("string").alias("exception"), F.lit(None).cast("string").alias("message"),
     )
     sites = pages.filter("seq = 0").select(F.upper("url").alias("start_url"))
-    result = report_sites(sites, attempts, max_pages=4, k=4)
+    result = report_sites(sites, attempts, max_pages=4, max_depth=3, k=4)
     meta = "crawl_meta."
     return result.reports.select(
         "input_url", "site",
@@ -849,7 +838,7 @@ def pages_replace(spark, folder):
 
 @query
 def stored_tables(spark, folder):
-    """Company and page rows of reports, merged twice into versioned tables."""
+    """Company and page rows of reports, merged twice into partitioned tables."""
     reports = cut_lineage(_supplier_reports(spark, folder))
     companies, pages = _scratch(spark, "companies"), _scratch(spark, "pages")
     for _ in range(2):
@@ -869,9 +858,7 @@ def stored_tables(spark, folder):
 def feed_extract(spark, folder):
     """Page files as a stream, fields appended; equal to the batch result."""
     out = _scratch(spark, "feed")
-    # One small file makes one split; spread it, as a feed of many files is by itself.
-    cores = spark.sparkContext.defaultParallelism
-    pages = feed.page_feed(spark, folder, "pages.parquet").repartition(cores, "page_id")
+    pages = spread(feed.page_feed(spark, folder, "pages.parquet"), "page_id")
     fields = feed.extract_feed(pages).select(
         "page_id", "title", "page_type", "company_name_guess",
         _long("visible_chars").alias("visible_chars"), _joined("emails"),
@@ -909,26 +896,28 @@ def crawl_health(spark, folder):
 
 @query
 def feed_health(spark, folder):
-    """The same figures from a stream; windows come out once the watermark passed them, so
-    the day of the last event is still open at the end."""
+    """The same figures from a stream; windows still open at the end are updated in place."""
     out = _scratch(spark, "health")
     log = corpus.outcome_log(_event_stream(spark, folder))
     health = feed.crawl_health(log, "ts", "1 day", "10 minutes").select(
         _long(F.unix_seconds(F.col("window.start"))).alias("window_start"),
         "fetches", "failed_rate", "dynamic_rate", "third_party_rate",
     )
-    feed.run_to_end(health, out, _scratch(spark, "health-state"))
-    return spark.read.parquet(out)
+    feed.merge_to_end(health, out, _scratch(spark, "health-state"), ["window_start"])
+    return store.read_table(spark, out).drop("batch")
 
 
 @query
 def feed_profiles(spark, folder):
-    """Profiles kept up to date from a stream of page files."""
+    """Facts kept up to date from a stream of page files, of which some pages came before with
+    another body."""
     landing, extract = _scratch(spark, "landing"), _scratch(spark, "extract")
-    profiles = _scratch(spark, "profiles")
-    corpus.supplier_pages(spark, folder).write.parquet(landing)
-    pages = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
-    feed.refresh_profiles(extract_pages(pages), extract, profiles, _scratch(spark, "profile-state"))
-    return store.read_table(spark, profiles).select(
-        "website", "company_name", "headquarters", _joined("industries"), _joined("phones")
-    )
+    facts, state = _scratch(spark, "facts"), _scratch(spark, "profile-state")
+    pages = corpus.supplier_pages(spark, folder)
+    stale = F.concat(F.lit("<title>Old name</title><p>old@before.test</p>"), "html")
+    schema = pages.schema
+    for batch in (pages.filter("depth <= 1").withColumn("html", stale), pages):
+        batch.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schema).parquet(landing)
+        feed.refresh_profiles(extract_pages(stream), extract, facts, state)
+    return store.read_table(spark, facts).filter("field is not null")

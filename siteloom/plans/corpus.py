@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators.links import with_canonical_url
 from siteloom.operators.prefix import running_rank
-from siteloom.sources.tables import table
+from siteloom.sources.tables import spread, table
 
 
 def _fill(template: str) -> Column:
@@ -77,6 +77,8 @@ MEMBER = """<html><head><title>{c_name} Pvt Ltd</title>
 <address>{c_name}, Elsewhere Road, {n_name}</address>
 <p>contact@member-{c_custkey}.test</p></body></html>"""
 
+#: The agent that the robots files of shops know.
+AGENT = "SiteloomBot/1.0"
 PAGE_COLUMNS = ["page_id", "site", "seq", "depth", "url", "html"]
 
 
@@ -174,8 +176,7 @@ def supplier_pages(spark: SparkSession, folder: str) -> DataFrame:
     out = pages[0]
     for p in pages[1:]:
         out = out.unionByName(p)
-    # The rows are few bytes each until here, and parsing is not: keep all cores busy.
-    return out.repartition(spark.sparkContext.defaultParallelism * 2, "page_id")
+    return spread(out, "page_id")
 
 
 # --- shops: a link graph over customers, orders and lines -----------------------------
@@ -325,7 +326,7 @@ def robots_files(spark: SparkSession, folder: str) -> DataFrame:
         "case c_mktsegment"
         " when 'BUILDING' then 'User-agent: *\\nDisallow: /orders/1\\nAllow: /orders\\n'"
         " when 'AUTOMOBILE' then concat('User-agent: *\\nDisallow: /\\n\\n# ours\\n"
-        "User-agent: otherbot\\nuser-agent: CompanyInfoBot # us\\nAllow: /orders/2\\n"
+        "User-agent: otherbot\\nuser-agent: SiteloomBot # us\\nAllow: /orders/2\\n"
         "Crawl-delay: 5\\nDisallow: /orders/', c_nationkey % 10, '\\n')"
         " when 'HOUSEHOLD' then"
         " 'Sitemap: /s.xml\\nUser-agent: otherbot\\nDisallow: /\\nUser-agent: *\\nDisallow:\\n'"

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom import constants as K
+from siteloom.functions import urls as U
 from siteloom.operators import frontier
 from siteloom.operators.extract import choose_body, page_fields, parse_pages
 from siteloom.operators.fetchlog import fetch_outcomes, robots_rules
 from siteloom.operators.links import page_links
 from siteloom.operators.profile import build_profiles
-from siteloom.operators.report import crawl_reports, page_records
+from siteloom.operators.report import crawl_reports, invalid_reports, page_records
 from siteloom.session import cut_lineage
 
 
@@ -29,16 +30,19 @@ def report_sites(
     attempts: DataFrame,
     robots: DataFrame | None = None,
     rendered: DataFrame | None = None,
-    max_pages: int = K.MAX_PAGES,
-    max_depth: int = K.MAX_DEPTH,
+    max_pages: int | None = None,
+    max_depth: int | None = None,
     k: int = 1,
+    user_agent: str = "*",
 ) -> SiteReports:
     """Replay the crawl of each site over a fetch log, read what it reached, and report.
 
     ``sites``: ``start_url``, a row per site. ``attempts``: the log (fetchlog.retry_reduction),
     keyed by canonical URL. ``robots``: robots.txt files, absent if they are not respected.
-    ``rendered``: browser-rendered bodies by URL, absent without dynamic rendering."""
-    started = F.current_timestamp()
+    ``rendered``: browser-rendered bodies by URL, absent without dynamic rendering. ``max_pages``
+    and ``max_depth`` are the budget of a site, None for all that can be reached. A start URL that
+    is none gets a report of its own, with nothing but the reason."""
+    started = datetime.now(UTC)
     seeds = frontier.seed_frontier(sites.select(F.col("start_url").alias("site"), "start_url"))
     # A site is known by its canonical start URL from here on.
     roots = cut_lineage(
@@ -46,7 +50,7 @@ def report_sites(
                      F.col("site").alias("input_url")).dropDuplicates(["site"])
     )
     rules = None if robots is None else robots_rules(robots)
-    outcomes = cut_lineage(fetch_outcomes(attempts, rules))
+    outcomes = cut_lineage(fetch_outcomes(attempts, rules, user_agent))
     bodies = outcomes.filter("ok and html <> ''").select(
         F.xxhash64("url").alias("page_id"), "url", "final_url", "html"
     )
@@ -77,7 +81,13 @@ def report_sites(
         frontier.stop_reasons(fetched, rows, max_pages)
         .select("site", "stop_reason")
         .join(roots.select("site", "input_url"), "site")
-        .withColumn("started_at", started)
-        .withColumn("finished_at", F.current_timestamp())
+        # The records have been written by now: this run is over.
+        .withColumn("started_at", F.lit(started))
+        .withColumn("finished_at", F.lit(datetime.now(UTC)))
+    )
+    reports = crawl_reports(records, profiles, runs, max_pages)
+    good = U.canonical_url("start_url").isNotNull()
+    invalid = sites.filter(~good).select(F.col("start_url").alias("input_url")).distinct()
+    return SiteReports(
+        records, extract, profiles, reports.unionByName(invalid_reports(invalid, reports.schema))
     )
-    return SiteReports(records, extract, profiles, crawl_reports(records, profiles, runs, max_pages))

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Test tables are single files.
+    "spark.siteloom.spreadScans": "true",
     # Call sites per expression cost more than the expressions; turn on when debugging.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

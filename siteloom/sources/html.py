@@ -14,19 +14,16 @@ any body is put into a paragraph, and the end of input closes what is left.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from siteloom import constants as K
+from siteloom.session import ship_package
 
-# Workers get this module with the task, so the package need not be installed on them.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CHROME_TAGS, CHROME_CLASS_HINTS, CHROME_ID_HINTS = (
     K.CHROME_TAGS, K.CHROME_CLASS_HINTS, K.CHROME_ID_HINTS,
 )
@@ -164,6 +161,10 @@ _MARKUP = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL,
 )
+# The same behind the last > of a page, where no tag can end; so none is looked for.
+_TAIL = re.compile(
+    r"<!--(?P<comment>.*?)(?:-->|\Z)|(?P<end>(?!))(?P<tag>)(?P<attrs>)|<[!?/][^>]*(?:>|\Z)", re.DOTALL
+)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'>]+/$")
 _RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in ("script", "style")}
@@ -290,8 +291,8 @@ class _Outline:
 
     # -- page ----------------------------------------------------------------------
     def outline(self, html: str) -> tuple[list[dict], list[tuple]]:
-        at = 0
-        while markup := _MARKUP.search(html, at):
+        at, last = 0, html.rfind(">")
+        while markup := (_MARKUP if at <= last else _TAIL).search(html, at):
             self.data += _text(html[at : markup.start()])
             at = markup.end()
             tag, comment = markup["tag"], markup["comment"]
@@ -386,6 +387,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def outlines(pages: DataFrame) -> DataFrame:
     """Replace the ``html`` column by ``elems`` and ``texts``; other columns pass through."""
     kept = [f for f in pages.schema.fields if f.name != "html"]
+    ship_package(pages.sparkSession)
     return pages.mapInArrow(_parse_batches, T.StructType(kept + OUTLINE_FIELDS))
 
 

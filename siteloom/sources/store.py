@@ -1,17 +1,18 @@
 """Tables that hold the latest state per key, and JSON reports.
 
-Parquet tables cannot be updated in place. A table here is a folder of numbered versions;
-a merge reads the newest one and writes the next, so readers always see a whole version and
-a failed write leaves the old one as it was.
+Parquet tables cannot be updated in place. A table here is partitioned by a hash of its first key; a
+merge rewrites the partitions that its rows fall into and leaves all others alone.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteloom.operators.report import COMPANY_FIELDS, PAGE_FIELDS
+from siteloom.session import cut_lineage
 
 # Not part of the relational page table.
 UNSTORED_PAGE_FIELDS = ["final_url", "is_third_party"]
@@ -63,37 +64,58 @@ def replace_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     return latest_wins(old, new, ["website", "url"], "crawled_at")
 
 
-# --- versioned tables -----------------------------------------------------------------
+# --- partitioned tables -----------------------------------------------------------------
 
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    done = [
-        s.getPath().getName()
-        for s in fs.listStatus(folder)
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return sorted(int(n[2:]) for n in done if n.startswith("v="))
+PART = "part"
+#: Partitions of a table; a merge rewrites those it touches.
+PARTS = 64
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
+    """The table at ``path`` without its partition column; None before the first merge."""
+    stored = _stored(spark, path)
+    return None if stored is None else stored.drop(PART)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def replace_parts(path: str, rows: DataFrame) -> None:
+    """Write ``rows`` (with ``part``) over the partitions they have."""
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PART)
+        .parquet(path)
+    )
+
+
+def touched_parts(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``stored`` in partitions that ``rows`` have; at most ``PARTS`` numbers."""
+    parts = [r[0] for r in rows.select(PART).distinct().collect()]
+    return stored.filter(F.col(PART).isin(parts))
+
+
+def with_part(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn(PART, F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
 
 
 def merge_table(path: str, new: DataFrame, keys: list[str], version: str = "crawled_at") -> None:
-    """Merge ``new`` into the table at ``path``; the first merge creates it."""
-    spark = new.sparkSession
-    versions = _versions(spark, path)
+    """Merge ``new`` into the table at ``path``, latest wins; the first merge creates it."""
+    new = cut_lineage(with_part(new, keys[0]))
+    stored = _stored(new.sparkSession, path)
     merged = new
-    if versions:
-        merged = latest_wins(read_table(spark, path), new, keys, version)
-    following = versions[-1] + 1 if versions else 1
-    merged.write.mode("overwrite").parquet(f"{path}/v={following}")
+    if stored is not None:
+        old = touched_parts(stored, new)
+        # Written aside first, as a partition cannot be read while it is replaced.
+        merged = cut_lineage(latest_wins(old, new, [*keys, PART], version))
+    replace_parts(path, merged)
 
 
 # --- JSON -----------------------------------------------------------------------------
@@ -152,20 +174,14 @@ REPORT_SCHEMA = T.StructType(
 )
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """Nested JSON, one line per site, nulls kept; reports of one host share a folder."""
-    host = F.replace(
-        F.regexp_extract("input_url", "^[^:]+://([^/?#]*)", 1), F.lit(":"), F.lit("_")
-    )
-    # Hosts stay together in few files, yet a host with many reports is not one task.
-    spread = F.pmod(F.xxhash64("input_url"), F.lit(16))
+def write_reports(reports: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Nested JSON, one line per site, nulls kept, in folders by a hash of the start URL."""
     (
-        reports.withColumn("host", host)
-        .repartition("host", spread)
+        reports.withColumn(PART, F.pmod(F.xxhash64("input_url"), F.lit(parts)))
         .drop("site")
         .write.mode("overwrite")
         .option("ignoreNullFields", "false")
-        .partitionBy("host")
+        .partitionBy(PART)
         .json(path)
     )
 

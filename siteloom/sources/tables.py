@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siteloom import constants as K
+#: Session setting: whether scans of costly rows are dealt over all cores.
+SPREAD = "spark.siteloom.spreadScans"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,13 +13,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a plain scan whose rows are costly to work on. A scan of
-    many splits, as any large table has, is left as it is and not shuffled."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+    """Deal the rows of a scan over all cores, if the session asks for it: a single small file is
+    one task otherwise, however costly its rows are. Off unless set, so large tables are not
+    shuffled."""
+    spark = scan.sparkSession
+    if spark.conf.get(SPREAD, "false") != "true":
+        return scan
+    return scan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, url, html`` with bodies over the size cap rejected before any parsing."""
-    pages = table(spark, folder, "pages").select("page_id", "url", "html")
-    return spread(pages.filter(F.octet_length("html") <= K.MAX_PAGE_BYTES), "page_id")
+    """``page_id, url, html`` of every page, however large."""
+    return spread(table(spark, folder, "pages").select("page_id", "url", "html"), "page_id")

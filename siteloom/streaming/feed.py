@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siteloom.operators.extract import extract_pages
 from siteloom.operators.links import with_canonical_url
-from siteloom.operators.profile import build_profiles
-from siteloom.sources.store import merge_table
+from siteloom.operators.profile import company_facts, profile_facts
+from siteloom.session import cut_lineage
+from siteloom.sources import store
 
 PAGE_FEED_SCHEMA = "page_id bigint, url string, html string"
 
@@ -69,23 +70,25 @@ def crawl_health(outcomes: DataFrame, time: str, width: str, lateness: str) -> D
 
 
 def refresh_profiles(
-    extracted: DataFrame, extract_path: str, profile_path: str, checkpoint: str
+    extracted: DataFrame, extract_path: str, facts_path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Append new page fields to the extract table, then rebuild the profiles of the sites
-    they touch and merge them into the profile table.
+    """Keep the facts of all sites up to date with a stream of page fields (``site``, ``seq``,
+    ``url``, ...). Of every page the newest version counts, so what a page no longer says goes.
 
-    A batch that is run again writes its folder again and merges to the same result."""
+    Facts without a ``field`` are to be skipped. Both tables are partitioned by site; a batch reads and rewrites the partitions that it touches.
+    A batch that is run again comes to the same result."""
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{extract_path}/batch={batch_id}")
-        every = spark.read.parquet(extract_path)
-        touched = every.filter(F.col("batch") == batch_id).select("site").distinct()
-        # Sites without a new page keep their stored profile; theirs are not read again.
-        profiles = build_profiles(every.drop("batch").join(touched, "site", "left_semi"))
-        merge_table(
-            profile_path, profiles.withColumn("crawled_at", F.lit(batch_id)), ["website"]
-        )
+        new = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        store.merge_table(extract_path, new, ["site", "url"], "batch")
+        touched = store.with_part(batch.select("site").distinct(), "site")
+        pages = store.touched_parts(spark.read.parquet(extract_path), touched)
+        facts = store.with_part(company_facts(profile_facts(pages)), "website")
+        # A row without a field in every partition, so that one left without facts is replaced too.
+        marks = touched.select(store.PART).distinct()
+        facts = facts.unionByName(marks, allowMissingColumns=True)
+        store.replace_parts(facts_path, cut_lineage(facts))
 
     query = (
         extracted.writeStream.foreachBatch(refresh)
@@ -95,3 +98,20 @@ def refresh_profiles(
     )
     query.awaitTermination()
     return query
+
+
+def merge_to_end(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
+    """Run a stream of updated rows to its end and keep the last of each key, so that windows still
+    open are part of the table too."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        store.merge_table(path, batch.withColumn("batch", F.lit(batch_id)), keys, "batch")
+
+    query = (
+        stream.writeStream.foreachBatch(merge)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()

@@ -1,5 +1,7 @@
 """Field and item rules on small pages, one per rule."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +302,17 @@ def test_shell_needs_little_text(spark):
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))
     got = parse_pages(df).select("page_id", F.expr(P.is_js_shell()).alias("shell")).collect()
     assert {r.page_id: r.shell for r in got} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_unclosed_tags_are_read_once(spark):
+    started = time.perf_counter()
+    html = "<title>T</title><p>x</p>" + "<a href=" * 200_000
+    rows = spark.createDataFrame([(1, "https://a.test/", html)], "page_id long, url string, html string")
+    assert extract_pages(rows).select("title").first().title == "T"
+    assert time.perf_counter() - started < 60
+
+
+def test_pages_of_any_size_are_read(spark):
+    html = "<title>T</title>" + "<p>some words here</p>" * 300_000
+    rows = spark.createDataFrame([(1, "https://a.test/", html)], "page_id long, url string, html string")
+    assert len(html) > 5_000_000 and extract_pages(rows).select("title").first().title == "T"

@@ -44,7 +44,7 @@ LOG = [
 
 
 def test_outcomes(spark):
-    got = {r.url: r for r in fetchlog.retry_reduction(spark.createDataFrame(LOG, ATTEMPTS)).collect()}
+    got = {r.url: r for r in fetchlog.retry_reduction(spark.createDataFrame(LOG, ATTEMPTS), 3, 5_000_000).collect()}
     errors = {u: r.error for u, r in got.items()}
     assert errors == {
         "ok": None, "gone": "http_404", "denied": "http_403", "busy": "http_500", "late": None, "moved": None,
@@ -61,10 +61,10 @@ def test_outcomes(spark):
 
 FILES = {
     "http://a.test": "User-agent: *\nDisallow: /private\nAllow: /\n",
-    "http://b.test": "User-agent: companyinfobot\nDisallow: /x\n\nUser-agent: *\nDisallow: /\n",
+    "http://b.test": "User-agent: siteloombot\nDisallow: /x\n\nUser-agent: *\nDisallow: /\n",
     "http://c.test": "# nothing\n\nDisallow: /\nUser-agent: *\n\nDisallow: /y\n",
     "http://d.test": "User-agent: other\nUser-agent: *\nDisallow:\n",
-    "http://e.test": "User-agent: *\nAllow: /p/ok\nDisallow: /p # end\nUser-agent: infobot\nCrawl-delay: 3\nDisallow: /q\n",
+    "http://e.test": "User-agent: *\nAllow: /p/ok\nDisallow: /p # end\nUser-agent: loombot\nCrawl-delay: 3\nDisallow: /q\n",
     "http://f.test": "user-AGENT : *\r\nDISALLOW : /caf%C3%A9\r\nnonsense\r\nDisallow: *\r\n",
     "http://g.test": "User-agent: *\nDisallow: /a\n\nUser-agent: *\nDisallow: /b\n",
 }
@@ -75,7 +75,7 @@ def test_robots_agree_with_the_standard_parser(spark):
     files = [(h, 200, body) for h, body in FILES.items()] + [("http://z.test", 404, "User-agent: *\nDisallow: /")]
     rules = fetchlog.robots_rules(spark.createDataFrame(files, "host_key string, status int, body string"))
     urls = [(h + p,) for h, _, _ in files for p in PATHS] + [("http://unknown.test/a",)]
-    got = fetchlog.robots_decisions(spark.createDataFrame(urls, "url string"), rules).collect()
+    got = fetchlog.robots_decisions(spark.createDataFrame(urls, "url string"), rules, "SiteloomBot/1.0").collect()
     parsers = {}
     for host, body in FILES.items():
         parsers[host] = urllib.robotparser.RobotFileParser()
@@ -83,7 +83,7 @@ def test_robots_agree_with_the_standard_parser(spark):
     assert len(got) == len(urls)
     for r in got:
         host = "/".join(r.url.split("/")[:3])
-        want = parsers[host].can_fetch("CompanyInfoBot/1.0", r.url) if host in parsers else True
+        want = parsers[host].can_fetch("SiteloomBot/1.0", r.url) if host in parsers else True
         assert r.allowed is want, r.url
 
 

@@ -46,6 +46,7 @@ def result(spark):
         spark.createDataFrame(robots, "host_key string, status int, body string"),
         spark.createDataFrame(rendered, "url string, ok boolean, html string"),
         max_pages=25,
+        max_depth=3,
         k=25,
     )
     return reports
@@ -68,7 +69,10 @@ def test_records(result):
 
 
 def test_report(result):
-    (report,) = result.reports.collect()
+    report, bad = sorted(result.reports.collect(), key=lambda r: r.site is None)
+    assert bad.input_url == "mailto:nobody" and bad.crawl_meta.stop_reason == "invalid_start_url"
+    assert bad.pages == [] and bad.company is None
+    assert report.crawl_meta.started_at < report.crawl_meta.finished_at
     assert report.input_url == R and report.site == R + "/"
     assert report.crawl_meta.stop_reason == "queue_exhausted"
     assert report.crawl_meta.pages_discovered == len(report.pages) == report.crawl_meta.pages_fetched_ok + 6

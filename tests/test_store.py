@@ -74,8 +74,8 @@ def test_report_json(spark):
     assert report["company"]["headquarters"] is None and report["pages"][0]["error"] is None
     assert report["company"]["social_links"] == {"twitter": "https://x.com/m"}
     assert len(report["pages"]) == 5 and report["pages"][3]["is_third_party"] is True
-    hosts = {f.rsplit("host=", 1)[1].split("/")[0] for f in spark.read.json(path).inputFiles()}
-    assert hosts == {"mill.test_8080"}
+    folders = [f.rsplit("part=", 1)[1].split("/")[0] for f in spark.read.json(path).inputFiles()]
+    assert len(folders) == 1 and 0 <= int(folders[0]) < store.PARTS
     back = store.read_reports(spark, path).first()
     assert back.pages[1].final_url == S + "about-us" and back.company.products == []
 
@@ -133,5 +133,28 @@ def test_profiles_follow_the_feed(spark):
     add((1, a, 5, 1, a + "x", "<title>First A</title>"), (2, b, 0, 0, b, "<title>B Mill</title>"))
     time.sleep(1)
     add((3, a, 0, 0, a, "<title>Real A</title>"))
-    got = {r.website: r.company_name for r in store.read_table(spark, table).collect()}
-    assert got == {a: "Real A", b: "B Mill"}
+
+    def names():
+        rows = store.read_table(spark, table).filter("field = 'company_name'").collect()
+        return {r.website: r.value for r in rows}
+
+    assert names() == {a: "Real A", b: "B Mill"}
+    time.sleep(1)
+    add((2, b, 0, 0, b, "<p>now@b.test</p>"), (4, a, 7, 1, a + "y", "<p>x</p>"))
+    # What the newer version of a page no longer says is gone.
+    assert names() == {a: "Real A", b: "B"}
+    mails = store.read_table(spark, table).filter("field = 'emails'").collect()
+    assert [(r.website, r.value) for r in mails] == [(b, "now@b.test")]
+
+
+def test_two_starts_on_one_host_share_pages(spark):
+    pages = spark.createDataFrame(
+        [(k, S, S, 0, 0, "<title>Home</title>") for k in (1,)] + [(2, S, S + "about", 1, 1, "<title>About</title>"),
+         (3, S + "about", S + "about", 0, 0, "<title>About</title>")],
+        "page_id long, site string, url string, seq int, depth int, html string",
+    )
+    tried = spark.createDataFrame(
+        [(r.site, r.seq, r.url, r.depth, None, 200, True, None, r.url, "static") for r in pages.collect()], TRIED
+    )
+    got = sorted((r.site, r.url, r.page_type) for r in page_records(tried, extract_pages(pages)).collect())
+    assert got == [(S, S, "home"), (S, S + "about", "about"), (S + "about", S + "about", "home")]
