@@ -42,7 +42,14 @@ def quantised(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding")
     fine = x.isNotNull() & F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf"))
     )
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("double"))
+
+
+    def whole_number(c: Column) -> Column:
+        scaled = c.cast("double") * SCALE
+        # Doubles from here on are whole anyway, and may be beyond a long.
+        return F.when(F.abs(scaled) < _EXACT, F.floor(scaled).cast("double")).otherwise(scaled)
+
+    whole = F.transform(x, whole_number)
     return vectors.filter(fine & F.col(id).isNotNull()).select(
         F.col(id).cast("long").alias("vec_id"), whole.alias("v")
     )
@@ -51,6 +58,8 @@ def quantised(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding")
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     """Rows of equal width, short ones filled up with zeros."""
     sizes = np.diff(lists.offsets.to_numpy())
+    if not width:
+        return np.zeros((len(sizes), 0))
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     if len(sizes) and (sizes == width).all():
         return flat.reshape(-1, width)
@@ -150,6 +159,7 @@ def _needed(queries: DataFrame, how: Plan, radius: np.ndarray, k: int) -> DataFr
             reach = rows @ pivots.T + np.sqrt((rows**2).sum(axis=1))[:, None] * radius
             # Room for rounding: a group is left out only if it is clearly out of reach.
             reach += 1e-6 * (1 + np.abs(reach))
+            reach = np.clip(reach, -_LONG - 1, _LONG)  # as scores are
             cells = batch.column(2).to_numpy()
             query, target = np.nonzero((reach >= bound[:, None]) & (radius >= 0))
             pairs = np.unique(np.stack([cells[query], target.astype(np.int32)]), axis=1)

@@ -6,7 +6,7 @@ the text, are matched against ordered licence rules: a rule fits where its ident
 other; the rules for whole texts come first and use up what they match.
 
 A line end closes a sentence in a first reading, and is a blank in a second one, since licence texts
-are often wrapped; licences of either reading count. All of it is local to a row and native. Null and
+are often wrapped; the reading that knows more sentences counts, the first of equals. All of it is local to a row and native. Null and
 empty texts have no sentence. Repeated rows get equal results."""
 
 from __future__ import annotations
@@ -87,39 +87,35 @@ def _match(ids: Column) -> tuple[list[Column], Column]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, sentence_ids, n_known, licenses, n_left`` per row: the identifiers (of the reading
-    across lines if it finds more), how many, the licences in the order of the rules, and the
-    number of identifiers outside any rule."""
-    read = docs.select(
+    """``doc_id, sentence_ids, n_known, licenses, n_left`` per row: the identifiers, how many, the
+    licences in the order of the rules, and the number of identifiers outside any rule."""
+    text = F.col("text")
+    both = docs.select(
         "doc_id",
-        known_sentences(F.col("text"), BY_LINE).alias("by_line"),
-        known_sentences(F.col("text"), ACROSS_LINES).alias("across"),
+        known_sentences(text, BY_LINE).alias("by_line"),
+        known_sentences(text, ACROSS_LINES).alias("across"),
     )
-    line_fits, line_left = _match(F.col("by_line"))
-    cross_fits, cross_left = _match(F.col("across"))
+    more = _count(F.col("across")) > _count(F.col("by_line"))
+    read = both.select("doc_id", F.when(more, F.col("across")).otherwise(F.col("by_line")).alias("ids"))
+    fits, left = _match(F.col("ids"))
     names = list(dict.fromkeys(name for name, _ in RULES))
     licenses = [
-        F.when(
-            _any([x | y for (n, _), x, y in zip(RULES, line_fits, cross_fits, strict=True) if n == name]),
-            F.lit(name),
-        )
+        F.when(_any([f for (n, _), f in zip(RULES, fits, strict=True) if n == name]), F.lit(name))
         for name in names
     ]
-
-    def count(ids: Column) -> Column:
-        return F.size(F.filter(F.split(ids, " "), lambda s: s.rlike("[a-z]")))
-
-    more = count(F.col("across")) > count(F.col("by_line"))
-    ids = F.when(more, F.col("across")).otherwise(F.col("by_line"))
     return read.select(
         "doc_id",
-        F.trim(F.replace(ids, F.lit("  "), F.lit(" "))).alias("sentence_ids"),
-        F.when(ids == "", 0).otherwise(count(ids)).cast("long").alias("n_known"),
+        F.trim(F.replace("ids", F.lit("  "), F.lit(" "))).alias("sentence_ids"),
+        _count(F.col("ids")).alias("n_known"),
         F.concat_ws(",", *licenses).alias("licenses"),
-        F.when(more, count(cross_left)).otherwise(count(line_left)).cast("long").alias("n_left"),
+        _count(left).alias("n_left"),
     )
 
 
+def _count(ids: Column) -> Column:
+    return F.size(F.filter(F.split(ids, " "), lambda s: s.rlike("[a-z]"))).cast("long")
+
+
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -40,40 +40,32 @@ def _license_reading(name: str, ends: str) -> str:
     else ' ' || array_to_string(ids, '  ') || ' ' end as s0 from {name}_ids)"""
 
 
-def _license_rules(name: str) -> str:
-    steps, at = [], f"{name}_text"
+def _license_sql() -> str:
+    steps, at = [], "chosen"
     for k, (_, rule) in enumerate(RULES):
         run = "".join(f" {i} " for i in rule)
         steps.append(
-            f"{name}_{k} as (select *, contains(s{k}, '{run}') as f{k},"
+            f"rule_{k} as (select *, contains(s{k}, '{run}') as f{k},"
             f" replace(s{k}, '{run}', '|') as s{k + 1} from {at})"
         )
-        at = f"{name}_{k}"
-    return ",\n".join(steps)
-
-
-def _license_sql() -> str:
-    last = len(RULES) - 1
-    names = list(dict.fromkeys(n for n, _ in RULES))
+        at = f"rule_{k}"
     tests = []
-    for name in names:
-        own = [k for k, (n, _) in enumerate(RULES) if n == name]
-        either = " or ".join(f"a.f{k} or b.f{k}" for k in own)
-        tests.append(f"case when {either} then '{name}' end")
-    left = "len(list_filter(string_split({}.s{}, ' '), lambda x: regexp_matches(x, '[a-z]')))"
+    for name in dict.fromkeys(n for n, _ in RULES):
+        own = " or ".join(f"f{k}" for k, (n, _) in enumerate(RULES) if n == name)
+        tests.append(f"case when {own} then '{name}' end")
+    rules = ",\n".join(steps)
     return f"""
 with numbered as (select doc_id, text, row_number() over () as r from documents),
 {_license_reading("a", BY_LINE)},
 {_license_reading("b", ACROSS_LINES)},
-{_license_rules("a")},
-{_license_rules("b")}
-select n.doc_id,
-  trim(replace(case when b.n > a.n then b.s0 else a.s0 end, '  ', ' ')) as sentence_ids,
-  greatest(a.n, b.n)::bigint as n_known,
+chosen as (
+  select doc_id, greatest(a.n, b.n) as n, case when b.n > a.n then b.s0 else a.s0 end as s0
+  from numbered join a_text a using (r) join b_text b using (r)),
+{rules}
+select doc_id, trim(replace(s0, '  ', ' ')) as sentence_ids, n::bigint as n_known,
   concat_ws(',', {", ".join(tests)}) as licenses,
-  (case when b.n > a.n then {left.format("b", last + 1)}
-    else {left.format("a", last + 1)} end)::bigint as n_left
-from numbered n join a_{last} a using (r) join b_{last} b using (r)
+  len(list_filter(string_split(s{len(RULES)}, ' '), lambda x: regexp_matches(x, '[a-z]')))::bigint as n_left
+from {at}
 """
 
 

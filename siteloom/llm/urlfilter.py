@@ -29,48 +29,36 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-# Labelled addresses; 1 is to be blocked.
+# Hosts to be blocked, hosts to be allowed, and paths of either.
+BLOCKED_HOSTS = [
+    "www.cheap-pills.example.com", "cheap-pills.example.net", "buy-cheap-meds.example.net",
+    "pills-online.example.com", "www.free-casino.example.com", "casino-bonus.example.net",
+    "best-casino.example.org", "adult-chat.example.com", "xxx-videos.example.net",
+    "hot-xxx.example.com", "win-money-now.example.net", "payday-loans.example.com",
+    "cheap-loans.example.net", "free-money.example.com", "replica-watches.example.net",
+    "cheap-viagra.example.com", "ads-track.example.net", "m.track-ads.example.com",
+    "spam-farm.example.com", "blog.link-farm.example.net", "free-bets.example.com",
+    "adult-x.example.net",
+]
+ALLOWED_HOSTS = [
+    "www.example.com", "blog.garden.example.net", "news.city.example.com", "m.river.example.net",
+    "history.example.com", "school.example.net", "blog.kitchen.example.net", "news.example.org",
+    "www.library.example.com", "maps.travel.example.net", "music.example.com", "m.home.example.com",
+    "www.science.example.net", "forum.linux.example.com", "m.weather.example.net",
+    "docs.python.example.com", "thther.example.net", "tionsh.example.net", "blog.ththon.example.com",
+    "www.there.example.net", "blog.tionble.example.org", "m.tiontion.example.com", "therin.example.net",
+    "shop.river-side.example.com", "www.new-town.example.org", "old-mill.example.net",
+]
+PATHS = [
+    "/en/12", "/es/854/", "/fr/748", "/de/92.html", "/en/4", "/en/8410.html", "/fr/5/", "/de/131408",
+    "/es/71", "/en/327/", "/", "", "/fr/101.html", "/de/6", "/es/99893/", "/en/545",
+]
+# Every host with five of the paths, so that no path speaks for either side; 1 is to be blocked.
 LABELLED = [
-    ("http://www.cheap-pills.example.com/en/12", 1),
-    ("https://cheap-pills.example.net/en/7?ref=x", 1),
-    ("http://buy-cheap-meds.example.net/en/offer", 1),
-    ("http://pills-online.example.com/es/3", 1),
-    ("https://www.free-casino.example.com/en/play", 1),
-    ("http://casino-bonus.example.net/de/81", 1),
-    ("http://best-casino.example.org/fr/9", 1),
-    ("https://adult-chat.example.com/en/5", 1),
-    ("http://xxx-videos.example.net/en/31", 1),
-    ("http://hot-xxx.example.com/es/6", 1),
-    ("http://win-money-now.example.net/en/2", 1),
-    ("https://payday-loans.example.com/en/apply", 1),
-    ("http://cheap-loans.example.net/de/4", 1),
-    ("http://free-money.example.com/en/click", 1),
-    ("https://replica-watches.example.net/fr/1", 1),
-    ("http://cheap-viagra.example.com/en/order", 1),
-    ("http://ads-track.example.net/en/44", 1),
-    ("https://track-ads.example.com/fr/13.html", 1),
-    ("http://spam-farm.example.com/en/61", 1),
-    ("http://link-farm.example.net/es/20", 1),
-    ("http://free-bets.example.com/en/15/", 1),
-    ("https://adult-x.example.net/de/38", 1),
-    ("http://www.example.com/en/327", 0),
-    ("https://blog.garden.example.net/en/118", 0),
-    ("http://news.city.example.com/fr/748?page=2", 0),
-    ("https://m.river.example.net/fr/510/", 0),
-    ("http://history.example.com/es/92.html", 0),
-    ("https://school.example.net/de/217", 0),
-    ("http://blog.kitchen.example.net/en/142#top", 0),
-    ("https://www.library.example.com/es/854/", 0),
-    ("http://maps.travel.example.net/de/49", 0),
-    ("https://music.example.com/en/825#top", 0),
-    ("http://www.science.example.net/en/996?page=2&ref=x", 0),
-    ("https://forum.linux.example.com/en/12", 0),
-    ("http://m.weather.example.net/es/545", 0),
-    ("https://docs.python.example.com/en/tutorial", 0),
-    ("http://thther.example.net/en/217", 0),
-    ("https://tionsh.example.net/es/101/", 0),
-    ("http://blog.ththon.example.com/en/8410.html", 0),
-    ("https://www.there.example.net/fr/153", 0),
+    (f"http://{host}{PATHS[(5 * i + k) % len(PATHS)]}", label)
+    for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS))
+    for i, host in enumerate(hosts)
+    for k in range(5)
 ]
 
 

@@ -1,0 +1,72 @@
+import importlib.util
+import os
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from siteloom.llm import jaccard, langid, quality
+from siteloom.llm.oracles import ORACLES
+from siteloom.llm.queries import QUERIES, TOKENIZER
+from tests.llm.test_jaccard import plain_roots, plain_set
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+
+
+def test_all_ten_and_the_pipeline_are_registered():
+    numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
+    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert set(ORACLES) <= set(QUERIES) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
+        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    result = QUERIES[name](spark, FOLDER)
+    answer = con.execute(ORACLES[name])
+    names = [c[0] for c in answer.description]
+    assert sorted(names) == sorted(result.columns)
+    want = sorted((tuple(r[names.index(c)] for c in result.columns) for r in answer.fetchall()), key=repr)
+    assert sorted((tuple(r) for r in result.collect()), key=repr) == want
+
+
+def test_stages(spark):
+    """Every stage against plain code over its own input."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {"documents": docs.collect()}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{os.environ.get('TMPDIR', '/tmp')}/stage-{os.getpid()}-{name}"
+        stage(spark, now, FOLDER).write.mode("overwrite").parquet(path)
+        before, now = now, spark.read.parquet(path)
+        rows[name] = now.collect()
+        if name != "best_fit_packing":
+            assert now.columns == docs.columns
+            assert set(rows[name]) <= set(before.collect())
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = quality.fit_model(docs, labels)
+    good = [
+        r for r in rows["documents"]
+        if not quality.base_counts(r.text)[-1] and quality.content_share(model, r.text) >= 0.5
+    ]
+    assert sorted(r.doc_id for r in good) == sorted(r.doc_id for r in rows["quality_rules"])
+    assert all(langid.gram_counts(r.text)[1].sum() for r in rows["language_id"])
+    assert len(rows["language_id"]) == len(rows["quality_rules"])
+    left = rows["language_id"]
+    roots = plain_roots([plain_set(r.text) for r in left])
+    groups = defaultdict(list)
+    for r, root in zip(left, roots, strict=True):
+        groups[root].append(r.doc_id)
+    assert sorted(min(g) for g in groups.values()) == sorted(r.doc_id for r in rows["jaccard_join"])
+    assert 0 < len(rows["mixing"]) < len(rows["jaccard_join"])
+    assert {r.doc_id for r in rows["best_fit_packing"]} == {r.doc_id for r in rows["mixing"]}
+    assert list(stages) == ["quality_rules", "language_id", "jaccard_join", "mixing", "best_fit_packing"]
+    assert sorted(corpus_pipeline.run(spark, FOLDER).columns) == sorted(now.columns)
+    assert importlib.util.find_spec("siteloom.llm") and os.path.exists(TOKENIZER)
+    assert jaccard.OF == 100
