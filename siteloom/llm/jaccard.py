@@ -10,9 +10,11 @@ their units. The larger set lists all its segments, in its own band and in the b
 partners of it may stand; in the bands of small sets it lists the one-deletion neighbours too.
 
 Equal sets are one class from the start, so exact copies cost one row each. Sets that meet in a
-signature are compared with the smallest of them, links are joined to components, and what is left
-in the group outside the component of that one is then compared with all the rest; pairs known to
-be connected are never expanded. Every link is verified on the whole sets of 64-bit n-gram hashes.
+signature are a family of the one among them that meets most often, its head. They are compared
+with the head, links are joined to components, and what is left of a family outside the component of
+its head is then compared with the others of the family, in blocks of bounded size and by counts of
+tokens per bin, which only let pass what can be linked; pairs known to be connected are never
+expanded. Every link is verified on the whole sets of 64-bit n-gram hashes.
 
 Null and empty texts have no set and no link. Null ids take part; a component goes by its smallest
 non-null id."""
@@ -38,7 +40,9 @@ DEEP = 48
 #: Bits of the prefilters that spare a shuffle of rows without a partner. Fixed, so what the driver
 #: holds is bounded; when they fill up, more rows are shuffled and the result is the same.
 FILTER_BITS = 1 << 25
-BINS = 64
+BINS = 256
+#: Classes of a family compared with each other in one step.
+BLOCK = 2048
 
 _U = np.uint64
 _rng = np.random.default_rng(9)
@@ -235,15 +239,12 @@ def _filter_of(df: DataFrame, column: str) -> np.ndarray:
 
 
 def _met(stored: DataFrame) -> DataFrame:
-    """``sig, class, probes, size`` of signatures that two classes or more list and one probes."""
+    """``sig, class, size`` of signatures that two classes or more list and one probes."""
     once = F.col("class").isNotNull()
 
     def rows(column: str, probes: bool) -> DataFrame:
         return stored.filter(once).select(
-            F.explode(column).alias("sig"),
-            "class",
-            # One number: size, and whether the class probes.
-            (F.col("n_shingles") * 2 + int(probes)).alias("kind"),
+            F.explode(column).alias("sig"), "class", F.lit(probes).alias("probes")
         )
 
     groups = (
@@ -251,12 +252,12 @@ def _met(stored: DataFrame) -> DataFrame:
         .unionByName(rows("listed", False))
         .groupBy("sig")
         .agg(
-            F.min("class").alias("head"),
+            F.min("class").alias("first"),
             F.max("class").alias("last"),
-            F.bool_or(F.col("kind") % 2 == 1).alias("probed"),
+            F.bool_or("probes").alias("probed"),
         )
-        .filter("head < last and probed")
-        .select("sig", "head")
+        .filter("first < last and probed")
+        .select("sig")
     )
     groups = cut_lineage(groups)
     bits = np.packbits(_filter_of(groups, "sig"), bitorder="little")
@@ -266,7 +267,7 @@ def _met(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in batches:
-            for at, probes in ((2, 1), (3, 0)):
+            for at in (2, 3):
                 lists = batch.column(at)
                 sigs = lists.flatten().to_numpy()
                 where = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
@@ -278,18 +279,18 @@ def _met(stored: DataFrame) -> DataFrame:
                     [
                         pa.array(sigs[there]),
                         batch.column(0).take(rows),
-                        pa.array(sizes * 2 + probes),
+                        pa.array(sizes),
                     ],
-                    names=["sig", "class", "kind"],
+                    names=["sig", "class", "size"],
                 )
 
     kept = (
         stored.filter(once)
         .select("class", "n_shingles", "probe", "listed")
-        .mapInArrow(run, "sig long, class long, kind long")
+        .mapInArrow(run, "sig long, class long, size long")
     )
     # A class may come from several tasks.
-    return cut_lineage(kept.join(groups, "sig").dropDuplicates(["sig", "class", "kind"]))
+    return cut_lineage(kept.join(groups, "sig", "left_semi").distinct())
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -329,25 +330,26 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut_lineage(made.join(wanted, "class", "left_semi"))
 
 
+def _bins(column: pa.Array) -> np.ndarray:
+    flat = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+    return flat.reshape(-1, BINS).astype(np.int16)
+
+
+def _possible(total: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of ``total`` tokens together can be linked if they differ in at least
+    ``differ``: they have at most ``(total - differ) / 2`` in common."""
+    return OF * (total - differ) >= SHARE * (total + differ)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of ``pairs`` (``a, b``). Differing bin counts tell most others before any
     set is moved."""
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            (a, b) = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8)
-                .reshape(-1, BINS)
-                .astype(np.int16)
-                for c in (2, 3)
-            )
-            differ = np.abs(a - b).sum(axis=1)
+            differ = np.abs(_bins(batch.column(2)) - _bins(batch.column(3))).sum(axis=1)
             total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            # common <= (total - differ) / 2
-            possible = OF * (total - differ) >= SHARE * (total + differ)
-            yield batch.select([0, 1]).filter(pa.array(possible))
+            yield batch.select([0, 1]).filter(pa.array(_possible(total, differ)))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -406,54 +408,112 @@ def _may_link(a: str, b: str) -> F.Column:
     return OF * low >= SHARE * high
 
 
-def links(docs: DataFrame, stored: DataFrame) -> DataFrame:
-    """``class, root`` of linked classes."""
-    met = _met(stored)
-    classes = met.select("class").distinct()
-    sets = _sets(docs, classes)
-    size = F.expr("kind div 2")
-    heads = met.groupBy("class").agg(F.max("kind").alias("kind")).select(
-        F.col("class").alias("head"), size.alias("head_size")
-    )
-    stars = (
-        met.filter(F.col("class") != F.col("head"))
-        .select(F.col("head"), "class", size.alias("size"))
-        .distinct()
-        .join(heads, "head")
-        .filter(_may_link("size", "head_size"))
-        .select(F.col("head").alias("a"), F.col("class").alias("b"))
+def _families(met: DataFrame) -> DataFrame:
+    """``head, class, size, head_size``: classes that meet in a signature, below the one of them
+    that meets most often (the largest of several); heads are not in their own family."""
+    often = met.groupBy("class").agg(F.count("*").alias("often"), F.max("size").alias("size"))
+    rank = F.struct("often", "class", "size")
+    heads = (
+        met.select("sig", "class")
+        .join(often, "class")
+        .groupBy("sig")
+        .agg(F.max(rank).alias("head"))
+        .select("sig", F.col("head.class").alias("head"), F.col("head.size").alias("head_size"))
     )
-    first = _verified(stars, sets)
-    roots = components(first)
-    # What stands outside the component of its head is compared with all others of the group.
+    family = met.join(heads, "sig").filter(F.col("class") != F.col("head"))
+    return cut_lineage(family.select("head", "class", "size", "head_size").distinct())
+
+
+def _apart(families: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: pairs of a family that may be linked and are not known to be connected, one of them
+    outside the component of the head."""
+    tops = roots.select(F.col("class").alias("head"), F.col("root").alias("top"))
     known = (
-        met.join(roots, "class", "left")
+        families.select("head", "class", "size")
+        .join(roots, "class", "left")
+        .join(tops, "head", "left")
         .withColumn("root", F.coalesce("root", "class"))
-        .join(roots.select(F.col("class").alias("head"), F.col("root").alias("h")), "head", "left")
-        .withColumn("head_root", F.coalesce("h", "head"))
-        .select("sig", "class", "head", "root", "head_root", (F.col("kind") % 2).alias("probes"),
-                size.alias("size"))
+        .withColumn("outside", F.col("root") != F.coalesce("top", "head"))
+        .select("head", "class", "size", "root", "outside")
     )
-    known = cut_lineage(known.groupBy("sig", "class", "head", "root", "head_root", "size").agg(
-        F.max("probes").alias("probes")
-    ))
-    apart = known.filter("root <> head_root").select(
-        "sig", F.col("class").alias("x"), F.col("root").alias("x_root"),
-        F.col("size").alias("x_size"), F.col("probes").alias("x_probes"),
+    known = cut_lineage(known)
+    counts = known.groupBy("head").agg(F.count("*").alias("n"), F.count_if("outside").alias("out"))
+    # A family of one has been compared with its head.
+    counts = counts.filter("n > 1 and out > 0").select(
+        "head",
+        F.ceil(F.col("n") / BLOCK).alias("blocks"),
+        F.ceil(F.col("out") / BLOCK).alias("outer_blocks"),
     )
-    rest = (
-        apart.join(known, "sig")
-        .filter(
-            # Pairs of two outside ones come up twice; pairs with the head were checked.
-            (F.col("root") != F.col("x_root"))
-            & (F.col("class") != F.col("head"))
-            & ((F.col("probes") + F.col("x_probes")) > 0)
-            & _may_link("size", "x_size")
-        )
-        .select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b"))
+    bins = sets.dropDuplicates(["class"]).select("class", "bins")
+    rows = cut_lineage(known.join(counts, "head").join(bins, "class"))
+    total = rows.agg(F.sum("outer_blocks").alias("n")).first().n or 0
+    buckets = max(1, total // BLOCK)
+    part, zero = F.xxhash64("class"), F.lit(0).cast("long")
+    columns = ["head", "outer", "inner", "class", "size", "root", "bins"]
+
+    def dealt(df: DataFrame, outer: F.Column, inner: F.Column) -> DataFrame:
+        # One generator per step: a block of the family for a block of those outside.
+        df = df.withColumn("outer", outer).withColumn("inner", inner).select(*columns)
+        bucket = F.pmod(F.xxhash64("head", "outer", "inner"), F.lit(buckets))
+        return df.withColumn("bucket", bucket).toDF(*columns, "bucket")
+
+    def every(count: str) -> F.Column:
+        return F.explode(F.sequence(zero, F.col(count) - 1))
+
+    left = dealt(rows.filter("outside"), F.pmod(part, F.col("outer_blocks")), every("blocks"))
+    right = dealt(rows, every("outer_blocks"), F.pmod(part, F.col("blocks")))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = [np.empty((0, 2), dtype=np.int64)]
+        groups = [_by_family(t) for t in (left, right)]
+        for key, (ids, sizes, roots, bins) in groups[0].items():
+            if key not in groups[1]:
+                continue
+            others, other_sizes, other_roots, other_bins = groups[1][key]
+            for i in range(len(ids)):
+                differ = np.abs(other_bins - bins[i]).sum(axis=1)
+                may = _possible(other_sizes + sizes[i], differ) & (other_roots != roots[i])
+                near = others[may]
+                pair = np.stack([np.minimum(near, ids[i]), np.maximum(near, ids[i])], axis=1)
+                found.append(pair)
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return (
+        left.groupBy("bucket")
+        .cogroup(right.groupBy("bucket"))
+        .applyInArrow(compare, "a long, b long")
         .distinct()
     )
-    second = _verified(rest, sets)
+
+
+def _by_family(table: pa.Table) -> dict[tuple[int, int, int], tuple[np.ndarray, ...]]:
+    """Classes, sizes, roots and bins by head and blocks."""
+    if not table.num_rows:
+        return {}
+    keys = np.stack([table[c].to_numpy() for c in ("head", "outer", "inner")], axis=1)
+    order = np.lexsort(keys.T)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+    parts = [table[c].to_numpy()[order] for c in ("class", "size", "root")]
+    parts.append(_bins(table["bins"])[order])
+    ends = np.append(starts[1:], len(keys))
+    return {
+        tuple(keys[a].tolist()): tuple(p[a:b] for p in parts)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True)
+    }
+
+
+def links(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """``class, root`` of linked classes."""
+    families = _families(_met(stored))
+    members = families.select("class").union(families.select(F.col("head").alias("class")))
+    sets = _sets(docs, cut_lineage(members.distinct()))
+    stars = families.filter(_may_link("size", "head_size")).select(
+        F.col("head").alias("a"), F.col("class").alias("b")
+    )
+    first = _verified(stars, sets)
+    second = _verified(_apart(families, components(first), sets), sets)
     return components(first.unionByName(second))
 
 
