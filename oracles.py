@@ -106,7 +106,7 @@ u AS (
 SELECT path_key || '?supplier=' || l_suppkey AS canonical_url, path_key,
   row_number() OVER (PARTITION BY path_key ORDER BY place) - 1 AS variant_rank FROM u"""
 
-ORACLES["crawl_gates"] = f"""
+ORACLES["url_gates"] = f"""
 WITH u AS (
   SELECT 'https://c' || c_custkey || '.test/' || unnest([
     'login/' || c_custkey, 'a/Report-' || c_custkey || '.PDF', 'research/' || c_custkey,
@@ -247,6 +247,34 @@ def _phones(s: str) -> str:
     return f"list_sort(list_distinct(list_filter({_phone_list(s)}, lambda q: {_good_phone('q')})))"
 
 
+_SOCIAL = "|".join(d.replace(".", "\\.") for d, _ in K.SOCIAL_DOMAINS)
+ORACLES["page_fields"] = rf"""
+WITH {RAW_FIELDS}
+SELECT page_id, nullif(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), '') AS meta_description,
+  array_to_string({_emails('html')}, '|') AS emails,
+  array_to_string({_phones("coalesce(visible, '')")}, '|') AS phones,
+  array_to_string(regexp_extract_all(html, 'href="(https?://(?:www\.)?(?:{_SOCIAL})[^"]*)"', 1), '|') AS social_links,
+  array_to_string(regexp_extract_all(html, '(?s)<address>(.*?)</address>', 1), '|') AS address_candidates,
+  array_to_string(regexp_extract_all(lower(visible), '{"|".join(K.HQ_OFFICE_KEYWORDS)}'), '|') AS headquarters_candidates,
+  array_to_string(regexp_extract_all(lower(visible), '{"|".join(K.OTHER_OFFICE_KEYWORDS)}'), '|')
+    AS other_location_candidates,
+  array_to_string(regexp_extract_all(html, '<h[234]>(.*?)</h[234]>', 1), '|') AS heading_list_items,
+  {_any("contains", "path", K.THIRD_PARTY_PATH_HINTS)} AS is_third_party
+FROM raw_fields"""
+ORACLES["site_profiles"] = rf"""
+WITH {RAW_FIELDS},
+read AS (
+  SELECT *, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS website,
+    CASE page_type WHEN 'home' THEN 0 WHEN 'about' THEN 1 WHEN 'contact' THEN 2 ELSE 5 END AS rank FROM raw_named),
+mails AS (
+  SELECT DISTINCT website, unnest({_emails('html')}) AS value FROM read WHERE page_type IN {_in(K.CONTACT_TRUSTED_TYPES)}),
+numbers AS (
+  SELECT DISTINCT website, unnest({_phones("coalesce(visible, '')")}) AS value FROM read
+  WHERE page_type IN {_in(K.CONTACT_TRUSTED_TYPES)})
+SELECT website, 'company_name' AS field, CAST(1 AS BIGINT) AS place,
+  arg_min(company_name, rank * 1000000000000 + page_id) AS value FROM read WHERE company_name <> '' GROUP BY 1
+UNION ALL SELECT website, 'emails', row_number() OVER (PARTITION BY website ORDER BY value), value FROM mails
+UNION ALL SELECT website, 'phones', row_number() OVER (PARTITION BY website ORDER BY value), value FROM numbers"""
 ORACLES["page_emails"] = f"SELECT page_id, unnest({_emails('html')}) AS email FROM pages"
 ORACLES["document_emails"] = f"SELECT doc_id, unnest({_emails('text')}) AS email FROM documents"
 ORACLES["document_phones"] = f"""
@@ -506,7 +534,7 @@ UNION ALL SELECT site, url, priority, 1, 0, o, site FROM open"""
 ORACLES["next_urls"] = f"""WITH {SHOPS}
 SELECT site, url, place FROM
   (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY priority, o) AS place FROM open) WHERE place <= 3"""
-ORACLES["crawl_replay"] = f"""WITH {SHOPS},
+ORACLES["visit_replay"] = f"""WITH {SHOPS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority, o) AS n FROM open),
 one AS (SELECT * FROM ranked WHERE n = 1),
 first_product AS (
@@ -522,7 +550,7 @@ SELECT site, site AS url, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS depth,
   CAST(NULL AS VARCHAR) AS discovered_from, true AS fetched_ok FROM shop
 UNION ALL SELECT site, url, 1, 1, site, o_totalprice <= 400000 FROM one
 UNION ALL SELECT site, url, 2, depth, discovered_from, fetched_ok FROM third WHERE pick = 1"""
-ORACLES["crawl_stops"] = f"""WITH {SHOPS},
+ORACLES["visit_stops"] = f"""WITH {SHOPS},
 n AS (SELECT shop.site, 1 + count(open.url) AS seen FROM shop LEFT JOIN open ON shop.site = open.site GROUP BY 1)
 SELECT site, least(seen, 10) AS tried,
   CASE WHEN seen > 10 THEN 'max_pages_reached' ELSE 'queue_exhausted' END AS stop_reason FROM n"""
@@ -533,7 +561,7 @@ reached AS (
   UNION SELECT b.site, 2, product FROM bought b JOIN open USING (url)
   UNION SELECT b.site, 3, b.site || 'help/part-' || l_partkey FROM bought b JOIN open USING (url))
 SELECT site, CAST(hops AS BIGINT) AS hops, count(*) AS n_urls FROM reached GROUP BY 1, 2"""
-ORACLES["crawl_tree"] = f"""WITH {SHOPS},
+ORACLES["discovery_tree"] = f"""WITH {SHOPS},
 edges AS (
   SELECT site, url, 1 AS depth, site AS source FROM ord
   UNION ALL SELECT site, product, 2, url FROM bought
@@ -646,7 +674,7 @@ ORACLES["status_rollup"] = f"""{AUDIT}
 SELECT site, page_type, count(*) AS pages, round(avg(CASE WHEN fetched_ok THEN 0 ELSE 1 END), 6) AS failed_rate,
   round(avg(CASE WHEN is_third_party THEN 1 ELSE 0 END), 6) AS third_party_rate, CAST(0 AS DOUBLE) AS dynamic_rate
 FROM audit GROUP BY ROLLUP (site, page_type)"""
-ORACLES["crawl_reports"] = f"""{AUDIT}
+ORACLES["report_files"] = f"""{AUDIT}
 SELECT site AS input_url, pages_discovered, pages_discovered - 1 AS pages_fetched_ok,
   CAST(1 AS BIGINT) AS pages_failed, CAST(NULL AS BIGINT) AS max_pages_limit, 'queue_exhausted' AS stop_reason,
   home_name AS company_name, coalesce(label, plot) AS headquarters, sales || '|' || support AS emails,
@@ -689,5 +717,5 @@ SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, count(*
   round(avg(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END), 6) AS dynamic_rate,
   round(avg(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END), 6) AS third_party_rate
 FROM events GROUP BY 1"""
-ORACLES["crawl_health"] = _HEALTH
+ORACLES["fetch_health"] = _HEALTH
 ORACLES["feed_health"] = _HEALTH

@@ -201,7 +201,7 @@ def is_skip_path(url: Column) -> Column:
     return T.contains_any(F.lower(url_path(url)), K.SKIP_PATH_KEYWORDS)
 
 
-def is_worth_crawling(url: Column) -> Column:
+def is_worth_reading(url: Column) -> Column:
     return ~has_non_html_extension(url) & ~is_skip_path(url)
 
 

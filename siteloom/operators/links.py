@@ -42,7 +42,7 @@ def link_graph(links: DataFrame) -> DataFrame:
     """Edges worth following: same site, no file, no trap."""
     to, source = F.col("canonical_url"), F.col("url")
     return links.filter(
-        to.isNotNull() & U.is_same_site(to, source) & U.is_worth_crawling(to)
+        to.isNotNull() & U.is_same_site(to, source) & U.is_worth_reading(to)
     ).withColumn("category", C.classify_url(to, F.col("anchor")))
 
 

@@ -1,4 +1,4 @@
-"""Audit rows, crawl reports and health figures."""
+"""Audit rows, visit reports and health figures."""
 
 from __future__ import annotations
 
@@ -61,7 +61,7 @@ def page_records(tried: DataFrame, extract: DataFrame) -> DataFrame:
     )
 
 
-def crawl_counts(records: DataFrame) -> DataFrame:
+def page_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("site").agg(
         F.count("*").alias("pages_discovered"),
         F.count_if(F.col("fetched_ok")).alias("pages_fetched_ok"),
@@ -69,7 +69,7 @@ def crawl_counts(records: DataFrame) -> DataFrame:
     )
 
 
-def crawl_reports(
+def nested_reports(
     records: DataFrame,
     profiles: DataFrame,
     runs: DataFrame,
@@ -98,7 +98,7 @@ def crawl_reports(
         "stop_reason",
     ).alias("crawl_meta")
     return (
-        runs.join(crawl_counts(records), "site")
+        runs.join(page_counts(records), "site")
         .join(pages, "site")
         .join(company, "site", "left")
         .select("site", "input_url", meta, "company", "pages")

@@ -120,8 +120,7 @@ def site_page_counts(spark, folder):
 def url_variants(spark, folder):
     """Query variants of each page path of every shop, in order of first sight."""
     found = (
-        corpus.shop_links(spark, folder)
-        .filter("anchor = 'See part'")
+        corpus.shop_links(spark, folder, ["products"])
         .withColumn(
             "place",
             F.regexp_extract("url", "order-([0-9]+)", 1).cast("bigint") * 1000 + F.col("ord"),
@@ -134,7 +133,7 @@ def url_variants(spark, folder):
 
 
 @query
-def crawl_gates(spark, folder):
+def url_gates(spark, folder):
     """Every page link of the shops and of a few traps, with the gates it passes."""
     c = "{c_custkey}"
     paths = [
@@ -153,7 +152,7 @@ def crawl_gates(spark, folder):
         "url",
         U.has_non_html_extension(url).alias("is_file"),
         U.is_skip_path(url).alias("is_trap"),
-        U.is_worth_crawling(url).alias("is_worth"),
+        U.is_worth_reading(url).alias("is_worth"),
         U.is_third_party_listing(url).alias("is_third_party"),
     )
 
@@ -283,6 +282,28 @@ def page_types(spark, folder):
     )
 
 
+@query
+def page_fields(spark, folder):
+    """Description, contacts, links to social sites and addresses of the raw pages."""
+    return extract_pages(scan_pages(spark, folder)).select(
+        "page_id", "meta_description", _joined("emails"), _joined("phones"),
+        F.array_join(F.transform("social_links", lambda s: s["href"]), "|").alias("social_links"),
+        _joined("address_candidates"), _joined("headquarters_candidates"),
+        _joined("other_location_candidates"), _joined("heading_list_items"), "is_third_party",
+    )
+
+
+@query
+def site_profiles(spark, folder):
+    """The flagship: every page of every site read and merged into facts of the site, pages in the
+    order of their ids."""
+    pages = scan_pages(spark, folder).select(
+        "page_id", "url", "html", U.site_key_of(F.col("url")).alias("site"), F.col("page_id").alias("seq")
+    )
+    extract = cut_lineage(extract_pages(pages).drop("visible_text_sample"))
+    return profile.company_facts(profile.profile_facts(extract))
+
+
 @query
 def page_emails(spark, folder):
     rows = scan_pages(spark, folder).select("page_id", T.emails_in(F.col("html")).alias("e"))
@@ -512,7 +533,7 @@ def supplier_links(spark, folder):
 
 @query
 def company_profiles(spark, folder):
-    """The flagship: all pages of each site parsed, extracted and merged into facts."""
+    """All pages of supplier sites parsed, extracted and merged into facts."""
     extract = cut_lineage(_supplier_extract(spark, folder).drop("visible_text_sample"))
     return profile.company_facts(profile.profile_facts(extract))
 
@@ -556,7 +577,9 @@ def rendered_pages(spark, folder):
 def _first_round(spark, folder):
     seeds = frontier.seed_frontier(corpus.shop_sites(spark, folder))
     found = seeds.select("site", "url", "depth").join(
-        corpus.shop_links(spark, folder).select("url", "ord", "canonical_url", "anchor"), "url"
+        # Only these stand on start pages.
+        corpus.shop_links(spark, folder, ["orders"]).select("url", "ord", "canonical_url", "anchor"),
+        "url",
     )
     return seeds, seeds.unionByName(frontier.new_frontier_rows(seeds, found, max_depth=None))
 
@@ -580,9 +603,9 @@ def next_urls(spark, folder):
 
 
 @query
-def crawl_replay(spark, folder):
+def visit_replay(spark, folder):
     """Best-first replay of all shops at once, one page per shop and round."""
-    fetched, _ = frontier.crawl(
+    fetched, _ = frontier.replay(
         corpus.shop_sites(spark, folder),
         cut_lineage(corpus.shop_archive(spark, folder)),
         cut_lineage(corpus.shop_links(spark, folder)),
@@ -596,9 +619,9 @@ def crawl_replay(spark, folder):
 
 
 @query
-def crawl_stops(spark, folder):
-    """Why a crawl in one round of up to ten pages ended."""
-    fetched, rows = frontier.crawl(
+def visit_stops(spark, folder):
+    """Why a visit in one round of up to ten pages ended."""
+    fetched, rows = frontier.replay(
         corpus.shop_sites(spark, folder),
         cut_lineage(corpus.shop_archive(spark, folder)),
         cut_lineage(corpus.shop_links(spark, folder).filter("anchor like 'Order%'")),
@@ -625,7 +648,7 @@ def site_reach(spark, folder):
 
 
 @query
-def crawl_tree(spark, folder):
+def discovery_tree(spark, folder):
     """Depth and fan-out of discovery in shops: start page, orders, products."""
     found = corpus.shop_links(spark, folder)
     site = F.regexp_extract("url", "^(https://[^/]+/)", 1)
@@ -650,7 +673,7 @@ def crawl_tree(spark, folder):
             F.lit(None).cast("string").alias("discovered_from"),
         )
     )
-    stats = frontier.crawl_tree(tree)
+    stats = frontier.discovery_tree(tree)
     return stats.select(
         "site", *[_long(c).alias(c) for c in stats.columns if c != "site"]
     )
@@ -748,11 +771,11 @@ def _supplier_reports(spark, folder):
         start.alias("finished_at"),
         F.lit("queue_exhausted").alias("stop_reason"),
     )
-    return report.crawl_reports(records, profiles, runs)
+    return report.nested_reports(records, profiles, runs)
 
 
 @query
-def crawl_reports(spark, folder):
+def report_files(spark, folder):
     """Nested reports written as JSON, read back and flattened."""
     path = _scratch(spark, "reports")
     store.write_reports(_supplier_reports(spark, folder), path)
@@ -773,7 +796,7 @@ def crawl_reports(spark, folder):
 
 @query
 def site_reports(spark, folder):
-    """From start URLs and a fetch log to reports: crawl, read, merge, with four pages each."""
+    """From start URLs and a fetch log to reports: visit, read, merge, with four pages each."""
     pages = corpus.supplier_pages(spark, folder)
     attempts = pages.select(
         "url", F.lit(1).alias("attempt"), F.lit(200).alias("status"),
@@ -799,7 +822,7 @@ def site_reports(spark, folder):
 
 @query
 def companies_upsert(spark, folder):
-    """Two crawls of suppliers: the second has other descriptions and fewer suppliers."""
+    """Two visits of suppliers: the second has other descriptions and fewer suppliers."""
     s = table(spark, folder, "supplier")
     site = F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".test/"))
 
@@ -885,9 +908,9 @@ def feed_first_sightings(spark, folder):
 
 
 @query
-def crawl_health(spark, folder):
+def fetch_health(spark, folder):
     log = corpus.outcome_log(table(spark, folder, "events"))
-    health = feed.crawl_health(log, "ts", "1 day", "0 seconds")
+    health = feed.fetch_health(log, "ts", "1 day", "0 seconds")
     return health.select(
         _long(F.unix_seconds(F.col("window.start"))).alias("window_start"),
         "fetches", "failed_rate", "dynamic_rate", "third_party_rate",
@@ -899,7 +922,7 @@ def feed_health(spark, folder):
     """The same figures from a stream; windows still open at the end are updated in place."""
     out = _scratch(spark, "health")
     log = corpus.outcome_log(_event_stream(spark, folder))
-    health = feed.crawl_health(log, "ts", "1 day", "10 minutes").select(
+    health = feed.fetch_health(log, "ts", "1 day", "10 minutes").select(
         _long(F.unix_seconds(F.col("window.start"))).alias("window_start"),
         "fetches", "failed_rate", "dynamic_rate", "third_party_rate",
     )

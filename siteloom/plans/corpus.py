@@ -8,6 +8,8 @@ with its table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,10 +202,15 @@ def shop_sites(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(site.alias("site"), site.alias("start_url"))
 
 
-def shop_links(spark: SparkSession, folder: str) -> DataFrame:
+LINK_KINDS = ["orders", "products", "help"]
+
+
+def shop_links(
+    spark: SparkSession, folder: str, kinds: list[str] | None = None
+) -> DataFrame:
     """Start pages link to orders, orders to products (with a query and a tracking tag),
     products back to the start and on to a help page. ``url, ord, href, anchor`` and the
-    resolved ``canonical_url``."""
+    resolved ``canonical_url``. With ``kinds`` only those links are built."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     lines = (
         table(spark, folder, "lineitem")
@@ -247,7 +254,8 @@ def shop_links(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("l"),
     ).select("url", F.col("l.ord").cast("bigint").alias("ord"), "l.href", "l.anchor")
-    links = from_home.unionByName(from_order).unionByName(from_product)
+    built = dict(zip(LINK_KINDS, (from_home, from_order, from_product), strict=True))
+    links = reduce(DataFrame.unionByName, [built[k] for k in kinds or LINK_KINDS])
     return with_canonical_url(links, "href", "url")
 
 

@@ -14,7 +14,7 @@ from siteloom.operators.extract import choose_body, page_fields, parse_pages
 from siteloom.operators.fetchlog import fetch_outcomes, robots_rules
 from siteloom.operators.links import page_links
 from siteloom.operators.profile import build_profiles
-from siteloom.operators.report import crawl_reports, invalid_reports, page_records
+from siteloom.operators.report import nested_reports, invalid_reports, page_records
 from siteloom.session import cut_lineage
 
 
@@ -35,7 +35,7 @@ def report_sites(
     k: int = 1,
     user_agent: str = "*",
 ) -> SiteReports:
-    """Replay the crawl of each site over a fetch log, read what it reached, and report.
+    """Replay the visit of each site over a fetch log, read what it reached, and report.
 
     ``sites``: ``start_url``, a row per site. ``attempts``: the log (fetchlog.retry_reduction),
     keyed by canonical URL. ``robots``: robots.txt files, absent if they are not respected.
@@ -61,7 +61,7 @@ def report_sites(
     # Read three times below (links, archive, fields), parsed once.
     parsed = cut_lineage(parse_pages(bodies))
     links = cut_lineage(page_links(parsed).select("url", "ord", "canonical_url", "anchor"))
-    fetched, rows = frontier.crawl(roots, parsed.select("url"), links, max_pages, max_depth, k)
+    fetched, rows = frontier.replay(roots, parsed.select("url"), links, max_pages, max_depth, k)
 
     places = fetched.select("site", "seq", "url", "depth")
     extract = cut_lineage(page_fields(parsed.join(places, "url")))
@@ -85,7 +85,7 @@ def report_sites(
         .withColumn("started_at", F.lit(started))
         .withColumn("finished_at", F.lit(datetime.now(UTC)))
     )
-    reports = crawl_reports(records, profiles, runs, max_pages)
+    reports = nested_reports(records, profiles, runs, max_pages)
     good = U.canonical_url("start_url").isNotNull()
     invalid = sites.filter(~good).select(F.col("start_url").alias("input_url")).distinct()
     return SiteReports(

@@ -53,7 +53,7 @@ def first_sightings(pages: DataFrame, time: str, horizon: str) -> DataFrame:
     )
 
 
-def crawl_health(outcomes: DataFrame, time: str, width: str, lateness: str) -> DataFrame:
+def fetch_health(outcomes: DataFrame, time: str, width: str, lateness: str) -> DataFrame:
     """Failure, browser and third-party rates per window. ``outcomes``: the time column,
     ``fetched_ok``, ``rendered_with``, ``is_third_party``."""
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators.extract import extract_pages
 from siteloom.operators.profile import build_profiles
-from siteloom.operators.report import crawl_counts, crawl_reports, page_records, status_rollup
+from siteloom.operators.report import page_counts, nested_reports, page_records, status_rollup
 from siteloom.plans.catalog import _scratch
 from siteloom.sources import store
 from siteloom.streaming import feed
@@ -42,7 +42,7 @@ def example(spark):
     runs = spark.createDataFrame([(S, S, "queue_exhausted")], "site string, input_url string, stop_reason string")
     at = F.lit("2024-05-01 10:00:00.25").cast("timestamp")
     runs = runs.withColumn("started_at", at).withColumn("finished_at", at)
-    return records, crawl_reports(records, build_profiles(extract), runs)
+    return records, nested_reports(records, build_profiles(extract), runs)
 
 
 def test_audit_rows(spark):
@@ -56,7 +56,7 @@ def test_audit_rows(spark):
     assert not got[2].fetched_ok and got[2].error is None and got[2].http_status == 200
     assert got[3].page_type == "third_party_listing" and got[3].is_third_party and got[3].fetched_ok
     assert got[4].page_type == "blog_news" and got[4].error == "http_404" and got[4].title is None
-    counts = crawl_counts(records).first()
+    counts = page_counts(records).first()
     assert (counts.pages_discovered, counts.pages_fetched_ok, counts.pages_failed) == (5, 3, 2)
     total = status_rollup(records).filter("site is null").first()
     assert total.pages == 5 and total.failed_rate == 0.4 and total.dynamic_rate == 0.2
@@ -80,7 +80,7 @@ def test_report_json(spark):
     assert back.pages[1].final_url == S + "about-us" and back.company.products == []
 
 
-def test_reference_style_report_files_are_read(spark, tmp_path):
+def test_pretty_printed_report_files_are_read(spark, tmp_path):
     _, reports = example(spark)
     one = json.loads(reports.drop("site").toJSON().first())
     (tmp_path / "a.json").write_text(json.dumps(one, indent=2, ensure_ascii=False), encoding="utf-8")
