@@ -16,9 +16,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.session import cut_lineage
+
 SIZES = (3, 4, 5)
-BUCKETS = 4096
-RIDGE = 0.02
+BUCKETS = 8192
+RIDGE = 0.005
 #: Most labelled rows that a model is fitted on.
 FIT_ROWS = 10_000
 # Fixed values: (verdict, host, path prefix).
@@ -38,7 +40,8 @@ BLOCKED_HOSTS = [
     "cheap-loans.example.net", "free-money.example.com", "replica-watches.example.net",
     "cheap-viagra.example.com", "ads-track.example.net", "m.track-ads.example.com",
     "spam-farm.example.com", "blog.link-farm.example.net", "free-bets.example.com",
-    "adult-x.example.net",
+    "adult-x.example.net", "blog.casino-club.example.com", "win-casino.example.net",
+    "casino-slots.example.com", "www.win-big.example.net", "poker-bets.example.com",
 ]
 ALLOWED_HOSTS = [
     "www.example.com", "blog.garden.example.net", "news.city.example.com", "m.river.example.net",
@@ -47,6 +50,7 @@ ALLOWED_HOSTS = [
     "www.science.example.net", "forum.linux.example.com", "m.weather.example.net",
     "docs.python.example.com", "thther.example.net", "tionsh.example.net", "blog.ththon.example.com",
     "www.there.example.net", "blog.tionble.example.org", "m.tiontion.example.com", "therin.example.net",
+    "m.mother.example.net", "www.others.example.com", "blog.theatre.example.net", "m.there.example.com",
     "shop.river-side.example.com", "www.new-town.example.org", "old-mill.example.net",
 ]
 PATHS = [
@@ -104,7 +108,8 @@ def fit(labelled: DataFrame) -> tuple[float, list[float]]:
     own = buckets(F.col("host"), F.col("path"))
     chosen = labelled.filter(F.col("label").isin(0, 1)).orderBy(F.xxhash64("url"), "url", "label")
     rows = chosen.limit(FIT_ROWS).select("label", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("own", own)
+    # Written out, else the n-grams would be made anew for every bucket.
+    rows = cut_lineage(rows.withColumn("own", own))
     there = F.transform(
         F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
         lambda b: F.array_contains(F.col("own"), b).cast("double"),
