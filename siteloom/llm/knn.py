@@ -10,7 +10,7 @@ product, and the k best of all blocks are merged.
 
 Vectors that are null or hold null or not finite components take no part. Shorter vectors count as
 filled up with zeros. Ties go to the smaller id; rows that repeat an id count each as a candidate,
-but never for a query of that id. Scores beyond the range of a long are cut to it. With fewer than k
+but never for a query of that id, and are answered each as a query. Scores beyond the range of a long are cut to it. With fewer than k
 candidates all are returned; without queries nothing is."""
 
 from __future__ import annotations
@@ -177,8 +177,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     ``vec_id``)."""
     points = quantised(vectors)
     how = plan(points)
-    celled = cut_lineage(_celled(points, how) if how.width else points.select(
-        "vec_id", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("distance")))
+    celled = _celled(points, how) if how.width else points.select(
+        "vec_id", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("distance"))
+    # The row tells queries of one id apart.
+    celled = cut_lineage(celled.withColumn("row", F.monotonically_increasing_id()))
     queries = celled.filter(is_query)
     # One row per pivot: bounded.
     summary = celled.groupBy("cell").agg(
@@ -211,39 +213,40 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         celled.join(pairs.withColumnsRenamed({"cell": "asking", "target": "cell"}), "cell")
         .withColumn("block", F.pmod(part, F.col("blocks")).cast("int"))
         .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-        .select("asking", F.col("cell").alias("target"), "block", "query_block", "vec_id", "v")
+        .select("asking", F.col("cell").alias("target"), "block", "query_block", "row", "vec_id", "v")
     )
     asked = (
         queries.join(pairs, "cell")
         .withColumn("query_block", F.pmod(part, F.col("query_blocks")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.col("cell").alias("asking"), "target", "block", "query_block", "vec_id", "v")
+        .select(F.col("cell").alias("asking"), "target", "block", "query_block", "row", "vec_id", "v")
     )
 
     def solve(asked: pa.Table, sent: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if asked.num_rows and sent.num_rows:
             q, c = (t.sort_by("vec_id").combine_chunks() for t in (asked, sent))
-            ids, others = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
+            rows, ids, others = (t.to_numpy() for t in (q["row"], q["vec_id"], c["vec_id"]))
             found = scores(*(_matrix(_one(t["v"]), how.width) for t in (q, c)))
             for i, own in enumerate(found):
                 free = np.flatnonzero(others != ids[i])
                 # Stable, so that equal scores stand in the order of ids.
                 best = free[np.argsort(-own[free].astype(object) if own.min() == -_LONG - 1
                                        else -own[free], kind="stable")[:k]]
-                out.append((np.full(len(best), ids[i]), others[best], own[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.empty(0, np.int64)] * 3
-        return pa.table(dict(zip(["query_id", "vec_id", "score"], columns, strict=True)))
+                n = len(best)
+                out.append((np.full(n, rows[i]), np.full(n, ids[i]), others[best], own[best]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.empty(0, np.int64)] * 4
+        return pa.table(dict(zip(["row", "query_id", "vec_id", "score"], columns, strict=True)))
 
     keys = ["asking", "target", "block", "query_block"]
     # Columns of their own on either side.
-    asked, sent = (df.toDF(*keys, "vec_id", "v") for df in (asked, sent))
+    asked, sent = (df.toDF(*keys, "row", "vec_id", "v") for df in (asked, sent))
     best = (
         asked.groupBy(*keys)
         .cogroup(sent.groupBy(*keys))
-        .applyInArrow(solve, "query_id long, vec_id long, score long")
+        .applyInArrow(solve, "row long, query_id long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (
         best.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
