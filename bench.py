@@ -18,12 +18,12 @@ from siteloom.sources.tables import table  # noqa: E402
 
 HEADLINES = [
     "canonical_urls", "site_page_counts", "link_inventory", "link_graph", "page_texts", "page_names",
-    "page_types", "document_emails", "document_phones", "noise_audit", "heading_items", "card_items",
+    "page_types", "page_fields", "site_profiles", "document_emails", "document_phones", "noise_audit", "heading_items", "card_items",
     "feed_extract", "company_profiles", "frontier_round", "site_reach", "url_variants",
     "retry_final", "fetch_outcomes", "robots_decisions", "politeness", "pages_replace", "fetch_health",
 ]
 # Queries that read every raw page once.
-PAGE_QUERIES = ["link_inventory", "page_texts", "page_names", "page_types", "feed_extract"]
+PAGE_QUERIES = ["site_profiles", "link_inventory", "page_texts", "page_names", "page_types", "feed_extract"]
 
 
 def main() -> None:
