@@ -35,15 +35,15 @@ def test_query_against_sql(spark, name):
     assert sorted((tuple(r) for r in result.collect()), key=repr) == want
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     """Every stage against plain code over its own input."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     rows = {"documents": docs.collect()}
     now = docs
     for name, stage in corpus_pipeline.STAGES:
-        path = f"{os.environ.get('TMPDIR', '/tmp')}/stage-{os.getpid()}-{name}"
-        stage(spark, now, FOLDER).write.mode("overwrite").parquet(path)
+        path = f"{tmp_path}/{name}"
+        stage(spark, now, FOLDER).write.parquet(path)
         before, now = now, spark.read.parquet(path)
         rows[name] = now.collect()
         if name != "best_fit_packing":
