@@ -557,7 +557,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     ids = cut_lineage(ids)
     columns = docs.columns
     # An id of one row stays or goes as a whole; rows that share an id are told apart by their set.
-    matched = docs.join(ids.filter("doc_id is not null"), "doc_id")
+    # Ids are built into the hash table, so that texts are streamed past it and not sorted.
+    matched = docs.join(ids.filter("doc_id is not null").hint("shuffle_hash"), "doc_id")
     plain = matched.filter("_rows = 1 or _bare").select(columns)
     field = [T.StructField("_class", T.LongType())]
 
