@@ -83,8 +83,8 @@ def rake(
                 .select(dimension, (F.col("target") / F.col("total")).alias("scale"))
             )
             now = now.join(scale, dimension).withColumn("weight", F.col("weight") * F.col("scale"))
-            now = now.drop("scale")
-        now = cut_lineage(now)
+            # Every step reads the cells twice; written out, plans do not double with each.
+            now = cut_lineage(now.drop("scale"))
     return now
 
 
