@@ -45,7 +45,7 @@ def fit(
     states: list[list[int]],
     n_features: int,
     rounds: int = 150,
-    ridge: float = 0.05,
+    ridge: float = 0.0005,
 ) -> Crf:
     """Maximum likelihood with an L2 penalty, by Adam on forward-backward gradients; all
     sequences advance together, one position at a time."""
@@ -92,7 +92,7 @@ def fit(
             - norm[:, None, None, None]
         )
         gain_move = seen_move - (joint * pairs[:, :, None, None]).sum(axis=(0, 1))
-        gain = np.concatenate([gain_emit, gain_move.ravel()]) / total - ridge * weights / 10
+        gain = np.concatenate([gain_emit, gain_move.ravel()]) / total - ridge * weights
         mean, square = 0.9 * mean + 0.1 * gain, 0.99 * square + 0.01 * gain**2
         weights = weights + 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
     rounded = np.round(weights, 9).tolist()  # sums may differ in the last bits elsewhere

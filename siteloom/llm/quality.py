@@ -1,8 +1,8 @@
 """Quality rules: base counts, and lines marked as content or boilerplate by a conditional
 random field.
 
-Every line of a text becomes a few binary features (length, share of symbols and capitals, word
-variety, copies within the text, ...); the most probable sequence of marks is found by Viterbi
+Every line of a text becomes a few binary features (length, share of symbols and capitals, words
+said twice in a row, copies within the text, ...); the most probable sequence of marks is found by Viterbi
 decoding. A text is kept if enough of its words stand in content lines. The model is fitted on
 labelled documents: lines of good documents count as content, lines of bad ones as boilerplate.
 
@@ -11,16 +11,18 @@ a word fail the base rule. Repeated rows get equal verdicts."""
 
 from __future__ import annotations
 
+import operator
 import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteloom.llm.crf import Crf, fit, viterbi
 from siteloom.llm.rows import append_columns, long
+from siteloom.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -40,7 +42,7 @@ _STEPS = {
     "words": [1, 4, 8, 16, 40],
     "symbols": [0.02, 0.1, 0.3, 0.6],
     "capitals": [0.1, 0.3, 0.7],
-    "variety": [0.2, 0.4, 0.6, 0.8],
+    "stutter": [0.1, 0.3, 0.6],
     "digits": [0.02, 0.1, 0.3],
     "calls": [0.02, 0.1, 0.3],
     "copies": [2, 3, 6],
@@ -109,7 +111,7 @@ def line_features(text: str | None) -> tuple[list[list[int]], list[int]]:
                     _grade("words", n),
                     _grade("symbols", len(_SYMBOL.findall(line)) / n),
                     _grade("capitals", sum(map(str.isupper, words)) / n),
-                    _grade("variety", len(set(words)) / n),
+                    _grade("stutter", sum(map(operator.eq, words, words[1:])) / n),
                     _grade("digits", len(_DIGIT.findall(line)) / chars),
                     _grade("calls", line.count("!") / n),
                     _grade("copies", copies[line]),
@@ -142,11 +144,12 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Crf | None:
     marked = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality")
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = marked.join(usable, "doc_id", "left_semi")
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = marked.withColumn("place", F.row_number().over(order))
-    chosen = {
-        r.doc_id: r.quality for r in first.filter(F.col("place") <= FIT_DOCUMENTS).collect()
-    }
+    marked = cut_lineage(marked)  # ids only, read once per class
+    chosen: dict[int, int] = {}
+    for quality in (0, 1):
+        own = marked.filter(F.col("quality") == quality)
+        rows = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS).collect()
+        chosen |= {r.doc_id: quality for r in rows}
     if len(set(chosen.values())) < 2:
         return None
     fields = [T.StructField("features", T.ArrayType(T.ArrayType(T.IntegerType())))]
