@@ -17,8 +17,10 @@ def plain_top(rows, k, is_query):
     for i, q in fine:
         if not is_query(i):
             continue
-        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in fine if j != i)
-        out += [(i, n + 1, j, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, j) in enumerate(scored[:k])]
+        # Scores are cut to a long first; equal ones then go by id.
+        whole = ((sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in fine if j != i)
+        scored = sorted((-max(min(s, 2**63 - 1), -(2**63)), j) for s, j in whole)
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
 
