@@ -5,9 +5,10 @@ one blank) and mapped to the identifiers of known licence sentences. The identif
 the text, are matched against ordered licence rules: a rule fits where its identifiers follow each
 other; the rules for whole texts come first and use up what they match.
 
-A line end closes a sentence in a first reading, and is a blank in a second one, since licence texts
-are often wrapped; the reading that knows more sentences counts, the first of equals. All of it is local to a row and native. Null and
-empty texts have no sentence. Repeated rows get equal results."""
+Licence texts are often wrapped, so a line end may close a sentence or be a blank in it: every run of
+whole lines between two sentence ends is looked up, from each line the longest known one, and nothing
+known is dropped for what stands elsewhere. All of it is local to a row and native. Null and empty
+texts have no sentence. Repeated rows get equal results."""
 
 from __future__ import annotations
 
@@ -56,22 +57,32 @@ RULES = [
 ]
 # Every known sentence holds one of these; texts without any are done.
 HINTS = ["licen[cs]e", "permission", "rights reserved", "software", "redistribut", "warrant"]
-_HINT = "(?i)" + "|".join(HINTS)
-# Sentence ends: punctuation before white space, or an empty line; in the first reading any line end.
+_HINT = "(?i)" + "|".join(HINTS).replace(" ", "[^a-z0-9]+")
+# Sentence ends: punctuation before white space, or an empty line; a line end may be one.
 BY_LINE = r"[.!?:;]+\s+|\n"
 ACROSS_LINES = r"[.!?:;]+\s+|\n\s*\n"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """Normalised text with ``|`` at sentence ends and at both ends, line ends kept."""
+    ended = F.regexp_replace(F.translate(F.lower(text), "|", "-"), ACROSS_LINES, "|")
+    words = F.regexp_replace(ended, "[^a-z0-9|\n]+", " ")
+    lines = F.regexp_replace(words, " ?\n[ \n]*", "\n")
+    return F.regexp_replace(F.concat(F.lit("|"), lines, F.lit("|")), r"[ \n]?\|[ \n|]*", "|")
 
 
-def known_sentences(text: Column, ends: str) -> Column:
+def _pattern() -> str:
+    """Every known sentence between marks, wrapped anywhere; the longest of those at one place."""
+    known = sorted(SENTENCES.values(), key=lambda s: (-len(s), s))
+    return r"(?<=[|\n])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in known) + r")(?=[|\n])"
+
+
+def known_sentences(text: Column) -> Column:
     """Identifiers of the known sentences, in order, each between blanks."""
     table = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    hinted = F.filter(F.split(text, ends), lambda s: s.rlike(_HINT))
-    found = F.transform(hinted, lambda s: F.element_at(table, normalised(s)))
-    ids = F.array_join(F.filter(found, lambda i: i.isNotNull()), "  ")
+    found = F.regexp_extract_all(marked(text), F.lit(_pattern()), F.lit(0))
+    named = F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
+    ids = F.array_join(named, "  ")
     return F.when(text.rlike(_HINT) & (ids != ""), F.concat(F.lit(" "), ids, F.lit(" "))).otherwise("")
 
 
@@ -89,14 +100,7 @@ def _match(ids: Column) -> tuple[list[Column], Column]:
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, sentence_ids, n_known, licenses, n_left`` per row: the identifiers, how many, the
     licences in the order of the rules, and the number of identifiers outside any rule."""
-    text = F.col("text")
-    both = docs.select(
-        "doc_id",
-        known_sentences(text, BY_LINE).alias("by_line"),
-        known_sentences(text, ACROSS_LINES).alias("across"),
-    )
-    more = _count(F.col("across")) > _count(F.col("by_line"))
-    read = both.select("doc_id", F.when(more, F.col("across")).otherwise(F.col("by_line")).alias("ids"))
+    read = docs.select("doc_id", known_sentences(F.col("text")).alias("ids"))
     fits, left = _match(F.col("ids"))
     names = list(dict.fromkeys(name for name, _ in RULES))
     licenses = [

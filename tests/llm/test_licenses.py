@@ -66,3 +66,24 @@ def test_tables_agree():
     for s in SENTENCES.values():
         assert re.sub("[^a-z0-9]+", " ", s.lower()).strip() == s
         assert any(re.search(h, s) for h in licenses.HINTS), s
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.licenses for r in sorted(licenses.scan(docs).collect(), key=lambda r: r.doc_id)]
+
+
+def test_both_readings_count_in_one_text(spark):
+    line = "Released under the MIT License\nplain text\n"
+    wrapped = APACHE.replace("Version 2.0 (the", "Version\n2.0 (the")
+    texts = [line + "\n" + wrapped, line + wrapped, wrapped + line, "Released under the MIT License\n" + wrapped,
+             "All rights\nreserved\nplain\nLicensed under CC BY 4.0\nmore", "Not\nReleased under the MIT License or so"]
+    assert found(spark, texts) == ["MIT,Apache-2.0"] * 4 + ["CC-BY-4.0,proprietary", ""]
