@@ -36,6 +36,12 @@ SENTENCES = {
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",  # noqa: E501
     "reserved": "all rights reserved",
 }
+# Known sentences that hold a ``:`` or ``;`` before white space in the published text, and
+# the words before it.
+ENDS_WITHIN = {
+    "gpl-free": "this program is free software",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty",
+}
 # Ordered rules, whole texts before notices.
 RULES = [
     ("MIT", ["mit-grant", "mit-copy", "as-is-upper"]),
@@ -73,15 +79,19 @@ def marked(text: Column) -> Column:
 
 def _pattern() -> str:
     """Every known sentence between marks, wrapped anywhere; the longest of those at one place."""
-    known = sorted(SENTENCES.values(), key=lambda s: (-len(s), s))
-    return r"(?<=[|\n])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in known) + r")(?=[|\n])"
+    known = []
+    for i, s in sorted(SENTENCES.items(), key=lambda x: (-len(x[1]), x[1])):
+        if i in ENDS_WITHIN:
+            s = s.replace(f"{ENDS_WITHIN[i]} ", f"{ENDS_WITHIN[i]}|")
+        known.append(s.replace("|", r"[\s|]").replace(" ", r"\s"))
+    return r"(?<=[|\n])(?:" + "|".join(known) + r")(?=[|\n])"
 
 
 def known_sentences(text: Column) -> Column:
     """Identifiers of the known sentences, in order, each between blanks."""
     table = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
     found = F.regexp_extract_all(marked(text), F.lit(_pattern()), F.lit(0))
-    named = F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
+    named = F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n|", "  ")))
     ids = F.array_join(named, "  ")
     return F.when(text.rlike(_HINT) & (ids != ""), F.concat(F.lit(" "), ids, F.lit(" "))).otherwise("")
 

@@ -87,3 +87,37 @@ def test_both_readings_count_in_one_text(spark):
     texts = [line + "\n" + wrapped, line + wrapped, wrapped + line, "Released under the MIT License\n" + wrapped,
              "All rights\nreserved\nplain\nLicensed under CC BY 4.0\nmore", "Not\nReleased under the MIT License or so"]
     assert found(spark, texts) == ["MIT,Apache-2.0"] * 4 + ["CC-BY-4.0,proprietary", ""]
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_published_texts(spark):
+    first = GPL.split("\n\n")[0]
+    texts = [GPL, GPL.replace("\n", "\r\n"), GPL.replace("\n\n", " ").replace("\n", " "), first,
+             "".join(f" * {line}\n" for line in GPL.splitlines()), first.replace("version 3", "version 2"),
+             MIT, APACHE, BSD, ISC, "This program is free software: you can use it."]
+    assert found(spark, texts) == ["GPL-3.0-or-later"] * 5 + ["", "MIT", "Apache-2.0", "BSD", "ISC", ""]
+    whole = licenses.scan(spark.createDataFrame([(1, GPL)], "doc_id long, text string")).first()
+    assert (whole.sentence_ids, whole.n_known, whole.n_left) == ("gpl-free gpl-warranty", 2, 0)
