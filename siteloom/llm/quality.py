@@ -4,7 +4,8 @@ random field.
 Every line of a text becomes a few binary features (length, share of symbols and capitals, words
 said twice in a row, copies within the text, ...); the most probable sequence of marks is found by Viterbi
 decoding. A text is kept if enough of its words stand in content lines. The model is fitted on
-labelled documents: lines of good documents count as content, lines of bad ones as boilerplate.
+labelled documents: lines of good documents count as content, lines of bad ones as boilerplate. Short
+runs of lines of both are strung together for that, so that the marks change within a sequence.
 
 Everything is local to a row, so there is no shuffle. Null text counts as no words; texts without
 a word fail the base rule. Repeated rows get equal verdicts."""
@@ -12,6 +13,7 @@ a word fail the base rule. Repeated rows get equal verdicts."""
 from __future__ import annotations
 
 import operator
+import random
 import re
 from collections import Counter
 
@@ -32,6 +34,9 @@ MIN_CONTENT_SHARE = 0.5
 #: Labelled documents per class that the model is fitted on, and the most lines one may have.
 FIT_DOCUMENTS = 400
 FIT_LINES = 120
+#: Most lines of a run, and runs of a sequence, that the model is fitted on.
+RUN_LINES = 6
+RUNS = 12
 
 _SYMBOL = re.compile("[#*$%&|<>]")
 _DIGIT = re.compile("[0-9]")
@@ -134,6 +139,32 @@ def content_share(model: Crf, text: str | None) -> float:
     return content / sum(sizes) if sizes else 0.0
 
 
+def spliced(
+    documents: list[list[list[int]]], marks: list[int]
+) -> tuple[list[list[list[int]]], list[list[int]]]:
+    """Sequences of runs from all documents in mixed order, and the marks of their lines. Every line
+    occurs once; the first and last line are those of the sequence."""
+    rng = random.Random(8)
+    ends = {_FLAGS + 2, _FLAGS + 3}
+    runs = []
+    for lines, mark in zip(documents, marks, strict=True):
+        at = 0
+        while at < len(lines):
+            n = rng.randint(1, RUN_LINES)
+            runs.append(([[f for f in x if f not in ends] for x in lines[at : at + n]], mark))
+            at += n
+    rng.shuffle(runs)
+    sequences, states = [], []
+    for k in range(0, len(runs), RUNS):
+        own = runs[k : k + RUNS]
+        sequence = [line for lines, _ in own for line in lines]
+        sequence[0].append(_FLAGS + 2)
+        sequence[-1].append(_FLAGS + 3)
+        sequences.append(sequence)
+        states.append([mark for lines, mark in own for _ in lines])
+    return sequences, states
+
+
 def fit_model(docs: DataFrame, labels: DataFrame) -> Crf | None:
     """Model from at most ``FIT_DOCUMENTS`` labelled documents per class, chosen by a hash of
     the id among those of at most ``FIT_LINES`` lines; None unless both classes occur.
@@ -162,9 +193,8 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Crf | None:
     rows = sorted((r for r in rows if r.features), key=lambda r: r.doc_id)
     if len({chosen[r.doc_id] for r in rows}) < 2:
         return None
-    sequences = [[list(x) for x in r.features] for r in rows]
-    states = [[1 - chosen[r.doc_id]] * len(r.features) for r in rows]
-    return fit(sequences, states, N_FEATURES)
+    documents = [[list(x) for x in r.features] for r in rows]
+    return fit(*spliced(documents, [1 - chosen[r.doc_id] for r in rows]), N_FEATURES)
 
 
 FIELDS = [

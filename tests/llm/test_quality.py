@@ -114,3 +114,22 @@ def test_without_labels_or_rows(spark):
     rows = quality.judge(docs, None, ["doc_id"]).collect()
     assert all(r.kept for r in rows if not r.base_failed)
     assert quality.judge(docs.limit(0), None).count() == 0
+
+
+def test_marks_change_within_a_text(spark):
+    docs = corpus(spark)
+    model = quality.fit_model(docs, docs.select("doc_id", "quality"))
+    for marks in ([0, 0, 0, 1, 0, 0, 1, 0, 0, 0], [1, 1, 0, 0, 0, 0, 1], [0, 1] * 6):
+        lines = [(BAD if mark else GOOD).format(i, 99) for i, mark in enumerate(marks)]
+        features, sizes = quality.line_features("\n".join(lines))
+        assert crf.viterbi(model, features) == marks
+        content = sum(n for n, mark in zip(sizes, marks, strict=True) if not mark)
+        assert quality.content_share(model, "\n".join(lines)) == content / sum(sizes)
+
+
+def test_spliced_runs_hold_every_line_once():
+    documents = [[[d, i] for i in range(1 + 7 * d % 23)] for d in range(30)]
+    sequences, states = quality.spliced(documents, [d % 2 for d in range(30)])
+    lines = [(x[0], x[1], mark) for s, m in zip(sequences, states, strict=True) for x, mark in zip(s, m, strict=True)]
+    assert sorted(lines) == sorted((d, i, d % 2) for d in range(30) for i in range(len(documents[d])))
+    assert sum(len(set(m)) > 1 for m in states) > len(states) / 2
