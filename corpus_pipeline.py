@@ -14,13 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from siteloom.llm import jaccard, langid, mixing, packing, quality  # noqa: E402
-from siteloom.llm.queries import TOKENIZER, language_profiles  # noqa: E402
+from siteloom.llm.queries import TOKENIZER, language_profiles, training_fold  # noqa: E402
 from siteloom.session import checkpoint_dir, ship_package  # noqa: E402
 from siteloom.sources.tables import table  # noqa: E402
 
-#: A text below this score is as far from every language as from random letters.
-MIN_LANGUAGE_SCORE = 0.05
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are mostly content."""
@@ -30,9 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
+    """Documents in a known language: not far below what the training texts of it score."""
     ship_package(spark)
-    return langid.identified(docs, language_profiles(docs), MIN_LANGUAGE_SCORE)
+    profiles = language_profiles(docs)
+    return langid.identified(docs, profiles, langid.low_scores(training_fold(docs), profiles))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

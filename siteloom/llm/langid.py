@@ -26,6 +26,10 @@ from siteloom.llm.rows import append_columns
 #: n-grams per language profile, and n-grams of a text that are compared with it.
 PROFILE = 400
 UNKNOWN = "und"
+#: Share of the training texts of a language that may lie below its low score, and the part of that
+#: score which a text must reach.
+LOW_SHARE = 0.05
+LOW_PART = 0.65
 _BITS = np.uint64(21)  # a code point
 # Tell n-grams of one and two characters from longer ones that start at a blank.
 _ONE, _PAIR = np.uint64(1 << 63), np.uint64(0x1FFFFF << 42)
@@ -154,12 +158,38 @@ def identify(docs: DataFrame, profiles: Profiles, carry: list[str] | None = None
     return append_columns(docs, ["text"], FIELDS, compute, carry)
 
 
-def identified(docs: DataFrame, profiles: Profiles, min_score: float) -> DataFrame:
-    """The rows with a known language and a score of at least ``min_score``, as they came."""
+def low_scores(docs: DataFrame, profiles: Profiles) -> dict[str, float]:
+    """Per language, ``LOW_PART`` of the score that all but ``LOW_SHARE`` of the texts of ``docs``
+    labelled and identified as that language reach. Scores count in thousandths, so a language
+    has at most a thousand of them, however many rows."""
+    scored = identify(docs.select("lang", "text"), profiles, ["lang"]).filter("lang = lang_pred")
+    steps = scored.groupBy("lang", F.floor(F.col("score") * 1000).alias("step")).count()
+    counts: dict[str, dict[int, int]] = {}
+    for r in steps.collect():
+        counts.setdefault(r["lang"], {})[r["step"]] = r["count"]
+    low = {}
+    for name, own in counts.items():
+        left = LOW_SHARE * sum(own.values())
+        for step in sorted(own):
+            left -= own[step]
+            if left < 0:
+                low[name] = LOW_PART * step / 1000
+                break
+    return low
+
+
+def identified(
+    docs: DataFrame, profiles: Profiles, min_score: float | dict[str, float]
+) -> DataFrame:
+    """The rows with a known language and a score of at least ``min_score`` (one for all, or by
+    language), as they came."""
+
+    def least(name: str) -> float:
+        return min_score.get(name, 0.0) if isinstance(min_score, dict) else min_score
 
     def compute(texts: list[str | None]) -> list[list]:
         found = [profiles.predict(t) for t in texts]
-        return [[name != UNKNOWN and score >= min_score for name, score in found]]
+        return [[name != UNKNOWN and score >= least(name) for name, score in found]]
 
     field = T.StructField("known_language", T.BooleanType())
     return append_columns(docs, ["text"], [field], compute, None, field.name)

@@ -50,9 +50,14 @@ def _fold() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
+def training_fold(docs: DataFrame) -> DataFrame:
+    """Rows to learn languages from; rows without an id are in neither fold."""
+    return docs.filter(_fold() != 0)
+
+
 def language_profiles(docs: DataFrame) -> langid.Profiles:
-    """Profiles of the training fold; rows without an id are in neither fold."""
-    return langid.learn(docs.filter(_fold() != 0))
+    """Profiles of the training fold."""
+    return langid.learn(training_fold(docs))
 
 
 @query

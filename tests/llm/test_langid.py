@@ -1,8 +1,13 @@
+import math
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siteloom.llm import langid
 
 
@@ -81,3 +86,36 @@ def test_nothing_learned(spark):
     empty = langid.learn(docs.limit(0))
     assert empty.predict("words") == ("und", 0.0)
     assert langid.identify(docs.limit(0), langid.learn(docs)).count() == 0
+
+
+def test_stage_drops_random_letters_and_unlearned_languages(spark):
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    clean = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = clean.filter(F.size(F.split("text", r"\s+")) >= 20).select("doc_id", "text", "lang")
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)) for n in (30, 300, 3000)]
+    odd += [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem"
+        " i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja"
+        " omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    ]
+    # Rows without an id are judged, and nothing is learned from them.
+    rows = spark.createDataFrame([(None, t, "en") for t in odd], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, clean.unionByName(rows), folder).collect()
+    assert not {r.text for r in kept} & set(odd)
+    assert len(kept) == clean.count()
+
+
+def test_low_scores_by_language(spark):
+    docs = corpus(spark)
+    profiles = langid.learn(docs)
+    low = langid.low_scores(docs, profiles)
+    scores = [r.score for r in langid.identify(docs, profiles).collect() if r.lang == r.lang_pred == "yy"]
+    assert sorted(low) == ["xx", "yy", "zz"]
+    assert low["yy"] == langid.LOW_PART * math.floor(sorted(scores)[1] * 1000) / 1000
+    assert langid.low_scores(docs.limit(0), profiles) == {}
+    assert langid.identified(docs, profiles, low).count() == 91
