@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import jaccard, knn, langid, licenses, mixing, packing, quality, quotes
+from siteloom.llm import bpe, jaccard, knn, langid, licenses, mixing, packing, quality, quotes
 from siteloom.llm import sharding, urlfilter
 from siteloom.session import ship_package
 from siteloom.sources.tables import table
@@ -17,6 +17,7 @@ from siteloom.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(f: Query) -> Query:
@@ -101,3 +102,16 @@ def op9_jaccard_join(spark, folder):
 @query
 def op10_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op11_bpe_encoding(spark, folder):
+    docs = table(spark, folder, "documents")
+    ids = bpe.encode(docs, BYTE_TOKENIZER, carry=["doc_id"])
+    both = bpe.decode(ids, BYTE_TOKENIZER, text="decoded")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
