@@ -112,3 +112,50 @@ select doc_id, source, lang, topic, n_tokens, round(p, 6) as probability,
     / 4503599627370496.0 < p as kept
 from keyed join drawn using (_source, _lang, _topic)
 """
+
+
+def _centroid_sql(width: int = 64, k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Distances here are inner products of whole numbers in doubles, exact below 2^53."""
+    far = "(p.n + c.n - 2 * list_inner_product(p.v, c.c))::bigint"
+
+    def assigned(i: int) -> str:
+        return f"""
+assigned_{i} as materialized (
+  select r, min(struct_pack(distance := distance, j := j)) as best from (
+    select p.r, c.j, {far} as distance from points p cross join (
+      select j, c, list_inner_product(c, c) as n from centroids_{i}) c)
+  group by r)"""
+
+    def moved(i: int) -> str:
+        return f"""
+sums_{i} as (
+  select j, d, sum(x::bigint)::bigint as s, count(*) as n from (
+    select a.best.j as j, unnest(p.v) as x, unnest(range({width})) as d
+    from assigned_{i} a join points p using (r))
+  group by j, d),
+centroids_{i + 1} as materialized (
+  select o.j, coalesce(m.c, o.c) as c from centroids_{i} o left join (
+    select j, list(((s - ((s % n) + n) % n) // n)::double order by d) as c from sums_{i} group by j) m using (j))"""
+
+    steps = ",".join(assigned(i) + "," + moved(i) for i in range(rounds))
+    return f"""
+with points as materialized (
+  select row_number() over () as r, vec_id, v, list_inner_product(v, v) as n from (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where len(embedding) = {width}
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)),
+centroids_0 as materialized (
+  select row_number() over (order by sha256('{seed}:' || vec_id) nulls last, v) - 1 as j, v as c
+  from points order by j limit {k}),
+{steps},
+{assigned(rounds)},
+totals as (select best.j as j, sum(best.distance)::bigint as own from assigned_{rounds} group by 1)
+select p.vec_id, c.j::int as cluster, a.best.distance as distance, t.own as cluster_inertia,
+  (select sum(own)::bigint from totals) as inertia,
+  sha256(array_to_string(c.c::bigint[], ',')) as centroid_sha256
+from assigned_{rounds} a join points p using (r) join centroids_{rounds} c on c.j = a.best.j
+  join totals t on t.j = c.j
+"""
+
+
+ORACLES["op12_centroid_clustering"] = _centroid_sql()

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import bpe, jaccard, knn, langid, licenses, mixing, packing, quality, quotes
+from siteloom.llm import bpe, centroids, jaccard, knn, langid, licenses, mixing, packing, quality, quotes
 from siteloom.llm import sharding, urlfilter
 from siteloom.session import ship_package
 from siteloom.sources.tables import table
@@ -115,3 +115,8 @@ def op11_bpe_encoding(spark, folder):
         F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op12_centroid_clustering(spark, folder):
+    return centroids.cluster(table(spark, folder, "embeddings"), 64)
