@@ -159,3 +159,64 @@ from assigned_{rounds} a join points p using (r) join centroids_{rounds} c on c.
 
 
 ORACLES["op12_centroid_clustering"] = _centroid_sql()
+
+# Checksums byte by byte, for all distinct features at once.
+ORACLES["op13_importance_resampling"] = r"""
+with recursive
+table_steps as (
+  select x as byte, x::bigint as crc, 0 as k from range(256) t(x)
+  union all
+  select byte, case when crc % 2 = 1 then xor(crc // 2, 3988292384) else crc // 2 end, k + 1
+  from table_steps where k < 8),
+crc_table as (select byte, crc from table_steps where k = 8),
+texts as (
+  select 's' as side, row_number() over () as r, doc_id, text from documents
+  union all select 't', row_number() over (), null, text from benchmark),
+worded as materialized (
+  select side, r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from texts),
+features as materialized (
+  select side, r, f, count(*) as n from (
+    select side, r, unnest(w) as f from worded
+    union all select side, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from worded
+    union all select side, r, unnest(list_transform(range(1, len(w) - 1),
+      lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from worded)
+  group by all),
+distinct_features as materialized (
+  select row_number() over () as id, f, hex(encode(f)) as h from (select distinct f from features)),
+walked as (
+  select id, h, 1 as place, 4294967295::bigint as crc from distinct_features
+  union all
+  select id, h, place + 2, xor(c.crc, w.crc // 256)
+  from walked w join crc_table c on c.byte = xor(w.crc % 256, ('0x' || substr(h, place, 2))::bigint)
+  where place < length(h)),
+bucketed as materialized (
+  select d.f, xor(w.crc, 4294967295) % 10000 as bucket
+  from walked w join distinct_features d using (id) where w.place > length(w.h)),
+counts as (
+  select bucket, sum(n) filter (side = 's') as s, sum(n) filter (side = 't') as t
+  from features join bucketed using (f) group by bucket),
+totals as (select coalesce(sum(s), 0)::double as s, coalesce(sum(t), 0)::double as t from counts),
+gain as (
+  select bucket, floor(1000 * ln((coalesce(c.t, 0)::double + 1) * (a.s + 10000)
+    / ((coalesce(c.s, 0)::double + 1) * (a.t + 10000))))::bigint as gain
+  from counts c, totals a),
+weights as (
+  select r, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight
+  from features join bucketed using (f) join gain using (bucket) where side = 's' group by r),
+scored as (
+  select doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features,
+    coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double)
+      / 4294967296::double)))::bigint)::bigint as score
+  from worded left join weights using (r) where side = 's'),
+ranked as (
+  select doc_id, score, n_features, weight, n_words >= 20 as fit,
+    row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last, n_features) as place,
+    count(*) filter (n_words >= 20) over () as n
+  from scored)
+select doc_id, n_features, weight, score, case when fit and place <= n * 5 // 100 then place end as rank
+from ranked
+"""

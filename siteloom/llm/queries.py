@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm import bpe, centroids, jaccard, knn, langid, licenses, mixing, packing, quality, quotes
-from siteloom.llm import sharding, urlfilter
+from siteloom.llm import resampling, sharding, urlfilter
 from siteloom.session import ship_package
 from siteloom.sources.tables import table
 
@@ -120,3 +120,8 @@ def op11_bpe_encoding(spark, folder):
 @query
 def op12_centroid_clustering(spark, folder):
     return centroids.cluster(table(spark, folder, "embeddings"), 64)
+
+
+@query
+def op13_importance_resampling(spark, folder):
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -59,8 +59,18 @@ def vectors(seed, n, width=6):
 
 
 @pytest.mark.parametrize("block", [2048, 7])
-def test_against_a_plain_loop(spark, monkeypatch, block):
+def test_nearest(monkeypatch, block):
     monkeypatch.setattr(centroids, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    for scale in (3, 2**20, 2**40):
+        rows = rng.integers(-scale, scale, (50, 4)).astype(object if scale > 2**27 else np.int64)
+        middle = rng.integers(-scale, scale, (9, 4)).tolist() + [rows[0].tolist()] * 2
+        got = centroids.nearest(rows, middle)
+        want = [min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(middle)) for v in rows.tolist()]
+        assert list(zip(got[1].tolist(), got[0].tolist(), strict=True)) == want
+
+
+def test_against_a_plain_loop(spark):
     rows = vectors(1, 200)
     rows += [(300 + i, rows[3][1]) for i in range(90)]  # a common vector
     assert run(spark, rows, 6) == plain(rows, 6, 5, 3)
