@@ -719,3 +719,50 @@ SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, count(*
 FROM events GROUP BY 1"""
 ORACLES["fetch_health"] = _HEALTH
 ORACLES["feed_health"] = _HEALTH
+
+# Along a customer's orders the path is known from the place in them.
+ORACLES["discovery_paths"] = """
+WITH o AS (SELECT o_custkey, 'https://shop-' || o_custkey || '.test/' AS site,
+    'https://shop-' || o_custkey || '.test/orders/' || o_orderkey AS url,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r,
+    count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+least AS (SELECT o_custkey, min(url) AS head, arg_min(r, url) AS at FROM o GROUP BY o_custkey)
+SELECT site, url, CASE o_custkey % 3 WHEN 0 THEN site WHEN 1 THEN site || 'old' ELSE head END AS root,
+  CASE WHEN o_custkey % 3 = 2 THEN (r - least.at + n) % n ELSE r END AS hops,
+  o_custkey % 3 = 2 AS looped, o_custkey % 3 <> 1 AS known
+FROM o JOIN least USING (o_custkey)
+UNION ALL
+SELECT 'https://shop-' || c_custkey || '.test/', 'https://shop-' || c_custkey || '.test/',
+  'https://shop-' || c_custkey || '.test/', 0, false, true FROM customer
+"""
+
+ORACLES["redirect_chains"] = """
+WITH RECURSIVE lines AS (SELECT l_orderkey AS o, l_linenumber AS n, max(l_returnflag) AS flag,
+    max(round(l_tax * 100)::int) AS tax, max(l_quantity::int) AS q FROM lineitem GROUP BY ALL),
+sizes AS (SELECT o, max(n) AS last, count(*) = max(n) AS whole FROM lines GROUP BY o),
+own AS MATERIALIZED (
+  SELECT o, n, 'https://shop-' || o_custkey || '.test/orders/' || o || '/' AS base, q,
+    CASE WHEN n < last THEN n + 1 WHEN o_orderstatus = 'P' THEN 1 END AS next,
+    whole AND o_orderstatus = 'P' AS loops,
+    CASE WHEN n < last THEN 301 WHEN o_orderstatus = 'P' THEN 302 WHEN flag = 'R' THEN 404 ELSE 200 END AS status,
+    CASE WHEN tax = 7 THEN 'application/pdf' ELSE 'text/html' END AS content_type,
+    CASE WHEN tax = 8 AND NOT (tax = 7) THEN 2 ELSE 1 END AS attempts
+  FROM lines JOIN sizes USING (o) JOIN orders ON o = o_orderkey),
+walk AS (
+  SELECT o, n, n AS place, []::VARCHAR[] AS path, 0 AS cost FROM own
+  UNION ALL
+  SELECT w.o, w.n, s.next, list_append(w.path, s.base || s.n), w.cost + s.q
+  FROM walk w JOIN own s ON s.o = w.o AND s.n = w.place WHERE s.next IS NOT NULL AND NOT (s.loops AND s.n = 1)),
+done AS (
+  SELECT w.*, f.status, f.content_type, f.attempts, f.q, f.n IS NOT NULL AS reached, coalesce(f.loops, false) AS looped
+  FROM walk w LEFT JOIN own f ON f.o = w.o AND f.n = w.place
+  WHERE f.n IS NULL OR f.next IS NULL OR (f.loops AND f.n = 1))
+SELECT s.base || d.n AS requested_url, s.base || d.place AS final_url, array_to_string(d.path, '|') AS redirect_chain,
+  d.looped, d.status::BIGINT AS status, d.content_type,
+  coalesce(d.status = 200 AND d.content_type = 'text/html' AND NOT d.looped, false) AS ok,
+  CASE WHEN d.looped THEN 'redirect_loop' WHEN NOT d.reached THEN 'unknown_error'
+    WHEN d.content_type <> 'text/html' THEN 'non_html_content_type:' || d.content_type
+    WHEN d.status <> 200 THEN 'http_' || d.status END AS error,
+  d.attempts::BIGINT AS attempts, (d.cost + CASE WHEN d.looped THEN 0 ELSE coalesce(d.q, 0) END)::BIGINT AS elapsed_ms
+FROM done d JOIN own s ON s.o = d.o AND s.n = d.n
+"""

@@ -66,25 +66,58 @@ def _is_terminal(max_attempts: int | None, max_bytes: int | None) -> Column:
     return ~again | (F.col("attempt") >= max_attempts)
 
 
+def _preference(terminal: Column) -> Column:
+    """Smallest for the attempt that counts: whether it is no end, then the earliest end or else the
+    latest attempt."""
+    return F.struct(~terminal, F.when(terminal, F.col("attempt")).otherwise(-F.col("attempt")))
+
+
+def retry_choice(
+    attempts: DataFrame, max_attempts: int | None = None, max_bytes: int | None = None, redirects: bool = False
+) -> DataFrame:
+    """The attempt that counts of each URL, with all its columns and ``ok``, ``error``; of attempts
+    logged twice, the one whose columns sort first. With ``redirects`` an answer with a status of 300 to
+    399 and a ``location`` is ``redirected``, and no error. Meant for logs without bodies."""
+    columns = [c for c in attempts.columns if c != "url"]
+    status = F.col("status")
+    moved = (status >= 300) & (status < 400) & F.col("location").isNotNull() if redirects else F.lit(False)
+    moved = F.coalesce(moved & F.col("exception").isNull(), F.lit(False))
+    preference = _preference(moved | _is_terminal(max_attempts, max_bytes))
+    log = attempts if "body" in columns else attempts.withColumn("body", F.lit(None).cast("string"))
+    log = log if "final_url" in columns else log.withColumn("final_url", F.col("url"))
+    verdict = _attempt_result(max_bytes)
+    return (
+        log.select("url", *columns, moved.alias("redirected"), (verdict["ok"] & ~moved).alias("ok"),
+                   F.when(~moved, verdict["error"]).alias("error"), preference.alias("p"))
+        .groupBy("url")
+        .agg(F.min(F.struct("p", *columns, "redirected", "ok", "error")).alias("x"))
+        .select("url", *(f"x.{c}" for c in [*columns, "redirected", "ok", "error"]))
+    )
+
+
 def retry_reduction(
     attempts: DataFrame, max_attempts: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
     """One outcome per URL: the first attempt that ends the matter, or else the last there is.
 
     Every attempt of the log counts and bodies of any size do, unless the caller names the number
-    of attempts after which a fetch was given up, or the size from which a body was refused."""
-    terminal = _is_terminal(max_attempts, max_bytes)
-    # Smallest first: whether it is no end, then the earliest end or else the latest attempt.
-    preference = F.struct(
-        ~terminal, F.when(terminal, F.col("attempt")).otherwise(-F.col("attempt"))
+    of attempts after which a fetch was given up, or the size from which a body was refused.
+    Attempts are chosen without their bodies, which are looked up for the chosen ones alone."""
+    chosen = (
+        attempts.select("url", "attempt", _preference(_is_terminal(max_attempts, max_bytes)).alias("p"))
+        .groupBy("url")
+        .agg(F.min_by("attempt", "p").alias("attempt"))
     )
+    elapsed = F.col("elapsed_ms") if "elapsed_ms" in attempts.columns else F.lit(None)
+    picked = attempts.join(chosen, ["url", "attempt"], "left_semi")
+    # An attempt that was logged twice still is one.
     return (
-        attempts.select(
-            "url", "attempt", _attempt_result(max_bytes).alias("r"), preference.alias("p")
+        picked.select(
+            "url", F.col("attempt").alias("attempts"), _attempt_result(max_bytes).alias("r"),
+            "content_type", elapsed.cast("bigint").alias("elapsed_ms"),
         )
-        .groupBy("url")
-        .agg(F.min_by(F.struct("r", "attempt"), "p").alias("x"))
-        .select("url", F.col("x.attempt").alias("attempts"), "x.r.*")
+        .dropDuplicates(["url", "attempts"])
+        .select("url", "attempts", "r.*", "content_type", "elapsed_ms")
     )
 
 
@@ -200,6 +233,8 @@ def fetch_outcomes(
         F.when(blocked, "blocked_by_robots_txt").otherwise(F.col("error")).alias("error"),
         F.when(blocked, F.col("url")).otherwise(F.col("final_url")).alias("final_url"),
         F.when(~blocked, F.col("html")).alias("html"),
+        F.when(~blocked, F.col("content_type")).alias("content_type"),
+        F.when(blocked, F.lit(0).cast("bigint")).otherwise(F.col("elapsed_ms")).alias("elapsed_ms"),
     )
 
 

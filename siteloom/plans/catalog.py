@@ -17,7 +17,7 @@ from siteloom.functions import noise as N
 from siteloom.functions import page as P
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
-from siteloom.operators import fetchlog, frontier, links, profile, report
+from siteloom.operators import chains, fetchlog, frontier, links, profile, report
 from siteloom.operators.extract import choose_body, extract_pages
 from siteloom.plans import corpus
 from siteloom.plans.pipeline import report_sites
@@ -679,6 +679,12 @@ def discovery_tree(spark, folder):
     )
 
 
+@query
+def discovery_paths(spark, folder):
+    """Every page of the shops' trails with the page that its discovery goes back to."""
+    return chains.discovery_paths(corpus.order_trail(spark, folder))
+
+
 # --- fetch log -----------------------------------------------------------------------------------
 
 
@@ -699,6 +705,15 @@ def fetch_outcomes(spark, folder):
     )
 
 
+@query
+def redirect_chains(spark, folder):
+    found = chains.redirect_chains(corpus.redirect_log(spark, folder))
+    return found.select(
+        "requested_url", "final_url", F.array_join("redirect_chain", "|").alias("redirect_chain"), "looped",
+        _long("status").alias("status"), "content_type", "ok", "error", _long("attempts").alias("attempts"), "elapsed_ms",
+    )
+
+
 @query
 def robots_decisions(spark, folder):
     rules = fetchlog.robots_rules(corpus.robots_files(spark, folder))

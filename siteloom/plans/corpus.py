@@ -370,3 +370,70 @@ def outcome_log(events: DataFrame) -> DataFrame:
         F.when(kind == "click", "dynamic").otherwise("static").alias("rendered_with"),
         (kind == "purchase").alias("is_third_party"),
     )
+
+
+# --- chains ---------------------------------------------------------------------------------
+
+
+def order_trail(spark: SparkSession, folder: str) -> DataFrame:
+    """Order pages of a shop that each lead on to the next one: ``site, url, discovered_from``. The
+    first is found on the start page, on a page nobody has, or on the last order, by customer."""
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey")
+    ranked = running_rank(
+        orders, ["o_custkey"], [F.col("o_orderkey")], F.floor(F.col("o_orderkey") / 65536)
+    )
+    before = ranked.select(
+        "o_custkey", F.col("o_orderkey").alias("before"), (F.col("running_rank") + 1).alias("running_rank")
+    )
+    last = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"))
+    site, kind = _shop("o_custkey"), F.col("o_custkey") % 3
+
+    def at(key: str) -> Column:
+        return F.concat(site, F.lit("orders/"), F.col(key).cast("string"))
+
+    trail = ranked.join(before, ["o_custkey", "running_rank"], "left").join(last, "o_custkey").select(
+        site.alias("site"),
+        at("o_orderkey").alias("url"),
+        F.when(F.col("before").isNotNull(), at("before"))
+        .when(kind == 0, site)
+        .when(kind == 1, F.concat(site, F.lit("old")))
+        .otherwise(at("last"))
+        .alias("discovered_from"),
+    )
+    starts = shop_sites(spark, folder).select("site", F.col("start_url").alias("url"))
+    return trail.unionByName(starts.withColumn("discovered_from", F.lit(None).cast("string")))
+
+
+def redirect_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of orders as requests: each is sent on to the next line of its order, the last one answers or,
+    in orders under way, sends back to the first. Some are refused at the first attempt."""
+    lines = (
+        table(spark, folder, "lineitem")
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg(
+            F.max("l_returnflag").alias("flag"),
+            F.max(F.round(F.col("l_tax") * 100).cast("int")).alias("tax"),
+            F.max(F.col("l_quantity").cast("int")).alias("quantity"),
+        )
+    )
+    last = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("last"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    rows = (
+        lines.join(last, "l_orderkey")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("url", F.concat(order_url(), F.lit("/"), F.col("l_linenumber").cast("string")))
+        .withColumn("attempt", F.explode(F.expr("case when tax = 8 then array(1, 2) else array(1) end")))
+        .withColumn("refused", F.expr("tax = 8 and attempt = 1"))
+    )
+    return rows.select(
+        "url", "attempt",
+        F.expr("case when refused then 503 when l_linenumber < last then 301 when o_orderstatus = 'P' then 302"
+               " when flag = 'R' then 404 else 200 end").alias("status"),
+        F.expr("case when tax = 7 then 'application/pdf' else 'text/html' end").alias("content_type"),
+        F.lit(1000).cast("bigint").alias("body_bytes"),
+        F.lit(None).cast("string").alias("exception"),
+        F.lit(None).cast("string").alias("message"),
+        F.col("quantity").cast("bigint").alias("elapsed_ms"),
+        F.expr("case when refused then null when l_linenumber < last then concat('./', l_linenumber + 1, '#moved')"
+               " when o_orderstatus = 'P' then '1?utm_source=loop' end").alias("location"),
+    )
