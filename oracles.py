@@ -683,7 +683,7 @@ FROM texts JOIN (SELECT site, count(*) AS pages_discovered, string_agg(extractio
     string_agg(coalesce(error, '-'), '|' ORDER BY seq) AS errors FROM audit GROUP BY 1)
   USING (site)"""
 ORACLES["site_reports"] = f"""WITH {SUPPLIERS}
-SELECT upper(site) AS input_url, site, CAST(4 AS BIGINT) AS pages_discovered, CAST(3 AS BIGINT) AS pages_fetched_ok,
+SELECT unnest([upper(site), site]) AS input_url, site, CAST(4 AS BIGINT) AS pages_discovered, CAST(3 AS BIGINT) AS pages_fetched_ok,
   CAST(1 AS BIGINT) AS pages_failed, CAST(4 AS BIGINT) AS max_pages_limit, 'max_pages_reached' AS stop_reason,
   home_name AS company_name, coalesce(label, plot) AS headquarters,
   landline || '|' || mobile || '|' || name_digits AS phones, 'home|about|contact|home' AS page_types,
@@ -695,13 +695,13 @@ ORACLES["companies_upsert"] = """
 SELECT 'https://s' || s_suppkey || '.test/' AS website, s_name AS company_name,
   s_name || CASE WHEN s_acctbal > 3000 THEN ' new' ELSE ' old' END AS description,
   '["é","Nation ' || s_nationkey || '"]' AS other_locations,
-  CASE WHEN s_acctbal > 3000 THEN '2024-02-01T00:00:00+00:00' ELSE '2024-01-01T00:00:00+00:00' END AS crawled_at
+  CASE WHEN s_acctbal > 3000 THEN '2024-02-01T00:00:00+00:00' ELSE '2024-01-01T00:00:00+00:00' END AS seen_at
 FROM supplier"""
 ORACLES["pages_replace"] = """
 SELECT 'https://shop-' || o_custkey || '.test/' AS website,
   'https://shop-' || o_custkey || '.test/orders/' || o_orderkey AS url,
   CASE WHEN o_orderstatus = 'F' THEN 'other' ELSE 'products' END AS page_type, o_orderkey AS http_status,
-  CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS BIGINT) AS crawled_at FROM orders"""
+  CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS BIGINT) AS seen_at FROM orders"""
 
 # --- streams ------------------------------------------------------------------------------------------------------
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom import constants as K
@@ -80,30 +80,54 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return page_fields(parse_pages(pages))
 
 
-def choose_body(static: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Replace the body of script-filled pages by their browser-rendered one, where that
-    succeeded. ``rendered`` is keyed by ``url`` and holds ``ok`` and ``html``.
-
-    Shells are told in one parse that is written out; only they are looked up and shuffled, all
-    other pages go on as they are."""
-    parsed = outlines(static.withColumn("has_body", F.col("html") != "").withColumn("body", F.col("html")))
-    told = cut_lineage(
-        parsed.select(
-            *[c for c in static.columns if c != "html"],
-            F.col("body").alias("html"),
-            F.coalesce(F.expr(P.is_js_shell()), F.lit(False)).alias("_shell"),
-        )
-    )
-    usable = rendered.filter(F.col("ok") & (F.col("html") != "")).select(
-        "url", F.col("html").alias("rendered_html")
+def latest_rendered(rendered: DataFrame, urls: DataFrame, latest: str | None = None) -> DataFrame:
+    """``url, rendered_html``: one usable rendered body for each of ``urls`` that has one.
+
+    ``rendered``: ``url``, ``ok``, ``html``, any number of rows per URL. The row with the greatest
+    ``latest`` counts, of equal ones (or without that column named) the one whose body sorts last."""
+    order = ([F.col(latest).alias("latest")] if latest else []) + [F.col("html").alias("html")]
+    return (
+        rendered.filter(F.col("ok") & (F.col("html") != ""))
+        .join(urls.select("url").distinct(), "url", "left_semi")
+        .groupBy("url")
+        .agg(F.max(F.struct(*order)).alias("x"))
+        .select("url", F.col("x.html").alias("rendered_html"))
     )
+
+
+def _shell() -> Column:
+    return F.coalesce(F.expr(P.is_js_shell()), F.lit(False))
+
+
+def choose_body(static: DataFrame, rendered: DataFrame, latest: str | None = None) -> DataFrame:
+    """Replace the body of script-filled pages by their browser-rendered one, where that
+    succeeded (see latest_rendered). One row per page of ``static``.
+
+    Shells are told in one parse, and only their ids are written out; only they are looked up and
+    shuffled, all other pages go on as they are."""
     others = [c for c in static.columns if c != "html"]
-    swapped = told.filter("_shell").join(usable, "url", "left").select(
+    parsed = outlines(static.withColumn("has_body", F.col("html") != ""))
+    shells = cut_lineage(parsed.filter(_shell()).select("page_id", "url"))
+    usable = latest_rendered(rendered, shells, latest)
+    swaps = cut_lineage(shells.join(usable, "url").dropDuplicates(["page_id"]).select("page_id", "rendered_html"))
+    return static.join(swaps, "page_id", "left").select(
         *others,
         F.coalesce("rendered_html", "html").alias("html"),
         F.when(F.col("rendered_html").isNotNull(), "dynamic").otherwise("static").alias("rendered_with"),
     )
-    plain = told.filter("not _shell").select(
-        *others, "html", F.lit("static").alias("rendered_with")
-    )
-    return swapped.unionByName(plain)
+
+
+def parse_chosen(static: DataFrame, rendered: DataFrame | None, latest: str | None = None) -> DataFrame:
+    """parse_pages of the bodies that count, with ``rendered_with``. Every body is parsed once, that of a
+    shell once more in its rendered form; bodies are not written out, outlines are."""
+    parsed = parse_pages(static.withColumn("rendered_with", F.lit("static")))
+    if rendered is None:
+        return cut_lineage(parsed)
+    told = cut_lineage(parsed.withColumn("_shell", _shell()))
+    shells = told.filter("_shell").drop("_shell")
+    usable = latest_rendered(rendered, shells, latest)
+    carried = [c for c in static.columns if c != "html"]
+    swaps = shells.select(*carried).join(usable.withColumnRenamed("rendered_html", "html"), "url")
+    again = cut_lineage(parse_pages(swaps.withColumn("rendered_with", F.lit("dynamic"))))
+    left = shells.join(again.select("page_id"), "page_id", "left_anti")
+    return told.filter("not _shell").drop("_shell").unionByName(left).unionByName(again.select(*left.columns))

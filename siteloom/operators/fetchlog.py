@@ -143,7 +143,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
             F.when(F.col("line") == "", "blank")
             .when(~F.col("bare").contains(":"), None)
             .when(F.col("name") == "user-agent", "agent")
-            .when(F.col("name").isin("allow", "disallow", "visit-delay", "request-rate"), "rule"),
+            .when(F.col("name").isin("allow", "disallow", "request-rate") | F.col("name").endswith("-delay"), "rule"),
         )
         .filter("kind is not null")
     )

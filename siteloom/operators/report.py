@@ -75,7 +75,7 @@ def nested_reports(
     runs: DataFrame,
     max_pages: int | None = None,
 ) -> DataFrame:
-    """One nested report per site, with all its page records in their order (``seq``).
+    """One nested report per run, with all its page records in their order (``seq``).
 
     ``runs``: ``site, input_url, started_at, finished_at, stop_reason``. ``max_pages``: the budget
     that the fetches had, if any, to be stated in the report."""
@@ -96,7 +96,7 @@ def nested_reports(
         "pages_failed",
         F.lit(max_pages).cast("bigint").alias("max_pages_limit"),
         "stop_reason",
-    ).alias("crawl_meta")
+    ).alias("run_meta")
     return (
         runs.join(page_counts(records), "site")
         .join(pages, "site")
@@ -118,7 +118,7 @@ def invalid_reports(starts: DataFrame, schema: StructType) -> DataFrame:
     return starts.select(
         F.lit(None).cast("string").alias("site"),
         "input_url",
-        meta.alias("crawl_meta"),
+        meta.alias("run_meta"),
         F.lit(None).cast(schema["company"].dataType).alias("company"),
         F.array().cast(schema["pages"].dataType).alias("pages"),
     )

@@ -562,7 +562,14 @@ def rendered_pages(spark, folder):
         .otherwise(corpus._fill("<title>Loading</title><h1>{c_name} app</h1><p>{repeat('Live words. ', 20)}</p>"))
         .alias("html"),
     )
-    fields = extract_pages(choose_body(static, rendered))
+    # Each was rendered before, with another body, and once more without one.
+    runs = [
+        rendered.filter("ok and html <> ''").withColumn("html", F.lit("<title>Before</title>")).withColumn("at", F.lit(1)),
+        rendered.withColumn("at", F.lit(2)),
+        rendered.withColumn("html", F.lit("")).withColumn("at", F.lit(3)),
+    ]
+    both = reduce(DataFrame.unionByName, runs)
+    fields = extract_pages(choose_body(static, both, latest="at"))
     return fields.select(
         "url", "rendered_with", "title", "company_name_guess", "is_thin_content",
         fetchlog.extraction_result(
@@ -795,7 +802,7 @@ def report_files(spark, folder):
     path = _scratch(spark, "reports")
     store.write_reports(_supplier_reports(spark, folder), path)
     back = store.read_reports(spark, path)
-    meta = "crawl_meta."
+    meta = "run_meta."
     return back.select(
         "input_url",
         *[f"{meta}{c}" for c in ("pages_discovered", "pages_fetched_ok", "pages_failed",
@@ -820,9 +827,11 @@ def site_reports(spark, folder):
         F.col("html").alias("body"), F.col("url").alias("final_url"),
         F.lit(None).cast("string").alias("exception"), F.lit(None).cast("string").alias("message"),
     )
-    sites = pages.filter("seq = 0").select(F.upper("url").alias("start_url"))
+    home = pages.filter("seq = 0")
+    # Two spellings of one start.
+    sites = home.select(F.upper("url").alias("start_url")).unionByName(home.select(F.col("url").alias("start_url")))
     result = report_sites(sites, attempts, max_pages=4, max_depth=3, k=4)
-    meta = "crawl_meta."
+    meta = "run_meta."
     return result.reports.select(
         "input_url", "site",
         *[f"{meta}{c}" for c in ("pages_discovered", "pages_fetched_ok", "pages_failed",
@@ -846,7 +855,7 @@ def companies_upsert(spark, folder):
             site.alias("website"), F.col("s_name").alias("company_name"),
             corpus._fill(text).alias("description"),
             F.to_json(F.array(F.lit("é"), corpus._fill("Nation {s_nationkey}"))).alias("other_locations"),
-            F.lit(at).alias("crawled_at"),
+            F.lit(at).alias("seen_at"),
         )
 
     old = batch(s, "2024-01-01T00:00:00+00:00", "{s_name} old")
@@ -866,12 +875,12 @@ def pages_replace(spark, folder):
             corpus.order_url().alias("url"),
             F.lit(kind).alias("page_type"),
             _long("o_orderkey").alias("http_status"),
-            F.lit(at).alias("crawled_at"),
+            F.lit(at).alias("seen_at"),
         )
 
     old = run(o.filter("o_orderstatus <> 'O'"), 1, "other")
     new = run(o.filter("o_orderstatus <> 'F'"), 2, "products")
-    return store.replace_pages(old, new).withColumn("crawled_at", _long("crawled_at"))
+    return store.replace_pages(old, new).withColumn("seen_at", _long("seen_at"))
 
 
 @query

@@ -335,7 +335,7 @@ def robots_files(spark: SparkSession, folder: str) -> DataFrame:
         " when 'BUILDING' then 'User-agent: *\\nDisallow: /orders/1\\nAllow: /orders\\n'"
         " when 'AUTOMOBILE' then concat('User-agent: *\\nDisallow: /\\n\\n# ours\\n"
         "User-agent: otherbot\\nuser-agent: SiteloomBot # us\\nAllow: /orders/2\\n"
-        "Crawl-delay: 5\\nDisallow: /orders/', c_nationkey % 10, '\\n')"
+        "Request-rate: 1/5\\nDisallow: /orders/', c_nationkey % 10, '\\n')"
         " when 'HOUSEHOLD' then"
         " 'Sitemap: /s.xml\\nUser-agent: otherbot\\nDisallow: /\\nUser-agent: *\\nDisallow:\\n'"
         " when 'FURNITURE' then"

@@ -24,11 +24,11 @@ JSON_COLUMNS = [
 
 def company_rows(reports: DataFrame) -> DataFrame:
     """Relational company rows: list and map columns as JSON text."""
-    flat = reports.select("company.*", F.col("crawl_meta.finished_at").alias("crawled_at"))
+    flat = reports.select("company.*", F.col("run_meta.finished_at").alias("seen_at"))
     return flat.select(
         *[
             (F.to_json(c) if c in JSON_COLUMNS else F.col(c)).alias(c)
-            for c in ["website", *[f for f in COMPANY_FIELDS if f != "website"], "crawled_at"]
+            for c in ["website", *[f for f in COMPANY_FIELDS if f != "website"], "seen_at"]
         ]
     )
 
@@ -36,11 +36,11 @@ def company_rows(reports: DataFrame) -> DataFrame:
 def page_rows(reports: DataFrame) -> DataFrame:
     flat = reports.select(
         F.col("company.website").alias("website"),
-        F.col("crawl_meta.finished_at").alias("crawled_at"),
+        F.col("run_meta.finished_at").alias("seen_at"),
         F.explode("pages").alias("p"),
-    ).select("website", "crawled_at", "p.*")
+    ).select("website", "seen_at", "p.*")
     kept = [f for f in PAGE_FIELDS if f not in UNSTORED_PAGE_FIELDS]
-    return flat.select("website", *kept, "crawled_at")
+    return flat.select("website", *kept, "seen_at")
 
 
 def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -57,11 +57,11 @@ def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], version: str) -
 
 
 def upsert_companies(old: DataFrame, new: DataFrame) -> DataFrame:
-    return latest_wins(old, new, ["website"], "crawled_at")
+    return latest_wins(old, new, ["website"], "seen_at")
 
 
 def replace_pages(old: DataFrame, new: DataFrame) -> DataFrame:
-    return latest_wins(old, new, ["website", "url"], "crawled_at")
+    return latest_wins(old, new, ["website", "url"], "seen_at")
 
 
 # --- partitioned tables -----------------------------------------------------------------
@@ -106,7 +106,7 @@ def with_part(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn(PART, F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
 
 
-def merge_table(path: str, new: DataFrame, keys: list[str], version: str = "crawled_at") -> None:
+def merge_table(path: str, new: DataFrame, keys: list[str], version: str = "seen_at") -> None:
     """Merge ``new`` into the table at ``path``, latest wins; the first merge creates it."""
     new = cut_lineage(with_part(new, keys[0]))
     stored = _stored(new.sparkSession, path)
@@ -125,7 +125,7 @@ REPORT_SCHEMA = T.StructType(
     [
         T.StructField("input_url", T.StringType()),
         T.StructField(
-            "crawl_meta",
+            "run_meta",
             T.StructType(
                 [
                     T.StructField("started_at", T.StringType()),

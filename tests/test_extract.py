@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom import constants as K
 from siteloom.functions import page as P
-from siteloom.operators.extract import choose_body, extract_pages, parse_pages
+from siteloom.operators.extract import choose_body, extract_pages, page_fields, parse_chosen, parse_pages
 from siteloom.operators.links import page_links
 from siteloom.sources.html import dom_nodes, outlines
 
@@ -297,6 +297,29 @@ def test_shells_are_replaced_by_rendered_bodies(spark):
     assert got[1].html == live and got[2].html == shell and len(got) == 7
 
 
+def test_one_rendering_per_page(spark):
+    """Of several renderings the latest usable one counts; pages stay single."""
+    shell = '<div id="root"></div>'
+    static = spark.createDataFrame(
+        [(1, "u1", shell), (2, "u2", shell), (3, "u3", f"<h1>Plain</h1><p>{LONG}</p>"), (4, "u1", shell)],
+        "page_id long, url string, html string",
+    )
+    rendered = spark.createDataFrame(
+        [("u1", True, "<h1>Old</h1>", 1), ("u1", True, "<h1>New</h1>", 2), ("u1", True, "", 3), ("u1", False, "x", 4),
+         ("u1", True, "<h1>New</h1>", 2), ("u3", True, "<h1>No shell</h1>", 9), ("u9", True, "<h1>No page</h1>", 1)],
+        "url string, ok boolean, html string, at int",
+    )
+    want = [(1, "dynamic", "New"), (2, "static", None), (3, "static", "Plain"), (4, "dynamic", "New")]
+    bodies = extract_pages(choose_body(static, rendered, "at"))
+    assert sorted((r.page_id, r.rendered_with, r.h1) for r in bodies.collect()) == want
+    parsed = page_fields(parse_chosen(static, rendered, "at"))
+    assert sorted((r.page_id, r.rendered_with, r.h1) for r in parsed.collect()) == want
+    alone = page_fields(parse_chosen(static, None))
+    assert {r.rendered_with for r in alone.collect()} == {"static"} and alone.count() == 4
+    unnamed = choose_body(static, rendered).filter("page_id = 1").first()
+    assert unnamed.html == "<h1>Old</h1>"
+
+
 def test_shell_needs_little_text(spark):
     rows = [(1, "<div id='app'>x</div>"), (2, f"<p>{LONG}</p>"), (3, ""), (4, "<p>" + "x" * 60 + "</p>")]
     df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))

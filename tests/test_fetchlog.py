@@ -64,7 +64,7 @@ FILES = {
     "http://b.test": "User-agent: siteloombot\nDisallow: /x\n\nUser-agent: *\nDisallow: /\n",
     "http://c.test": "# nothing\n\nDisallow: /\nUser-agent: *\n\nDisallow: /y\n",
     "http://d.test": "User-agent: other\nUser-agent: *\nDisallow:\n",
-    "http://e.test": "User-agent: *\nAllow: /p/ok\nDisallow: /p # end\nUser-agent: loombot\nCrawl-delay: 3\nDisallow: /q\n",
+    "http://e.test": "User-agent: *\nAllow: /p/ok\nDisallow: /p # end\nUser-agent: loombot\nRequest-rate: 1/3\nDisallow: /q\n",
     "http://f.test": "user-AGENT : *\r\nDISALLOW : /caf%C3%A9\r\nnonsense\r\nDisallow: *\r\n",
     "http://g.test": "User-agent: *\nDisallow: /a\n\nUser-agent: *\nDisallow: /b\n",
 }

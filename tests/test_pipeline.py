@@ -41,7 +41,7 @@ def result(spark):
     robots = [(R, 200, "User-agent: *\nDisallow: /closed\n")]
     rendered = [(R + "/app", True, f"<title>Loading</title><h1>Mill App</h1>{TEXT}")]
     reports = report_sites(
-        spark.createDataFrame([(R,), ("mailto:nobody",)], "start_url string"),
+        spark.createDataFrame([(R,), ("HTTP://Mill.test:80/",), ("mailto:nobody",), (R,)], "start_url string"),
         spark.createDataFrame(log, ATTEMPTS),
         spark.createDataFrame(robots, "host_key string, status int, body string"),
         spark.createDataFrame(rendered, "url string, ok boolean, html string"),
@@ -69,13 +69,15 @@ def test_records(result):
 
 
 def test_report(result):
-    report, bad = sorted(result.reports.collect(), key=lambda r: r.site is None)
-    assert bad.input_url == "mailto:nobody" and bad.crawl_meta.stop_reason == "invalid_start_url"
+    other, report, bad = sorted(result.reports.collect(), key=lambda r: (r.site is None, r.input_url))
+    assert other.input_url == "HTTP://Mill.test:80/"  # one site, two spellings, a report each
+    assert other.site == report.site and other.company == report.company and other.pages == report.pages
+    assert bad.input_url == "mailto:nobody" and bad.run_meta.stop_reason == "invalid_start_url"
     assert bad.pages == [] and bad.company is None
-    assert report.crawl_meta.started_at < report.crawl_meta.finished_at
+    assert report.run_meta.started_at < report.run_meta.finished_at
     assert report.input_url == R and report.site == R + "/"
-    assert report.crawl_meta.stop_reason == "queue_exhausted"
-    assert report.crawl_meta.pages_discovered == len(report.pages) == report.crawl_meta.pages_fetched_ok + 6
+    assert report.run_meta.stop_reason == "queue_exhausted"
+    assert report.run_meta.pages_discovered == len(report.pages) == report.run_meta.pages_fetched_ok + 6
     company = report.company
     assert company.company_name == "Mill Works" and company.description == "All about us."
     assert company.headquarters == "Mill, 4 River Road" and company.other_locations == ["Mill Branch, Hill Street"]

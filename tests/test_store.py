@@ -68,8 +68,8 @@ def test_report_json(spark):
     store.write_reports(reports, path)
     line = spark.read.text(path).select("value").first().value
     report = json.loads(line)
-    assert list(report) == ["input_url", "crawl_meta", "company", "pages"]
-    assert report["crawl_meta"]["started_at"].startswith("2024-05-01T10:00:00.250000")
+    assert list(report) == ["input_url", "run_meta", "company", "pages"]
+    assert report["run_meta"]["started_at"].startswith("2024-05-01T10:00:00.250000")
     assert report["company"]["company_name"] == "Mühle" and "Mühle" in line
     assert report["company"]["headquarters"] is None and report["pages"][0]["error"] is None
     assert report["company"]["social_links"] == {"twitter": "https://x.com/m"}
@@ -95,14 +95,14 @@ def test_merges(spark):
     assert "final_url" not in rows.columns and "is_third_party" not in rows.columns
     store.merge_table(path, rows, ["website", "url"])
     later = rows.filter("url not like '%about%'").withColumn("title", F.lit("new")).withColumn(
-        "crawled_at", F.lit("2025-01-01T00:00:00Z")
+        "seen_at", F.lit("2025-01-01T00:00:00Z")
     )
     store.merge_table(path, later, ["website", "url"])
     got = {r.url: r.title for r in store.read_table(spark, path).collect()}
     assert len(got) == 5 and got[S + "about"] == "About" and got[S] == "new"
     companies = store.company_rows(reports)
     assert json.loads(companies.first().social_links) == {"twitter": "https://x.com/m"}
-    stale = companies.withColumn("crawled_at", F.lit("2020")).withColumn("company_name", F.lit("old"))
+    stale = companies.withColumn("seen_at", F.lit("2020")).withColumn("company_name", F.lit("old"))
     assert store.upsert_companies(companies, stale).first().company_name == "Mühle"
     assert store.upsert_companies(stale, companies).first().company_name == "Mühle"
 
