@@ -168,6 +168,19 @@ SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<article>.*</ar
   AS n_paragraphs FROM pages WHERE contains(html, '<article>')
   AND len(regexp_extract_all(regexp_extract(html, '(?s)<article>.*</article>'), '<p>')) > 0"""
 
+_COUNTS = {
+    ("nav", "a"): r"len(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*</nav>'), '<a '))",
+    ("ul", "li"): "len(regexp_extract_all(html, '<li>'))",
+    ("article", "p"): "len(regexp_extract_all(regexp_extract(html, '(?s)<article>.*</article>'), '<p>'))",
+    ("body", "p"): "len(regexp_extract_all(html, '<p>'))",
+    ("html", "title"): "len(regexp_extract_all(html, '<title>'))",
+    ("article", "article"): "0",
+}
+ORACLES["nested_tags"] = " UNION ALL ".join(
+    f"SELECT page_id, '{o}' AS outer_tag, '{i}' AS inner_tag, CAST({n} AS BIGINT) AS n FROM pages"
+    for (o, i), n in _COUNTS.items()
+)
+
 RAW_FIELDS = rf"""
 raw_fields AS (
   SELECT page_id, url, html,

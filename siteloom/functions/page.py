@@ -341,3 +341,18 @@ def bucket_items(page_type: str, name: str, url_name: str) -> str:
         "r",
         f"case when coalesce(size(r), 0) > 0 then r else {heading_items(name)} end",
     )
+
+
+def count_below(outer: str, inner: str) -> str:
+    """How many times an element ``inner`` stands somewhere below an element ``outer``; one below two of them
+    counts twice.
+
+    One sweep over the elements in document order, with the open ``outer`` ones (the ends of them) on a
+    stack."""
+    live = "filter(s.open, l -> l >= e.id)"
+    return (
+        f"aggregate(filter(elems, e -> e.tag in ('{outer}', '{inner}')),"
+        " named_struct('open', cast(array() as array<int>), 'n', 0L), (s, e) -> named_struct("
+        f"'open', case when e.tag = '{outer}' then concat({live}, array(e.last)) else {live} end,"
+        f" 'n', s.n + case when e.tag = '{inner}' then size({live}) else 0 end), s -> s.n)"
+    )

@@ -13,6 +13,9 @@ RETRIED_EXCEPTIONS = [
     "Timeout", "ConnectTimeout", "ReadTimeout", "ConnectionError", "ProxyError", "SSLError",
 ]
 
+#: Keys that one host or one prefix of it is dealt over.
+SALTS = 16
+
 
 def is_html(content_type: Column) -> Column:
     ct = F.coalesce(content_type, F.lit(""))
@@ -122,12 +125,12 @@ def retry_reduction(
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """Text of robots.txt files to one row of rules per host.
+    """Text of robots.txt files to their lines: ``host_key, entry, n, kind`` (agent or rule), ``name, arg``.
 
     ``robots``: ``host_key`` (scheme and host), ``status``, ``body``. Files that were not
     served with status 200 allow everything and yield no row. A group of agent lines and
     the rules below it form an entry; a blank line, or an agent line after a rule, starts
-    the next one. Groups here are single files, small by nature.
+    the next one. Groups here are the lines of one file.
     """
     lines = (
         robots.filter(F.col("status") == 200)
@@ -157,62 +160,66 @@ def robots_rules(robots: DataFrame) -> DataFrame:
         .filter("kind <> 'blank'")
     )
     in_entry = Window.partitionBy("host_key", "entry").orderBy("n")
-    per_entry = (
-        entries.withColumn(
-            "agents_so_far",
-            F.count(F.when(F.col("kind") == "agent", 1)).over(in_entry),
-        )
-        .filter("agents_so_far > 0")
-        .groupBy("host_key", "entry")
+    agents = F.count(F.when(F.col("kind") == "agent", 1)).over(in_entry)
+    return entries.withColumn("agents_so_far", agents).filter("agents_so_far > 0").select(
+        "host_key", "entry", "n", "kind", "name", "arg"
+    )
+
+
+def robots_index(rules: DataFrame, user_agent: str) -> DataFrame:
+    """``host_key, prefix, n, allow``: the rules that count for us, a row per host and prefix.
+
+    Of a host the first entry naming our agent counts, else the first entry for everybody. Of rules with one
+    prefix the first counts."""
+    ours = F.lit(user_agent.split("/")[0].lower())
+    agent = F.when(F.col("kind") == "agent", F.lower("arg"))
+    chosen = (
+        rules.groupBy("host_key", "entry")
         .agg(
-            F.collect_set(F.when(F.col("kind") == "agent", F.lower("arg"))).alias("agents"),
-            F.array_sort(
-                F.collect_list(
-                    F.when(
-                        F.col("name").isin("allow", "disallow"),
-                        F.struct(
-                            F.col("n").alias("n"),
-                            ((F.col("name") == "allow") | (F.col("arg") == "")).alias("allow"),
-                            F.col("arg").alias("prefix"),
-                        ),
-                    )
-                )
-            ).alias("rules"),
-            F.count(F.when(F.col("kind") == "rule", 1)).alias("n_rules"),
+            F.bool_or(F.coalesce(agent == "*", F.lit(False))).alias("everybody"),
+            F.bool_or(F.coalesce(ours.contains(agent), F.lit(False))).alias("named"),
+            F.count_if(F.col("kind") == "rule").alias("n_rules"),
         )
-        .filter("n_rules > 0")
+        .filter("n_rules > 0 and (everybody or named)")
+        .groupBy("host_key")
+        .agg(F.min(F.struct("everybody", "entry")).alias("x"))
+        .select("host_key", "x.entry")
     )
-    return per_entry.groupBy("host_key").agg(
-        F.array_sort(F.collect_list(F.struct("entry", "agents", "rules"))).alias("entries")
+    return (
+        rules.filter(F.col("name").isin("allow", "disallow"))
+        .join(chosen, ["host_key", "entry"], "left_semi")
+        .groupBy("host_key", F.col("arg").alias("prefix"))
+        .agg(F.min(F.struct("n", ((F.col("name") == "allow") | (F.col("arg") == "")).alias("allow"))).alias("x"))
+        .select("host_key", "prefix", "x.n", "x.allow")
     )
 
 
-def robots_decisions(
-    urls: DataFrame, rules: DataFrame, user_agent: str
-) -> DataFrame:
-    """Add ``allowed``. The first entry naming our agent counts, else the first entry for
-    everybody; within it the first rule whose prefix fits. No rule means allowed."""
-    agent = user_agent.split("/")[0].lower()
+def robots_decisions(urls: DataFrame, rules: DataFrame, user_agent: str) -> DataFrame:
+    """Add ``allowed``: the first rule whose prefix fits decides, and no rule means allowed.
+
+    A URL looks itself up in the index by those prefixes of its path that have a length its host
+    has rules of. Hosts and prefixes are spread over ``SALTS`` keys, as one may have most of the URLs."""
+    index = robots_index(rules, user_agent)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    lengths = index.groupBy("host_key").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     target = T.percent_decode(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^#]*)", 1))
-    path = F.coalesce(F.nullif(target, F.lit("")), F.lit("/"))
-    named = F.filter(
-        "entries",
-        lambda e: ~F.array_contains(e["agents"], "*")
-        & F.exists(e["agents"], lambda a: F.lit(agent).contains(a)),
-    )
-    default = F.filter("entries", lambda e: F.array_contains(e["agents"], "*"))
-    entry = F.coalesce(F.get(named, F.lit(0)), F.get(default, F.lit(0)))
-    decided = (
-        urls.withColumn("host_key", F.regexp_extract("url", r"^([^:/?#]+://[^/?#]*)", 1))
-        .withColumn("robots_path", path)
-        .join(rules, "host_key", "left")
-        .withColumn("rules", entry["rules"])
+    asked = (
+        urls.select("url").distinct()
+        .withColumn("host_key", F.regexp_extract("url", r"^([^:/?#]+://[^/?#]*)", 1))
+        .withColumn("robots_path", F.coalesce(F.nullif(target, F.lit("")), F.lit("/")))
+        .withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+        .join(lengths.withColumn("salt", salts), ["host_key", "salt"])
+        .withColumn("length", F.explode("lengths"))
+        .filter(F.col("length") <= F.length("robots_path"))
+        .withColumn("prefix", F.expr("left(robots_path, length)"))
     )
-    fitting = F.filter("rules", lambda r: F.col("robots_path").startswith(r["prefix"]))
-    allowed = F.coalesce(F.get(fitting, F.lit(0))["allow"], F.lit(True))
-    return decided.withColumn("allowed", allowed).drop(
-        "host_key", "robots_path", "entries", "rules"
+    blocked = (
+        asked.join(index.withColumn("salt", salts), ["host_key", "prefix", "salt"])
+        .groupBy("url").agg(F.min(F.struct("n", "allow")).alias("x"))
+        .filter("not x.allow")
+        .select("url", F.lit(False).alias("allowed"))
     )
+    return urls.join(blocked, "url", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
 def fetch_outcomes(

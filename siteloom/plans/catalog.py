@@ -224,16 +224,22 @@ def tag_counts(spark, folder):
 
 @query
 def article_paragraphs(spark, folder):
-    """Containment as an interval join: paragraphs below the article of each page."""
-    nodes = dom_nodes(outlines(scan_pages(spark, folder))).select("page_id", "node_id", "last", "tag")
-    articles = nodes.filter("tag = 'article'").select("page_id", F.col("node_id").alias("a"), "last")
-    inner = nodes.filter("tag = 'p'").select("page_id", F.col("node_id").alias("d"))
-    return (
-        articles.join(inner, "page_id")
-        .filter("d > a and d <= last")
-        .groupBy("page_id")
-        .agg(F.count("*").alias("n_paragraphs"))
+    """Paragraphs below the article of each page."""
+    n = F.expr(P.count_below("article", "p")).alias("n_paragraphs")
+    return outlines(scan_pages(spark, folder)).select("page_id", n).filter("n_paragraphs > 0")
+
+
+#: Pairs of tags to be counted one below the other.
+NESTED = [("nav", "a"), ("ul", "li"), ("article", "p"), ("body", "p"), ("html", "title"), ("article", "article")]
+
+
+@query
+def nested_tags(spark, folder):
+    """How often one tag stands below another, for several pairs in one reading of the pages."""
+    pairs = ", ".join(
+        f"named_struct('outer_tag', '{o}', 'inner_tag', '{i}', 'n', {P.count_below(o, i)})" for o, i in NESTED
     )
+    return outlines(scan_pages(spark, folder)).selectExpr("page_id", f"inline(array({pairs}))")
 
 
 @query

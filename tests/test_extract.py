@@ -339,3 +339,11 @@ def test_pages_of_any_size_are_read(spark):
     html = "<title>T</title>" + "<p>some words here</p>" * 300_000
     rows = spark.createDataFrame([(1, "https://a.test/", html)], "page_id long, url string, html string")
     assert len(html) > 5_000_000 and extract_pages(rows).select("title").first().title == "T"
+
+
+def test_tags_below_tags(spark):
+    html = "<div><p>a</p><div><p>b</p><p>c</p></div></div><p>d</p><div></div><section><div><div><p>e</p></div></div></section>"
+    df = spark.createDataFrame([(1, "u", html), (2, "u", ""), (3, "u", None)], "page_id long, url string, html string")
+    pairs = [("div", "p"), ("div", "div"), ("section", "p"), ("p", "div"), ("body", "p"), ("nav", "p")]
+    got = outlines(df).select("page_id", *[F.expr(P.count_below(*p)) for p in pairs]).collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 2, 1, 0, 5, 0), (2, 0, 0, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0, 0)]
