@@ -547,6 +547,9 @@ UNION ALL SELECT site, url, priority, 1, 0, o, site FROM open"""
 ORACLES["next_urls"] = f"""WITH {SHOPS}
 SELECT site, url, place FROM
   (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY priority, o) AS place FROM open) WHERE place <= 3"""
+ORACLES["queue_places"] = f"""WITH {SHOPS}
+SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY priority, o) AS place,
+  row_number() OVER (PARTITION BY site ORDER BY priority, o) AS seq FROM open"""
 ORACLES["visit_replay"] = f"""WITH {SHOPS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority, o) AS n FROM open),
 one AS (SELECT * FROM ranked WHERE n = 1),

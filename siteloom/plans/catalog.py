@@ -615,6 +615,14 @@ def next_urls(spark, folder):
     return best.select("site", "url", _long("place").alias("place"))
 
 
+@query
+def queue_places(spark, folder):
+    """The place of every URL that is left in the queue of its shop, without a budget."""
+    seeds, rows = _first_round(spark, folder)
+    best = frontier.frontier_rank(rows, seeds, max_pages=None, k=None)
+    return best.select("site", "url", _long("place").alias("place"), _long("seq").alias("seq"))
+
+
 @query
 def visit_replay(spark, folder):
     """Best-first replay of all shops at once, one page per shop and round."""

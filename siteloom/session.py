@@ -69,6 +69,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class BucketedTable:
+    """A table in the shared folder, in buckets of a key and sorted by it, that rows are added to.
+    Joins on the key read it as it lies: they shuffle the other side only."""
+
+    def __init__(self, spark: SparkSession, name: str, key: list[str]):
+        self.spark, self.key = spark, key
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_dir(spark)}/{self.name}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(self, rows: DataFrame) -> None:
+        # Dealt by the buckets first, so that each becomes one file.
+        dealt = rows.repartition(self.buckets, *self.key)
+        writer = dealt.write.format("parquet").mode("append").bucketBy(self.buckets, *self.key).sortBy(*self.key)
+        writer.option("path", self.path).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name)
+
+    def files(self) -> DataFrame:
+        """The rows without the table: they outlast ``forget``."""
+        return self.spark.read.schema(self.read().schema).parquet(self.path)
+
+    def forget(self) -> None:
+        """Take the name out of the catalog; the files stay until the shared folder goes."""
+        self.spark.sql(f"drop table if exists {self.name}")
+
+
 #: Most bytes of a batch to a Python worker, so that long rows do not fill its memory.
 BATCH_BYTES = "4m"
 
