@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import classify as C
 from siteloom.functions import page as P
 from siteloom.functions import urls as U
+from siteloom.functions.markup import with_links
 from siteloom.operators.prefix import running_rank
 
 
@@ -38,6 +39,14 @@ def page_links(parsed: DataFrame) -> DataFrame:
     return with_canonical_url(rows, "href", "base").drop("base")
 
 
+def scanned_links(pages: DataFrame) -> DataFrame:
+    """page_links off raw bodies (``html``), by patterns: no tree, and no flags of the element."""
+    base = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
+    kept = [c for c in ("page_id", "site", "url", "depth") if c in pages.columns]
+    rows = with_links(pages.select(*kept, base.alias("base"), "html"))
+    return with_canonical_url(rows, "href", "base").drop("base")
+
+
 def link_graph(links: DataFrame) -> DataFrame:
     """Edges worth following: same site, no file, no trap."""
     to, source = F.col("canonical_url"), F.col("url")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.functions import classify as C
+from siteloom.functions import markup as M
 from siteloom.functions import noise as N
 from siteloom.functions import page as P
 from siteloom.functions import text as T
@@ -185,13 +186,13 @@ def url_names(spark, folder):
 
 @query
 def link_inventory(spark, folder):
-    found = links.page_links(outlines(scan_pages(spark, folder)))
+    found = links.scanned_links(scan_pages(spark, folder))
     return found.select("page_id", _long("ord").alias("ord"), "href", "anchor", "canonical_url")
 
 
 @query
 def link_graph(spark, folder):
-    edges = links.link_graph(links.page_links(outlines(scan_pages(spark, folder))))
+    edges = links.link_graph(links.scanned_links(scan_pages(spark, folder)))
     return edges.groupBy("category").agg(
         F.count("*").alias("n_links"), F.count_distinct("canonical_url").alias("n_targets")
     )
@@ -200,7 +201,7 @@ def link_graph(spark, folder):
 @query
 def orphan_links(spark, folder):
     """Link targets that are no page of the corpus, per site."""
-    found = links.page_links(outlines(scan_pages(spark, folder)))
+    found = links.scanned_links(scan_pages(spark, folder))
     known = links.canonical_pages(table(spark, folder, "pages").select("url"))
     return (
         found.filter("canonical_url is not null")
@@ -242,11 +243,16 @@ def nested_tags(spark, folder):
     return outlines(scan_pages(spark, folder)).selectExpr("page_id", f"inline(array({pairs}))")
 
 
+def _headed(spark, folder):
+    """Title and first heading of every page, without a tree."""
+    body = F.col("body")
+    bodies = scan_pages(spark, folder).select("page_id", "url", M.without_hidden(F.col("html")).alias("body"))
+    return bodies.select("page_id", "url", M.title(body).alias("title"), M.h1(body).alias("h1"))
+
+
 @query
 def page_titles(spark, folder):
-    return outlines(scan_pages(spark, folder)).select(
-        "page_id", F.expr(P.title()).alias("title"), F.expr(P.h1()).alias("h1")
-    )
+    return _headed(spark, folder).select("page_id", "title", "h1")
 
 
 @query
@@ -263,8 +269,8 @@ def page_names(spark, folder):
 
 @query
 def page_texts(spark, folder):
-    texts = outlines(scan_pages(spark, folder)).select(
-        "page_id", F.expr(P.visible_text()).alias("visible")
+    texts = scan_pages(spark, folder).select(
+        "page_id", M.visible_text(M.without_hidden(F.col("html"))).alias("visible")
     )
     visible = F.col("visible")
     return texts.select(
@@ -277,9 +283,7 @@ def page_texts(spark, folder):
 
 @query
 def page_types(spark, folder):
-    named = outlines(scan_pages(spark, folder)).select(
-        "page_id", "url", F.expr(P.title()).alias("title"), F.expr(P.h1()).alias("h1")
-    )
+    named = _headed(spark, folder)
     url = F.col("url")
     return named.select(
         "page_id",
