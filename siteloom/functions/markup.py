@@ -166,6 +166,61 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(rf"{before}(?=[\s=/>])"), unescaped(F.concat(*values)))
 
 
+def _closed(tag: Column) -> Column:
+    """Whether a start tag ends its element at once; the slash may also be the end of a bare value."""
+    return tag.endswith("/>") & ~tag.rlike(r"=\s*[^\s\"'>]*/>$")
+
+
+def _tags(body: Column, names: str) -> Column:
+    return F.regexp_extract_all(body, F.lit(rf"(?is)</?(?:{names}){_NAME_END}{_ATTRS}>"), F.lit(0))
+
+
+def meta(body: Column, key: str, value: str) -> Column:
+    """Content of the first meta element with that value; null when absent or empty."""
+    told = F.transform(
+        _tags(body, "meta"), lambda m: F.struct(attribute(m, key).alias("key"), attribute(m, "content").alias("content"))
+    )
+    return F.nullif(F.get(F.filter(told, lambda m: m["key"] == value), F.lit(0))["content"], F.lit(""))
+
+
+def logo_name(body: Column) -> Column:
+    """Alternative text of the first logo image; nothing if it only says 'logo'.
+
+    An image is a logo if it says so, stands in the link of the site's brand, or has a text and stands in a header."""
+    marks = F.transform(
+        _tags(body, "img|header|a"),
+        lambda m, i: F.struct(
+            i.alias("i"),
+            F.lower(F.regexp_extract(m, r"^</?([a-zA-Z]+)", 1)).alias("tag"),
+            m.startswith("</").alias("ends"),
+            _closed(m).alias("closed"),
+            attribute(m, "alt").alias("alt"),
+            F.split(T.strip_text(F.coalesce(attribute(m, "class"), F.lit(""))), T.WHITESPACE).alias("classes"),
+        ),
+    )
+
+    def first(marks: Column) -> Column:
+        def within(i: Column, opens: Column, closes) -> Column:
+            # Nothing that closes it between its start and here.
+            return F.exists(opens, lambda o: (o["i"] < i) & ~F.exists(
+                marks, lambda c: (c["i"] > o["i"]) & (c["i"] < i) & closes(c)))
+
+        images = F.filter(marks, lambda m: (m["tag"] == "img") & ~m["ends"])
+        headers = F.filter(marks, lambda m: (m["tag"] == "header") & ~m["ends"] & ~m["closed"])
+        brands = F.filter(marks, lambda m: (m["tag"] == "a") & ~m["ends"] & ~m["closed"] & F.array_contains(m["classes"], "navbar-brand"))
+        logos = F.filter(
+            images,
+            lambda m: F.coalesce(F.contains(m["alt"], F.lit("logo")), F.lit(False))
+            | F.array_contains(m["classes"], "logo")
+            | within(m["i"], brands, lambda c: c["tag"] == "a")
+            | (m["alt"].isNotNull() & within(m["i"], headers, lambda c: (c["tag"] == "header") & c["ends"])),
+        )
+        return T.clean_text(F.get(logos, F.lit(0))["alt"])
+
+    alt = F.get(F.transform(F.array(marks), first), F.lit(0))
+    return F.when(body.rlike(r"(?i)<img[\s/>]"), F.when(~F.contains(F.lower(alt), F.lit("logo")), alt))
+
+
 def with_links(pages: DataFrame) -> DataFrame:
     """A row per ``a[href]`` of ``html``: its place ``ord``, ``href`` and ``anchor`` beside the other columns."""
     stop = rf"/a{_NAME_END}|(?:a|fieldset|table|td|th){_NAME_END}"
@@ -180,4 +235,5 @@ def with_links(pages: DataFrame) -> DataFrame:
     kept = [c for c in pages.columns if c != "html"]
     rows = pages.select(*kept, F.posexplode(F.filter(told, lambda x: x["href"].isNotNull())).alias("ord", "x"))
     inside = F.regexp_replace("x.link", rf"(?is)^<a{_ATTRS}>", "")
-    return rows.select(*kept, "ord", "x.href", glued(inside).alias("anchor"))
+    anchor = F.when(_closed(opened(F.col("x.link"))), "").otherwise(glued(inside))
+    return rows.select(*kept, "ord", "x.href", anchor.alias("anchor"))

@@ -133,16 +133,20 @@ def name_in_title(title_: str) -> str:
     return f"coalesce({strip(f'array_max({ranked}).p')}, {title_})"
 
 
-def company_name(title_: str, h1_: str, domain_name: str) -> str:
-    """Site name from the most trusted signal present on the page."""
+def company_name(
+    title_: str, h1_: str, domain_name: str,
+    site_name: str | None = None, app_name: str | None = None, logo: str | None = None,
+) -> str:
+    """Site name from the most trusted signal present on the page. The signals that stand in metas and
+    images are read off the outline, unless they are given."""
     bare_title = f"regexp_replace(lower({title_}), {literal(r'^\.+|\.+$')}, '')"
     generic = f"({title_} is null or {N.equals_any(bare_title, K.GENERIC_TITLE_WORDS)})"
     from_content = (
-        f"coalesce({_logo_name()}, case when {generic} then {h1_} end,"
+        f"coalesce({logo or _logo_name()}, case when {generic} then {h1_} end,"
         f" case when {title_} is not null then {name_in_title(title_)} end, {domain_name})"
     )
-    by_app_name = _prefer(_meta("name", "application-name"), "n", from_content)
-    return _prefer(_meta("property", "og:site_name"), "g", by_app_name)
+    by_app_name = _prefer(app_name or _meta("name", "application-name"), "n", from_content)
+    return _prefer(site_name or _meta("property", "og:site_name"), "g", by_app_name)
 
 
 # --- contact ------------------------------------------------------------------------

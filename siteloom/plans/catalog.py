@@ -257,14 +257,17 @@ def page_titles(spark, folder):
 
 @query
 def page_names(spark, folder):
-    named = outlines(scan_pages(spark, folder)).select(
-        "*",
-        F.expr(P.title()).alias("title"),
-        F.expr(P.h1()).alias("h1"),
+    body = F.col("body")
+    signals = [
+        M.title(body).alias("title"), M.h1(body).alias("h1"),
+        M.meta(body, "property", "og:site_name").alias("site_name"),
+        M.meta(body, "name", "application-name").alias("app_name"),
+        M.logo_name(body).alias("logo"),
         U.name_from_domain(F.col("url")).alias("domain_name"),
-    )
-    name = F.expr(P.company_name("title", "h1", "domain_name"))
-    return named.select("page_id", name.alias("company_name"))
+    ]
+    bodies = scan_pages(spark, folder).select("page_id", "url", M.without_hidden(F.col("html")).alias("body"))
+    name = F.expr(P.company_name("title", "h1", "domain_name", "site_name", "app_name", "logo"))
+    return bodies.select("page_id", *signals).select("page_id", name.alias("company_name"))
 
 
 @query

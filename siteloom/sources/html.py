@@ -166,7 +166,7 @@ _TAIL = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|(?P<end>(?!))(?P<tag>)(?P<attrs>)|<[!?/][^>]*(?:>|\Z)", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'>]+/$")
+_SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'>]*/$")
 _RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in ("script", "style")}
 
 

@@ -23,6 +23,7 @@ ODD = [
     "&lt;b&gt; &nbsp;&hellip;&amp;amp;", "<a href=1>x<a href=2>y</a> z", "<table><tr><td><a href=1>x<td>y</table>",
     "<SCRIPT>if (a<b) {}</Script ><H1 Class=x>Up</H1>", "<h1><b>one</b> <i>two</i></h1><h1>no</h1>", "<abbr>x</abbr><article>y</article>",
     "<a href='  /a b '> <img alt=x> t </a>", "<h1 title='a>b'>x</h1>", "<a name=n>no</a><a href='#'>yes</a>", "<title>one</title><title>two</title>",
+    "<a href='x'/>after<a href=/>root</a><a href=y/ >z</a>", "<a class=navbar-brand /><img alt=no><header/><img alt=no>",
 ]
 
 
@@ -78,6 +79,32 @@ def test_links(pages):
     assert len(want) > 300 and sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
 
 
+NAMES = [
+    '<meta property="og:site_name" content=" A &amp; B ">', '<meta property=og:site_name content="">', "<meta content=c name='application-name'>",
+    "<meta name=application-name>", "<img alt='The logo'>", "<img alt='My Logo'>", "<img class='big logo' alt='L'>", "<img class=logos alt=M>",
+    "<a class='x navbar-brand' href=/><img alt=N></a>", "<a class=navbar-brand>t</a><img alt=O>", "<header><p><img alt=P></p></header>",
+    "<header></header><img alt=Q>", "<header><img></header>", "<title>Home</title>", "<title>One - Longer one | Home</title>", "<h1>H1</h1>",
+    "<noscript><img class=logo alt=R></noscript>", "<a class=navbar-brand><a href=1><img alt=S></a>", "<img class=logo>", "<meta property='og:site_name' content='  '>",
+]
+
+
+def test_names(spark):
+    rng = random.Random(23)
+    bodies = NAMES + ["".join(rng.sample(NAMES, 3)) for _ in range(250)] + ODD
+    rows = [(i, "https://www.saw-mill.test/d/", b) for i, b in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    body = F.col("body")
+    told = pages.withColumn("body", M.without_hidden(F.col("html"))).select(
+        "page_id", M.title(body).alias("title"), M.h1(body).alias("h1"), M.meta(body, "property", "og:site_name").alias("g"),
+        M.meta(body, "name", "application-name").alias("a"), M.logo_name(body).alias("l"), F.lit("Saw").alias("d"),
+    )
+    got = told.select("page_id", F.expr(P.company_name("title", "h1", "d", "g", "a", "l")).alias("name"))
+    tree = outlines(pages).select("page_id", "elems", "texts", F.expr(P.title()).alias("title"), F.expr(P.h1()).alias("h1"), F.lit("Saw").alias("d"))
+    want = tree.select("page_id", F.expr(P.company_name("title", "h1", "d")).alias("name"))
+    a, b = ({r.page_id: r["name"] for r in df.collect()} for df in (got, want))
+    assert {i: (bodies[i], a[i], b[i]) for i in b if a[i] != b[i]} == {}
+
+
 def test_character_references(spark):
     rng = random.Random(22)
     names = list(html.entities.html5)
@@ -100,7 +127,7 @@ def test_long_broken_pages_are_read_once(spark, piece):
     assert time.perf_counter() - started < 60
 
 
-@pytest.mark.parametrize("name", ["page_titles", "page_types", "page_texts", "link_inventory", "link_graph", "orphan_links"])
+@pytest.mark.parametrize("name", ["page_titles", "page_types", "page_names", "page_texts", "link_inventory", "link_graph", "orphan_links"])
 def test_no_python_step(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "Python" not in plan
