@@ -782,3 +782,24 @@ SELECT s.base || d.n AS requested_url, s.base || d.place AS final_url, array_to_
   d.attempts::BIGINT AS attempts, (d.cost + CASE WHEN d.looped THEN 0 ELSE coalesce(d.q, 0) END)::BIGINT AS elapsed_ms
 FROM done d JOIN own s ON s.o = d.o AND s.n = d.n
 """
+
+ORACLES["report_shapes"] = """
+WITH s AS (SELECT *, s_suppkey % 6 AS kind, 'https://s' || s_suppkey || '.test/' AS u FROM supplier)
+SELECT CASE WHEN kind < 3 THEN u END AS input_url,
+  CASE WHEN kind < 2 THEN s_nationkey::BIGINT WHEN kind = 2 THEN -1 END AS pages_discovered,
+  CASE WHEN kind < 2 THEN 'queue_exhausted' END AS stop_reason,
+  CASE WHEN kind < 2 THEN s_name END AS company_name,
+  CASE kind WHEN 0 THEN 'a@s' || s_suppkey || '.test|b@s' || s_suppkey || '.test' WHEN 1 THEN 'a@s' || s_suppkey || '.test' END AS emails,
+  CASE WHEN kind < 2 THEN 'https://x.com/s' || s_suppkey END AS twitter,
+  CASE kind WHEN 0 THEN 1::BIGINT WHEN 2 THEN 2 END AS n_pages,
+  CASE kind WHEN 0 THEN 200::BIGINT WHEN 2 THEN 404 END AS status,
+  CASE kind WHEN 3 THEN left('{"input_url":"' || u || '","run_meta":{"pages_discovered":' || s_nationkey || ',"stop_reason":"queue_exhausted"}', 60)
+    WHEN 4 THEN '[' || s_suppkey || ']' WHEN 5 THEN '{"input_url":null,"n":' || s_suppkey || '}' END AS record,
+  CASE kind WHEN 3 THEN 'not_json' WHEN 4 THEN 'not_an_object' WHEN 5 THEN 'no_input_url' END AS reason
+FROM s"""
+
+ORACLES["daily_figures"] = """
+WITH v AS (SELECT 'site-' || (user_id % 10) AS site, user_id || '/' || event_type AS url, event_type = 'error' AS bad FROM events),
+w AS (SELECT * FROM v UNION ALL SELECT 'all', url, bad FROM v)
+SELECT site, count(*) AS visits, round(avg(CASE WHEN bad THEN 1 ELSE 0 END), 6) AS failed_rate,
+  count(DISTINCT url) AS n_urls, true AS urls_near, true AS times_near FROM w GROUP BY site"""

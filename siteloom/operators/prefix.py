@@ -23,16 +23,18 @@ def _attach(df: DataFrame, per_bucket: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_rank(
-    df: DataFrame, keys: list[str], order: list[Column], bucket: Column
+    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, earlier: DataFrame | None = None
 ) -> DataFrame:
     """Add ``running_rank``, the row number within ``keys`` in the order ``order``.
-    ``bucket`` must not decrease along that order."""
+    ``bucket`` must not decrease along that order. ``earlier`` (the keys and ``n``) tells how many rows
+    of a group went before; numbers then, not below zero, are the buckets."""
     rows = _bucketed(df, bucket)
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, BUCKET).agg(F.count("*").alias("n"))
+    if earlier is not None:
+        sizes = sizes.unionByName(earlier.select(*keys, F.lit(-1).cast("bigint").alias(BUCKET), "n"))
     offsets = (
-        rows.groupBy(*keys, BUCKET)
-        .agg(F.count("*").alias("n"))
-        .withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        sizes.withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .drop("n")
     )
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)

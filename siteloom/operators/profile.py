@@ -20,6 +20,8 @@ LIST_FIELDS = ["other_locations", *K.BUCKET_TYPES, "emails", "phones"]
 SORTED_FIELDS = ["emails", "phones", "social"]
 #: Pages whose facts of one field are numbered together.
 BUCKET_PAGES = 256
+#: First letters that values share in a bucket.
+BUCKET_LETTERS = 8
 
 
 def _fact(
@@ -132,9 +134,9 @@ def profile_facts(extract: DataFrame) -> DataFrame:
         F.when(by_value, F.col("key")).otherwise(""),
         *map(F.col, ("rank", "seq", "source", "pos", "key")),
     ]
-    # Both follow the order: the first character of a key, the page of a fact.
-    bucket = F.when(by_value, F.ascii("key").cast("bigint")).otherwise(
-        F.floor(F.col("seq") / BUCKET_PAGES)
+    # Both follow the order: the first letters of a key, the page of a fact.
+    bucket = F.when(by_value, F.substring("key", 1, BUCKET_LETTERS)).otherwise(
+        F.lpad(F.floor(F.col("seq") / BUCKET_PAGES).cast("string"), 19, "0")
     )
     ranked = running_rank(best, ["site", "field"], order, bucket)
     return ranked.select(
@@ -145,8 +147,10 @@ def profile_facts(extract: DataFrame) -> DataFrame:
 def company_facts(facts: DataFrame) -> DataFrame:
     """``website, field, place, value``: the stored form of all profiles. The label of a
     headquarters wins over its address."""
-    labelled = facts.filter("field = 'hq_label'").select("site", F.lit("hq_address").alias("field"))
-    named = facts.join(labelled, ["site", "field"], "left_anti").select(
+    # Only addresses are looked up, at most one a site; all other facts stay where they are.
+    labelled = facts.filter("field = 'hq_label'").select("site")
+    addresses = facts.filter("field = 'hq_address'").join(labelled, "site", "left_anti")
+    named = facts.filter("field <> 'hq_address'").unionByName(addresses).select(
         F.col("site").alias("website"),
         F.when(F.col("field").isin("hq_label", "hq_address"), "headquarters")
         .when(F.col("field") == "social", F.concat(F.lit("social_"), F.col("key")))

@@ -4,6 +4,7 @@ List results are joined with '|' so that results compare as plain values."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -18,7 +19,7 @@ from siteloom.functions import noise as N
 from siteloom.functions import page as P
 from siteloom.functions import text as T
 from siteloom.functions import urls as U
-from siteloom.operators import chains, fetchlog, frontier, links, profile, report
+from siteloom.operators import chains, daily, fetchlog, frontier, links, profile, report
 from siteloom.operators.extract import choose_body, extract_pages
 from siteloom.plans import corpus
 from siteloom.plans.pipeline import report_sites
@@ -41,6 +42,12 @@ def _long(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("bigint")
 
 
+def _template(text: str) -> Column:
+    """Text with ``{column}`` replaced; other braces stay."""
+    parts = re.split(r"\{([a-z_]+)\}", text)
+    return F.concat(*[F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 def _joined(c: str) -> Column:
     return F.array_join(c, "|").alias(c)
 
@@ -742,6 +749,41 @@ def redirect_chains(spark, folder):
     )
 
 
+@query
+def daily_figures(spark, folder):
+    """Figures of a site over a span of days out of its daily sketches, held against the exact ones: counts as they are, and
+    whether distinct URLs and quantiles are within the stated errors."""
+    visits = table(spark, folder, "events").select(
+        F.concat(F.lit("site-"), (F.col("user_id") % 10).cast("string")).alias("site"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("url"),
+        (F.col("event_type") != "error").alias("ok"),
+        F.pmod(F.xxhash64("event_id"), F.lit(100_000)).alias("elapsed_ms"),
+    )
+    days = cut_lineage(daily.daily_sketches(visits))
+    quantiles = [0.5, 0.9]
+    merged = daily.span_figures(days, ["site"], quantiles)
+    one = daily.span_figures(days, [], quantiles).withColumn("site", F.lit("all"))
+    both = visits.unionByName(visits.withColumn("site", F.lit("all"))).join(
+        merged.unionByName(one), "site"
+    )
+    below = [F.count_if(F.col("elapsed_ms") < F.col(c)).alias(f"under_{c}") for c in ("ms_50", "ms_90")]
+    upto = [F.count_if(F.col("elapsed_ms") <= F.col(c)).alias(f"upto_{c}") for c in ("ms_50", "ms_90")]
+    exact = both.groupBy("site", "visits", "failed_rate", "n_urls").agg(
+        F.count("*").alias("n"), F.count_distinct("url").alias("n_distinct"), *below, *upto
+    )
+
+    def near(q: float, c: str) -> Column:
+        n = F.col("n")
+        return (F.col(f"under_{c}") / n <= q + daily.RANK_ERROR) & (F.col(f"upto_{c}") / n >= q - daily.RANK_ERROR)
+
+    return exact.select(
+        "site", "visits", "failed_rate", F.col("n_distinct").alias("n_urls"),
+        (F.abs(F.col("n_urls") - F.col("n_distinct")) <= daily.COUNT_ERROR * F.col("n_distinct")).alias("urls_near"),
+        (near(0.5, "ms_50") & near(0.9, "ms_90")).alias("times_near"),
+    )
+
+
 @query
 def robots_decisions(spark, folder):
     rules = fetchlog.robots_rules(corpus.robots_files(spark, folder))
@@ -837,6 +879,41 @@ def report_files(spark, folder):
     )
 
 
+@query
+def report_shapes(spark, folder):
+    """Reports of suppliers in three shapes, broken ones among them, read into one table; the rest as
+    rejects."""
+    s = table(spark, folder, "supplier")
+    new = (
+        '{"input_url":"https://s{s_suppkey}.test/","run_meta":{"pages_discovered":{s_nationkey},"stop_reason":"queue_exhausted"},'
+        '"company":{"company_name":"{s_name}","emails":["a@s{s_suppkey}.test","b@s{s_suppkey}.test"],'
+        '"social_links":{"twitter":"https://x.com/s{s_suppkey}"}},"pages":[{"url":"https://s{s_suppkey}.test/","http_status":200}]}'
+    )
+    old = (
+        '{"input_url":"https://s{s_suppkey}.test/","pages_discovered":"{s_nationkey}","stop_reason":"queue_exhausted",'
+        '"company":{"company_name":"{s_name}","emails":"a@s{s_suppkey}.test",'
+        '"social_links":[{"platform":"twitter","url":"https://x.com/s{s_suppkey}"}]},"more":[1,{"x":null}]}'
+    )
+    other = '{"input_url":"https://s{s_suppkey}.test/","visit_meta":{"pages_discovered":-1},"pages":[{"http_status":"404"},7]}'
+    kind = F.col("s_suppkey") % 6
+    text = (
+        F.when(kind == 0, _template(new)).when(kind == 1, _template(old)).when(kind == 2, _template(other))
+        .when(kind == 3, F.left("s_text", F.lit(60))).when(kind == 4, F.concat(F.lit("["), F.col("s_suppkey").cast("string"), F.lit("]")))
+        .otherwise(F.concat(F.lit('{"input_url":null,"n":'), F.col("s_suppkey").cast("string"), F.lit("}")))
+    )
+    path = _scratch(spark, "shapes")
+    s.withColumn("s_text", _template(new)).select(text.alias("value")).write.text(path)
+    reports, rejects = store.read_any_reports(spark, path)
+    first = F.get("pages", F.lit(0))
+    rows = reports.select(
+        "input_url", F.col("run_meta.pages_discovered").alias("pages_discovered"), F.col("run_meta.stop_reason").alias("stop_reason"),
+        F.col("company.company_name").alias("company_name"), F.array_join("company.emails", "|").alias("emails"),
+        F.element_at("company.social_links", F.lit("twitter")).alias("twitter"),
+        _long(F.size("pages")).alias("n_pages"), _long(first["http_status"]).alias("status"),
+    )
+    return rows.unionByName(rejects.select("record", "reason"), allowMissingColumns=True)
+
+
 @query
 def site_reports(spark, folder):
     """From start URLs and a fetch log to reports: visit, read, merge, with four pages each."""

@@ -7,7 +7,7 @@ merge rewrites the partitions that its rows fall into and leaves all others alon
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,3 +194,69 @@ def read_reports(spark: SparkSession, path: str, multi_line: bool = False) -> Da
         .option("recursiveFileLookup", multi_line)
         .json(path)
     )
+
+
+# --- reports of several shapes -------------------------------------------------------------
+
+
+def _field(v: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _any_texts(v: Column, path: str) -> Column:
+    """A list of texts; a single text is a list of one."""
+    one = _field(v, path, "string")
+    return F.coalesce(_field(v, path, "array<string>"), F.when(one.isNotNull(), F.array(one)))
+
+
+def _any_links(v: Column, path: str) -> Column:
+    """A map of texts, or a list of pairs as objects with ``platform`` and ``url``."""
+    pairs = _field(v, path, "array<struct<platform:string,url:string>>")
+    told = F.filter(pairs, lambda p: p["platform"].isNotNull())
+    return F.coalesce(_field(v, path, "map<string,string>"), F.map_from_entries(told))
+
+
+def _fields_of(v: Column, kind: T.StructType, at: str = "$") -> list[Column]:
+    return [_field(v, f"{at}.{f.name}", f.dataType.simpleString()).alias(f.name) for f in kind]
+
+
+def read_any_reports(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Reports as ``read_reports`` gives them, whatever their shape, and what could not be read.
+
+    Each record (a line, with ``multi_line`` a file) is read as a variant, and its fields are taken where their
+    values can be cast. The facts of the run may stand in any object whose name ends in ``_meta``, or beside the
+    start URL; lists may be single texts, links to social sites a list of objects; fields that are missing are null.
+    The second table has a row per record that is no report: ``file, record, reason``."""
+    texts = spark.read.text(path, wholetext=multi_line, recursiveFileLookup=multi_line)
+    records = texts.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("record"))
+    v = F.col("v")
+    told = records.filter(F.trim("record") != "").withColumn("v", F.try_parse_json("record")).withColumn(
+        "fields", _field(v, "$", "map<string,variant>")
+    )
+    reason = (
+        F.when(v.isNull(), "not_json")
+        .when(F.col("fields").isNull(), "not_an_object")
+        .when(_field(v, "$.input_url", "string").isNull(), "no_input_url")
+        .when(F.col("fields")["company"].isNull() & F.col("fields")["pages"].isNull(), "no_company_and_no_pages")
+    )
+    judged = told.withColumn("reason", reason)
+    names = F.filter(F.map_keys("fields"), lambda n: n.endswith("_meta"))
+    kinds = {f.name: f.dataType for f in REPORT_SCHEMA}
+    found = judged.filter("reason is null").withColumn(
+        "run", F.coalesce(F.get(F.transform(names, lambda n: F.col("fields")[n]), F.lit(0)), v)
+    )
+    company = [
+        (_any_links if isinstance(f.dataType, T.MapType) else _any_texts)(v, f"$.company.{f.name}").alias(f.name)
+        if isinstance(f.dataType, (T.MapType, T.ArrayType))
+        else _field(v, f"$.company.{f.name}", "string").alias(f.name)
+        for f in kinds["company"]
+    ]
+    page = kinds["pages"].elementType
+    pages = F.transform(_field(v, "$.pages", "array<variant>"), lambda p: F.struct(*_fields_of(p, page)))
+    reports = found.select(
+        _field(v, "$.input_url", "string").alias("input_url"),
+        F.struct(*_fields_of(F.col("run"), kinds["run_meta"])).alias("run_meta"),
+        F.when(_field(v, "$.company", "map<string,variant>").isNotNull(), F.struct(*company)).alias("company"),
+        pages.alias("pages"),
+    )
+    return reports, judged.filter("reason is not null").select("file", "record", "reason")

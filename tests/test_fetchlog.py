@@ -125,6 +125,14 @@ def test_running_values_over_buckets(spark):
     assert got == want
 
 
+def test_ranks_after_earlier_rows(spark):
+    rows = [("a", i) for i in range(300)] + [("b", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, o long")
+    earlier = spark.createDataFrame([("a", 40), ("c", 9)], "k string, n long")
+    got = running_rank(df, ["k"], [F.col("o")], F.floor(F.col("o") / 16), earlier).collect()
+    assert {(r.k, r.o): r.running_rank for r in got} == {(k, o): o + 1 + 40 * (k == "a") for k, o in rows}
+
+
 def test_polite_starts(spark):
     rng = random.Random(4)
     rows = [(f"h{rng.randrange(3)}", i, rng.randrange(100_000)) for i in range(400)]

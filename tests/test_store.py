@@ -1,8 +1,12 @@
+import bisect
 import json
+import random
 import time
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from siteloom.operators import daily
 from siteloom.operators.extract import extract_pages
 from siteloom.operators.profile import build_profiles
 from siteloom.operators.report import page_counts, nested_reports, page_records, status_rollup
@@ -158,3 +162,64 @@ def test_two_starts_on_one_host_share_pages(spark):
     )
     got = sorted((r.site, r.url, r.page_type) for r in page_records(tried, extract_pages(pages)).collect())
     assert got == [(S, S, "home"), (S, S + "about", "about"), (S + "about", S + "about", "home")]
+
+
+def test_reports_of_any_shape(spark, tmp_path):
+    _, reports = example(spark)
+    new = json.loads(reports.drop("site").toJSON().first())
+    old = {
+        "input_url": "http://old.test", "pages_failed": "3", "stop_reason": None,
+        "company": {"emails": "a@old.test", "social_links": [{"platform": "github", "url": "g"}, {"url": "x"}], "products": [1, "b"], "new": {}},
+        "pages": [{"url": "u", "http_status": "200", "fetched_ok": 1}, 5, None],
+    }
+    bare = {"input_url": "http://bare.test", "visit_meta": {"pages_failed": "many"}, "pages": None, "company": None}
+    lines = [json.dumps(new), json.dumps(old), "", json.dumps(bare), '{"input_url": "cut', "[1]", "7", "{}", '{"input_url": 5}', "  "]
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.json").write_text("\n".join(lines), encoding="utf-8")
+    rows, rejects = store.read_any_reports(spark, str(tmp_path / "l"))
+    got = {r.input_url: r for r in rows.collect()}
+    assert set(got) == {S, "http://old.test", "http://bare.test"}
+    assert got[S] == store.read_reports(spark, str(tmp_path / "l")).filter(F.col("input_url") == S).first()
+    r = got["http://old.test"]
+    assert r.run_meta.pages_failed == 3 and r.company.emails == ["a@old.test"] and r.company.social_links == {"github": "g"}
+    assert r.company.products == ["1", "b"] and [p.http_status for p in r.pages] == [200, None, None] and r.company.phones is None
+    assert got["http://bare.test"].company is None and got["http://bare.test"].run_meta.pages_failed is None
+    bad = sorted((x.record, x.reason) for x in rejects.collect())
+    assert bad == [("7", "not_an_object"), ("[1]", "not_an_object"), ('{"input_url": "cut', "not_json"),
+                   ('{"input_url": 5}', "no_company_and_no_pages"), ("{}", "no_input_url")]
+    # A file each, printed over several lines.
+    for i, one in enumerate([new, old]):
+        (tmp_path / "f" / str(i)).mkdir(parents=True)
+        (tmp_path / "f" / str(i) / "r.json").write_text(json.dumps(one, indent=2), encoding="utf-8")
+    (tmp_path / "f" / "x.json").write_text("{\n 'no'", encoding="utf-8")
+    rows, rejects = store.read_any_reports(spark, str(tmp_path / "f"), multi_line=True)
+    assert {r.input_url for r in rows.collect()} == {S, "http://old.test"} and rejects.count() == 1
+
+
+def test_sketches_of_days_add_up(spark):
+    """Merged over any span they are within the stated errors; small spans are exact."""
+    rng = random.Random(31)
+    rows = [
+        (f"s{rng.random() < 0.1:d}", datetime(2024, 1, 1 + rng.randrange(9), 5), f"/{int(rng.paretovariate(0.5)) % 20_000}",
+         rng.random() < 0.9, int(rng.expovariate(0.01)))
+        for _ in range(40_000)
+    ]
+    visits = spark.createDataFrame(rows, "site string, ts timestamp, url string, ok boolean, elapsed_ms int")
+    days = daily.daily_sketches(visits).cache()
+    assert days.count() == 18
+    for low, high in ((1, 9), (2, 5), (3, 3)):
+        span = F.dayofmonth("day").between(low, high)
+        got = daily.span_figures(days, ["site"], [0.0, 0.5, 0.99], span).collect()
+        for r in got:
+            mine = [x for x in rows if x[0] == r.site and low <= x[1].day <= high]
+            urls, times = {x[2] for x in mine}, sorted(x[4] for x in mine)
+            assert r.visits == len(mine) and abs(r.failed_rate - sum(not x[3] for x in mine) / len(mine)) < 1e-6
+            assert abs(r.n_urls - len(urls)) <= (0 if len(urls) < 4096 else daily.COUNT_ERROR * len(urls))
+            for q, value in ((0.5, r.ms_50), (0.99, r.ms_99)):
+                n = len(times)
+                assert bisect.bisect_left(times, value) / n <= q + daily.RANK_ERROR
+                assert bisect.bisect_right(times, value) / n >= q - daily.RANK_ERROR
+            assert r.ms_0 == times[0]
+    assert daily.span_figures(days, [], [0.5]).first().visits == 40_000
+    assert daily.span_figures(days, ["site"], [0.5], F.lit(False)).count() == 0
+    days.unpersist()
