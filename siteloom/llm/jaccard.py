@@ -541,7 +541,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the copies: of every component, the row with the smallest id
-    (null last), one of several alike; all rows without a set."""
+    (null last), one of several alike; all rows without a set. Columns besides ``doc_id`` and ``text`` go along,
+    whatever their names."""
+    own = [c if c in ("doc_id", "text") else f"_given_{i}" for i, c in enumerate(docs.columns)]
+    return _one_of_each(docs.toDF(*own)).toDF(*docs.columns)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     named = _rooted(docs)
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("class"))
     best = named.filter("root is not null").groupBy("root").agg(F.min(rank).alias("best"))

@@ -3,13 +3,10 @@
 import hashlib
 import math
 
-import duckdb
 import numpy as np
 import pytest
 
 from siteloom.llm import centroids
-from siteloom.llm.oracles import ORACLES
-from siteloom.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, cluster string, v string"
 LONG = 2**63 - 1
@@ -100,14 +97,3 @@ def test_huge_numbers(spark):
 
 def test_nothing(spark):
     assert run(spark, [], 2) == [] and run(spark, [(1, None)], 2) == []
-
-
-def test_query_against_sql(spark):
-    folder = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
-    answer = con.execute(ORACLES["op12_centroid_clustering"])
-    names = [c[0] for c in answer.description]
-    got = QUERIES["op12_centroid_clustering"](spark, folder)
-    assert sorted(names) == sorted(got.columns)
-    assert sorted(map(tuple, got.select(names).collect())) == sorted(answer.fetchall())

@@ -7,13 +7,10 @@ import re
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 
 from siteloom.llm import resampling
-from siteloom.llm.oracles import ORACLES
-from siteloom.llm.queries import QUERIES
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -97,15 +94,3 @@ def test_nothing(spark):
     rows = [(1, "a b c"), (2, None)]
     assert run(spark, [], ["a b"]) == []
     assert run(spark, rows, []) == plain(rows, [])
-
-
-def test_query_against_sql(spark):
-    folder = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
-    answer = con.execute(ORACLES["op13_importance_resampling"])
-    names = [c[0] for c in answer.description]
-    got = QUERIES["op13_importance_resampling"](spark, folder)
-    assert sorted(names) == sorted(got.columns)
-    assert sorted(map(tuple, got.select(names).collect()), key=repr) == sorted(answer.fetchall(), key=repr)
