@@ -40,9 +40,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by calibrated probabilities."""
-    counted = mixing.with_tokens(docs).withColumn("topic", mixing.topic_of("text"))
-    return mixing.mixed(counted).filter("kept").select(docs.columns)
+    """Documents drawn by calibrated probabilities. Columns that this stage does not read go along,
+    whatever their names."""
+    read = ("doc_id", "text", "source", "lang")
+    own = [c if c in read else f"_given_{i}" for i, c in enumerate(docs.columns)]
+    counted = mixing.with_tokens(docs.toDF(*own)).withColumn("topic", mixing.topic_of("text"))
+    return mixing.mixed(counted).filter("kept").select(own).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
