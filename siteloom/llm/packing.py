@@ -7,15 +7,19 @@ moves one piece, or exchanges one for one or two for one, between underfull sequ
 raises the sum of squared fills, until sequences run empty. A block that already needs no more
 sequences than its tokens do is left alone. Blocks cost at most one sequence each.
 
-Null text is an empty document (the end token alone). Rows with equal ids are packed each."""
+Null text is an empty document (the end token alone). Rows with equal ids are packed each, equal
+lengths in order of their rows. A very long text is cut into as many pieces as it needs. An empty table gives
+no rows; columns other than ``doc_id`` and ``text`` are not read and may bear any name."""
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import itertools
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,97 +164,130 @@ def best_fit(lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def _gain(a: int, b: int, moved: int) -> int:
-    """Change of the squared fills when ``moved`` tokens net go from fill ``a`` to ``b``."""
-    return (a - moved) ** 2 + (b + moved) ** 2 - a * a - b * b
-
-
-def local_search(
-    bins: list[list[int]], lengths: list[int], size: int = SEQUENCE, partners: int = 200
-) -> list[list[int]]:
+class _Partners:
+    """What underfull bins would give back, by the most they could take for it: an entry for every
+    sum ``t`` of given items of a bin, filed under ``t`` and the room of the bin together. Of every
+    such limit the least ``t`` counts, so the best partner of an item is a minimum over all limits
+    from its length on."""
+
+    def __init__(self, size: int):
+        self.none = size + 1
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(size + 1)]
+        self.least = np.full(size + 1, self.none, dtype=np.int64)
+
+    def add(self, sums: set[int], room: int, bin_: int, version: int) -> None:
+        for t in sums:
+            heap = self.heaps[t + room]
+            heapq.heappush(heap, (t, bin_, version))
+            if t < self.least[t + room]:
+                self.least[t + room] = t
+
+    def drop(self, sums: set[int], room: int, versions: list[int]) -> None:
+        """Forget entries of versions gone by; those below the top of a heap go when they get there."""
+        for t in sums:
+            heap = self.heaps[t + room]
+            while heap and heap[0][2] != versions[heap[0][1]]:
+                heapq.heappop(heap)
+            self.least[t + room] = heap[0][0] if heap else self.none
+
+    def best(self, sums: np.ndarray) -> tuple[int, int, int, int]:
+        """Most tokens moved by one of ``sums``, that sum, what comes back and from which bin."""
+        ahead = np.minimum.accumulate(self.least[::-1])[::-1][sums]
+        k = int(np.argmax(sums - ahead))
+        s, t = int(sums[k]), int(ahead[k])
+        if t >= s:
+            return 0, s, t, -1
+        return s - t, s, t, self.heaps[s + int(np.argmin(self.least[s:]))][0][1]
+
+
+def _sums(lengths: list[int]) -> tuple[set[int], set[int]]:
+    """Distinct lengths, and distinct sums of two items."""
+    counts = Counter(lengths)
+    twice = {2 * n for n, c in counts.items() if c > 1}
+    return set(counts), twice | {a + b for a, b in itertools.combinations(counts, 2)}
+
+
+def _with_sum(items: list[int], lengths: list[int], total: int, most: int) -> list[int]:
+    """At most ``most`` (0, 1 or 2) of the items that make up ``total``, as few as possible."""
+    if total == 0:
+        return []
+    at: dict[int, int] = {}
+    for i in items:
+        if lengths[i] == total:
+            return [i]
+    for i in items if most == 2 else []:
+        if (other := at.get(total - lengths[i])) is not None:
+            return [other, i]
+        at[lengths[i]] = i
+    raise ValueError("no such items")
+
+
+def local_search(bins: list[list[int]], lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:
     """Empty bins by moves and exchanges between underfull bins that raise the squared fill.
 
-    Each round takes the emptiest bins in turn and looks, in the fullest bins with room, for the
-    move, the exchange of one for one or of two for one (either way) that brings most over; bins of equal
-    content are tried once. ``partners`` bounds both sides. It ends when the bins are as few as the
-    tokens allow, or when a round empties none and raises nothing."""
+    In every pass each underfull bin, emptiest first, gives to the bins that are fuller: one item, one
+    item for one or two smaller ones, or two items for a smaller one, whichever moves most tokens, until no
+    such step is left for it. All bins are partners: they are filed by what they can take, so none has to be
+    tried. It ends when the bins are as few as the tokens allow, or after a pass without a step, when
+    no pair of bins has one."""
+    bins = [list(b) for b in bins]
     fills = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fills) // size)
-    bins = [list(b) for b in bins]
-    vain: set[tuple] = set()  # pairs of contents without a step
-
-    def content(b: int) -> tuple[int, ...]:
-        return tuple(sorted(lengths[i] for i in bins[b]))
-
+    used = sum(f > 0 for f in fills)
+    versions = [0] * len(bins)
     changed = True
-    while changed and sum(f > 0 for f in fills) > least:
+    while changed and used > least:
         changed = False
-        under = sorted((b for b in range(len(bins)) if 0 < fills[b] < size), key=lambda b: fills[b])
-        distinct = list({content(b): b for b in under}.values())
-        targets = sorted(distinct, key=lambda b: -fills[b])[:partners]
-        for a in under[:partners]:
-            for b in targets:
-                if not fills[a]:
+        for_one, for_two = _Partners(size), _Partners(size)
+        filed: dict[int, tuple[set[int], set[int], int]] = {}
+        queue: list[tuple[int, int, int]] = []
+
+        def enter(b: int) -> None:
+            if not 0 < fills[b] < size:
+                return
+            ones, twos = _sums([lengths[i] for i in bins[b]])
+            room = size - fills[b]
+            filed[b] = ones, twos, room
+            for_one.add({0} | ones | twos, room, b, versions[b])
+            for_two.add(ones, room, b, versions[b])
+            heapq.heappush(queue, (fills[b], b, versions[b]))
+
+        def leave(b: int) -> None:
+            versions[b] += 1
+            ones, twos, room = filed.pop(b)
+            for_one.drop({0} | ones | twos, room, versions)
+            for_two.drop(ones, room, versions)
+
+        for b in range(len(bins)):
+            enter(b)
+        while queue and used > least:
+            _, a, version = heapq.heappop(queue)
+            if version != versions[a]:
+                continue
+            # Bins still filed are at least as full, so that tokens going there raise the squared fill.
+            leave(a)
+            while bins[a]:
+                ones, twos = _sums([lengths[i] for i in bins[a]])
+                step = for_one.best(np.array(sorted(ones)))
+                back = 2
+                if twos and (other := for_two.best(np.array(sorted(twos))))[0] > step[0]:
+                    step, back = other, 1
+                moved, s, t, b = step
+                if not moved:
                     break
-                if a == b or fills[b] < fills[a] or (key := (content(a), content(b))) in vain:
-                    continue
-                step = _best_step(bins[a], bins[b], lengths, size - fills[b], fills[a], fills[b])
-                if step is None:
-                    vain.add(key)
-                    continue
-                out, back = step
-                moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                bins[a] = [i for i in bins[a] if i not in out] + back
-                bins[b] = [i for i in bins[b] if i not in back] + out
+                given = _with_sum(bins[a], lengths, s, 3 - back)
+                taken = _with_sum(bins[b], lengths, t, back)
+                leave(b)
+                bins[a] = [i for i in bins[a] if i not in given] + taken
+                bins[b] = [i for i in bins[b] if i not in taken] + given
                 fills[a] -= moved
                 fills[b] += moved
+                enter(b)
                 changed = True
+            used -= not bins[a]
     return [b for b in bins if b]
 
 
-def _best_step(
-    a: list[int], b: list[int], lengths: list[int], room: int, fill_a: int, fill_b: int
-) -> tuple[list[int], list[int]] | None:
-    """Items to go from ``a`` to ``b`` and back: the step with the most tokens moved that fits
-    and raises the squared fill."""
-    ordered = sorted(a, key=lambda i: lengths[i])
-    sizes = [lengths[i] for i in ordered]
-    best, best_moved = None, 0
-
-    def offer(out: list[int], back: list[int], moved: int) -> None:
-        nonlocal best, best_moved
-        if best_moved < moved <= room and _gain(fill_a, fill_b, moved) > 0:
-            best, best_moved = (out, back), moved
-
-    def largest(limit: int) -> int:
-        return bisect.bisect_right(sizes, limit) - 1
-
-    at = largest(room)
-    if at >= 0:
-        offer([ordered[at]], [], sizes[at])
-    for j in b:
-        limit = room + lengths[j]
-        at = largest(limit)
-        if at >= 0:
-            offer([ordered[at]], [j], sizes[at] - lengths[j])
-        low, high = 0, len(sizes) - 1  # the best pair of two within the limit
-        while low < high:
-            both = sizes[low] + sizes[high]
-            if both <= limit:
-                offer([ordered[low], ordered[high]], [j], both - lengths[j])
-                low += 1
-            else:
-                high -= 1
-        if best_moved == room:
-            return best
-    for j, k in itertools.combinations(b, 2):  # one longer piece for two of the other bin
-        both = lengths[j] + lengths[k]
-        at = largest(room + both)
-        if at >= 0:
-            offer([ordered[at]], [j, k], sizes[at] - both)
-    return best
-
-
 def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, block: int = BLOCK) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``. The pieces are written out first, so
     that blocks are dealt from fixed rows."""

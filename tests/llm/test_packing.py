@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import zlib
@@ -57,6 +58,49 @@ def test_search_ends_on_hopeless_input():
     assert len(bins) == 3000
 
 
+def steps(a, b, size):
+    """Plainly: does a move, an exchange of one for one, or of two for one from ``a`` to the fuller
+    ``b`` raise the squared fill?"""
+    outs = {0: [()], 1: [(x,) for x in a], 2: list(itertools.combinations(a, 2))}
+    backs = {0: [()], 1: [(x,) for x in b], 2: list(itertools.combinations(b, 2))}
+    for n, m in ((1, 0), (1, 1), (2, 1), (1, 2)):
+        for out in outs[n]:
+            for back in backs[m]:
+                moved = sum(out) - sum(back)
+                fa, fb = sum(a) - moved, sum(b) + moved
+                if moved > 0 and fb <= size and fa**2 + fb**2 > sum(a) ** 2 + sum(b) ** 2:
+                    return True
+    return False
+
+
+def test_search_leaves_no_step_between_any_two_bins():
+    rng = random.Random(7)
+    ended = 0
+    for trial in range(150):
+        low = rng.choice([1, 20, 31])
+        lengths = [rng.randint(low, rng.choice([45, 60])) for _ in range(rng.randint(2, 60))]
+        after = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+        check(after, lengths, 100)
+        if len(after) == -(-sum(lengths) // 100):
+            continue
+        ended += 1
+        own = [[lengths[i] for i in b] for b in after]
+        for a, b in itertools.permutations(own, 2):
+            if sum(a) <= sum(b):
+                assert not steps(a, b, 100), (trial, a, b)
+    assert ended > 20
+
+
+def test_search_reaches_bins_beyond_any_window():
+    """Figures of a plan that tries only some of the bins: 2,352 and 6,943."""
+    for n, low, high, most in ((6000, 1300, 1450, 2260), (20_000, 700, 2000, 6820)):
+        rng = random.Random(1)
+        lengths = [rng.randint(low, high) for _ in range(n)]
+        after = packing.local_search(packing.best_fit(lengths), lengths)
+        check(after, lengths, packing.SEQUENCE)
+        assert len(after) <= most
+
+
 def test_pack(spark, texts):
     rows = [(i, t, "mine") for i, t in enumerate(texts)] + [(3, "one", "twice"), (None, "no id", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
