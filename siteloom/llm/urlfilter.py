@@ -5,19 +5,22 @@ The host stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, th
 prefix; it holds for all subdomains, and the longest one that fits decides. All other URLs are judged
 by a regression fitted on a small labelled table; an URL without any n-gram is allowed unless the
 model's intercept says otherwise. Everything is local to a row and native; repeated rows get equal
-verdicts."""
+verdicts, two rules of equal length cannot both fit unless they are the same, and a margin of exactly 0 allows.
+Very long URLs are read whole, an empty table gives no rows, and columns other than ``page_id`` and ``url``
+are not read and may bear any name.
+
+The labelled table is made of names chosen by subject; no host name of it stands in the pages it is used on,
+so that all of these are unseen."""
 
 from __future__ import annotations
 
 import string
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.session import cut_lineage
-
 SIZES = (3, 4, 5)
 BUCKETS = 8192
 RIDGE = 0.005
@@ -31,38 +34,57 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-# Hosts to be blocked, hosts to be allowed, and paths of either.
-BLOCKED_HOSTS = [
-    "www.cheap-pills.example.com", "cheap-pills.example.net", "buy-cheap-meds.example.net",
-    "pills-online.example.com", "www.free-casino.example.com", "casino-bonus.example.net",
-    "best-casino.example.org", "adult-chat.example.com", "xxx-videos.example.net",
-    "hot-xxx.example.com", "win-money-now.example.net", "payday-loans.example.com",
-    "cheap-loans.example.net", "free-money.example.com", "replica-watches.example.net",
-    "cheap-viagra.example.com", "ads-track.example.net", "m.track-ads.example.com",
-    "spam-farm.example.com", "blog.link-farm.example.net", "free-bets.example.com",
-    "adult-x.example.net", "blog.casino-club.example.com", "win-casino.example.net",
-    "casino-slots.example.com", "www.win-big.example.net", "poker-bets.example.com",
-]
-ALLOWED_HOSTS = [
-    "www.example.com", "blog.garden.example.net", "news.city.example.com", "m.river.example.net",
-    "history.example.com", "school.example.net", "blog.kitchen.example.net", "news.example.org",
-    "www.library.example.com", "maps.travel.example.net", "music.example.com", "m.home.example.com",
-    "www.science.example.net", "forum.linux.example.com", "m.weather.example.net",
-    "docs.python.example.com", "thther.example.net", "tionsh.example.net", "blog.ththon.example.com",
-    "www.there.example.net", "blog.tionble.example.org", "m.tiontion.example.com", "therin.example.net",
-    "m.mother.example.net", "www.others.example.com", "blog.theatre.example.net", "m.there.example.com",
-    "shop.river-side.example.com", "www.new-town.example.org", "old-mill.example.net",
-]
+# Names of hosts to be blocked, names of hosts to be allowed, what stands around them, and paths
+# of either side.
+BLOCKED_NAMES = """
+    casino-bonus best-casino online-casino-club royalcasino casinoslots slots-jackpot jackpot-party
+    poker-room pokerbonus betting-odds sportsbets livebets bet-bonus freespins free-roulette
+    gambling-tips freegames-jackpot lottery-winner lotto-prizes win-prizes bigwins
+    cheap-meds cheapviagra viagra-shop buy-cialis pills-online dietpills slimming-pills
+    pharmacy-discount online-pharmacy no-prescription-meds steroids-shop cheap-tablets
+    xxx-videos hotxxx adult-chat adultcams adult-dating porn-tube freeporn sexcams livesex sexy-girls
+    escort-girls hot-singles nude-pics webcam-girls
+    payday-loans quick-loans fastcash cash-advance free-money money-fast earn-money-now easy-credit
+    bitcoin-doubler crypto-giveaway get-rich-quick forex-signals
+    replica-watches replicabags fake-rolex cheap-handbags outlet-replica
+    adserver ad-tracker clicktrack click-ads popup-ads adclicks tracking-pixel banner-ads trackstats
+    spam-links linkspam linkfarm link-exchange seo-spam backlinks-cheap bulk-spam content-farm
+    warez-download cracked-keygen torrent-cracks free-downloads-crack
+""".split()
+ALLOWED_NAMES = """
+    garden city-news river history school kitchen library travel-maps music homes science
+    linux-forum weather python-docs mother-care others theatre thornton north-shore south-bank
+    old-mill new-town river-side mountain-hut harbour bakery carpenter orchard village-hall museum
+    observatory physics chemistry mathematics biology geology astronomy literature poetry grammar
+    translation dictionary encyclopedia archive gazette tribune chronicle herald journal review
+    weekly-post daily-paper evening-standard radio-waves film-festival orchestra choir
+    football tennis cycling swimming running-club hiking sailing climbing chess
+    recipes cooking vegetables cheese-makers winery coffee-roasters tea-house restaurant
+    hospital nursing dentist physiotherapy health-service medicine-journal
+    university college kindergarten teachers students research-lab institute laboratory
+    parliament ministry council townhall police fire-brigade post-office railway airport station
+    hardware software engineering compilers databases networks security-notes open-data statistics
+    trading-standards bank-holidays accounting insurance architects builders plumbers electricians
+    photography painting sculpture ceramics knitting woodwork furniture
+    northern-lights southern-cross eastern-market western-isles
+""".split()
+PREFIXES = ["", "www.", "m.", "blog.", "news.", "shop."]
+ENDS = ["example.com", "example.net", "example.org"]
 PATHS = [
     "/en/12", "/es/854/", "/fr/748", "/de/92.html", "/en/4", "/en/8410.html", "/fr/5/", "/de/131408",
     "/es/71", "/en/327/", "/", "", "/fr/101.html", "/de/6", "/es/99893/", "/en/545",
 ]
-# Every host with five of the paths, so that no path speaks for either side; 1 is to be blocked.
+# Every name with all prefixes and six of the paths, so that neither speaks for a side; 1 is to be
+# blocked.
 LABELLED = [
-    (f"http://{host}{PATHS[(5 * i + k) % len(PATHS)]}", label)
-    for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS))
-    for i, host in enumerate(hosts)
-    for k in range(5)
+    (
+        f"http://{PREFIXES[(i + k) % len(PREFIXES)]}{name}.{ENDS[(i + 2 * k) % len(ENDS)]}"
+        f"{PATHS[(5 * i + k) % len(PATHS)]}",
+        label,
+    )
+    for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES))
+    for i, name in enumerate(names)
+    for k in range(len(PREFIXES))
 ]
 
 
@@ -86,18 +108,31 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 def buckets(host: Column, path: Column) -> Column:
     """Buckets of the character n-grams of both parts, apart from each other."""
     return F.array_distinct(
-        F.concat(*[_grams(mark, part, n) for mark, part in (("h", host), ("p", path)) for n in SIZES])
+        F.concat(
+            *[
+                F.when(F.length(part) >= n, _grams(mark, part, n)).otherwise(
+                    F.array().cast("array<int>")
+                )
+                for mark, part in (("h", host), ("p", path))
+                for n in SIZES
+            ]
+        )
     )
 
 
 def _grams(mark: str, part: Column, n: int) -> Column:
-    many = F.length(part) - (n - 1)
-    starts = F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda i: F.pmod(
-            F.xxhash64(F.lit(mark), F.substring(part, i, F.lit(n))), F.lit(BUCKETS)
-        ).cast("int"),
+    # Split once into an array of one element, as taking parts of a text by position reads it from the start.
+    return F.flatten(
+        F.transform(
+            F.array(F.split(part, "")),
+            lambda own: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length(part) - (n - 1), F.lit(1))),
+                lambda i: F.pmod(
+                    F.xxhash64(F.lit(mark), F.concat(*[F.get(own, i + (k - 1)) for k in range(n)])),
+                    F.lit(BUCKETS),
+                ).cast("int"),
+            ),
+        )
     )
 
 
@@ -108,13 +143,11 @@ def fit(labelled: DataFrame) -> tuple[float, list[float]]:
     own = buckets(F.col("host"), F.col("path"))
     chosen = labelled.filter(F.col("label").isin(0, 1)).orderBy(F.xxhash64("url"), "url", "label")
     rows = chosen.limit(FIT_ROWS).select("label", host.alias("host"), path.alias("path"))
-    # Written out, else the n-grams would be made anew for every bucket.
-    rows = cut_lineage(rows.withColumn("own", own))
-    there = F.transform(
-        F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
-        lambda b: F.array_contains(F.col("own"), b).cast("double"),
-    )
-    rows = rows.select(F.col("label").cast("double"), array_to_vector(there).alias("features"))
+    # A column of its own with a one for every bucket of the row, as a sparse vector.
+    numbers = [str(b) for b in range(BUCKETS)]
+    sparse = CountVectorizerModel.from_vocabulary(numbers, "own", "features")
+    rows = rows.withColumn("own", own.cast("array<string>"))
+    rows = sparse.transform(rows).select(F.col("label").cast("double"), "features")
     model = LogisticRegression(regParam=RIDGE, standardization=False, maxIter=50).fit(
         rows.coalesce(1)
     )
@@ -122,8 +155,10 @@ def fit(labelled: DataFrame) -> tuple[float, list[float]]:
 
 
 def default_model(spark: SparkSession) -> tuple[float, list[float]]:
-    rows = [F.struct(F.lit(u).alias("url"), F.lit(x).alias("label")) for u, x in LABELLED]
-    return fit(spark.range(1).select(F.inline(F.array(*rows))))
+    lines = "\n".join(f"{label}\t{url}" for url, label in LABELLED)
+    line = F.split("line", "\t")
+    rows = spark.range(1).select(F.explode(F.split(F.lit(lines), "\n")).alias("line"))
+    return fit(rows.select(line[1].alias("url"), line[0].cast("int").alias("label")))
 
 
 def judge(
