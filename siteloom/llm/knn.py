@@ -1,22 +1,25 @@
 """Exact top-k search by inner product as a Voronoi join.
 
-Vectors are quantised to whole numbers and grouped with the nearest of a few pivots, queries and
-candidates alike. Every query gets a first bound from its scores against a bounded set of anchors,
-rows of the table themselves: its k-th best score cannot be lower. A candidate group reaches no
-further than ``q.p + |q| R`` (p its pivot, R its radius), so a query needs just the groups that reach
-its bound, and a query group needs the union of those. Groups are cut into blocks of bounded size;
-each block of candidates is sent only to the query groups that need it and solved there by one matrix
-product, and the k best of all blocks are merged.
+Vectors are quantised to whole numbers and grouped with the nearest of some pivots, queries and
+candidates alike; the number of pivots grows with the table up to a bound. Candidates stay in the
+group of their pivot, cut into blocks of bounded size, and queries go to them. First every query is
+solved in its home group: its k-th best score there, or among a bounded set of anchors (rows of the
+table themselves), cannot be beaten by less. No candidate of a group scores above ``q.p + |q| R`` (p
+its pivot, R its radius) or ``|q| N`` (N its longest vector), so then a query goes to just those other
+groups that reach its bound. A task holds one block of candidates at a time, and queries pass it in
+batches; a block is copied only where more than ``QUERY_BLOCK`` queries ask for it.
 
 Vectors that are null or hold null or not finite components take no part. Shorter vectors count as
 filled up with zeros. Ties go to the smaller id; rows that repeat an id count each as a candidate,
-but never for a query of that id, and are answered each as a query. Scores beyond the range of a long are cut to it. With fewer than k
-candidates all are returned; without queries nothing is."""
+but never for a query of that id, and are answered each as a query. Scores beyond the range of a long
+are cut to it. With fewer than k candidates all are returned; without queries, as in an empty table,
+nothing is. Columns besides the id and the vector are not read, whatever their names."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,15 @@ from pyspark.sql import functions as F
 from siteloom.session import cut_lineage
 
 SCALE = 256
-#: Pivots, and anchors for first bounds: rows with the smallest hash of the id.
-PIVOTS = 24
-ANCHORS = 768
-#: Candidates and queries per task.
+#: Anchors: rows with the smallest hash of the id. Pivots are made of them.
+ANCHORS = 1024
+#: Most pivots; below, a quarter of the root of the number of rows.
+PIVOTS = 512
+#: Candidates of a block, and queries that pass it in one task.
 BLOCK = 8192
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 1 << 17
+#: Queries scored at once.
+_STEP = 256
 _EXACT = float(2**53)
 _LONG = 2**63 - 1
 
@@ -95,22 +101,24 @@ class Plan:
 
 
 def plan(points: DataFrame) -> Plan:
-    width = points.agg(F.max(F.size("v")).alias("w")).first().w or 0
+    size = points.agg(F.max(F.size("v")).alias("w"), F.count("*").alias("n")).first()
+    width = size.w or 0
     rows = points.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(ANCHORS).collect()
     anchors = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         anchors[i, : len(r.v)] = r.v
     ids = np.array([r.vec_id for r in rows], dtype=np.int64)
-    return Plan(width, _spread(anchors), ids, anchors)
+    pivots = min(PIVOTS, max(8, round(size.n**0.5 / 4)))
+    return Plan(width, _spread(anchors, pivots), ids, anchors)
 
 
-def _spread(anchors: np.ndarray) -> np.ndarray:
+def _spread(anchors: np.ndarray, most: int) -> np.ndarray:
     """Pivots: anchors far from each other, moved to the middle of their cells."""
     if not len(anchors):
         return anchors
     chosen = [0]
     far = ((anchors - anchors[0]) ** 2).sum(axis=1)
-    while len(chosen) < min(PIVOTS, len(anchors)) and far.max() > 0:
+    while len(chosen) < min(most, len(anchors)) and far.max() > 0:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((anchors - anchors[chosen[-1]]) ** 2).sum(axis=1))
     pivots = anchors[chosen]
@@ -130,47 +138,147 @@ def _nearest(rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _celled(points: DataFrame, how: Plan) -> DataFrame:
-    """Points with ``cell`` and ``distance`` to its pivot."""
+    """Points with ``cell``, ``distance`` to its pivot and ``norm``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, distance = _nearest(_matrix(batch.column(1), how.width), how.pivots)
+            rows = _matrix(batch.column(1), how.width)
+            cell, distance = _nearest(rows, how.pivots)
+            norm = np.sqrt((rows**2).sum(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distance)],
-                names=["vec_id", "v", "cell", "distance"],
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distance), pa.array(norm)],
+                names=["vec_id", "v", "cell", "distance", "norm"],
             )
 
-    schema = "vec_id long, v array<double>, cell int, distance double"
+    schema = "vec_id long, v array<double>, cell int, distance double, norm double"
     return points.mapInArrow(run, schema)
 
 
-def _needed(queries: DataFrame, how: Plan, radius: np.ndarray, k: int) -> DataFrame:
-    """``cell, target``: candidate groups that some query of a group needs."""
-    pivots = how.pivots
+@dataclass(frozen=True)
+class Extent:
+    """Radius and longest vector of every cell; below zero if it is empty."""
+
+    radius: np.ndarray
+    norm: np.ndarray
+
+
+def extent(celled: DataFrame, how: Plan) -> Extent:
+    radius, norm = (np.full(max(len(how.pivots), 1), -1.0) for _ in range(2))
+    # One row per pivot: bounded.
+    for r in celled.groupBy("cell").agg(F.max("distance").alias("r"), F.max("norm").alias("n")).collect():
+        radius[r.cell], norm[r.cell] = (x * (1 + 1e-9) + 1e-9 for x in (r.r, r.n))
+    return Extent(radius, norm)
+
+
+def _away(queries: DataFrame, how: Plan, far: Extent, k: int) -> DataFrame:
+    """``row, vec_id, v, cell``: queries (with ``cell``, their home, and ``bound``, null if there is
+    none) once for every other cell that reaches their bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1), how.width)
+            ids, rows = batch.column(1).to_numpy(), _matrix(batch.column(2), how.width)
+            home = batch.column(3).to_numpy()
+            known = batch.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
+            bound = np.where(np.isnan(known), -np.inf, known)
             first = scores(rows, how.anchors).astype(np.float64)
             first[ids[:, None] == how.anchor_ids] = -np.inf
-            bound = np.full(len(rows), -np.inf)
             if first.shape[1] >= k:
-                bound = np.partition(first, -k, axis=1)[:, -k]
-            reach = rows @ pivots.T + np.sqrt((rows**2).sum(axis=1))[:, None] * radius
-            # Room for rounding: a group is left out only if it is clearly out of reach.
+                bound = np.maximum(bound, np.partition(first, -k, axis=1)[:, -k])
+            long = np.sqrt((rows**2).sum(axis=1))[:, None]
+            reach = np.minimum(rows @ how.pivots.T + long * far.radius, long * far.norm)
+            # Room for rounding: a cell is left out only if it is clearly out of reach.
             reach += 1e-6 * (1 + np.abs(reach))
             reach = np.clip(reach, -_LONG - 1, _LONG)  # as scores are
-            cells = batch.column(2).to_numpy()
-            query, target = np.nonzero((reach >= bound[:, None]) & (radius >= 0))
-            pairs = np.unique(np.stack([cells[query], target.astype(np.int32)]), axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[0]), pa.array(pairs[1])], names=["cell", "target"]
-            )
+            asks = (reach >= bound[:, None]) & (far.radius >= 0)
+            asks[np.arange(len(home)), home] = False
+            # A batch per cell, none larger than the one given.
+            for cell in np.flatnonzero(asks.any(axis=0)):
+                chosen = pa.array(np.flatnonzero(asks[:, cell]))
+                sent = [batch.column(i).take(chosen) for i in range(3)]
+                cells = pa.array(np.full(len(chosen), cell, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*sent, cells], names=["row", "vec_id", "v", "cell"])
+
+    schema = "row long, vec_id long, v array<double>, cell int"
+    return queries.select("row", "vec_id", "v", "cell", "bound").mapInArrow(run, schema)
+
+
+def _met(asked: DataFrame, celled: DataFrame, width: int, k: int) -> DataFrame:
+    """``row, query_id, vec_id, score``: the ``k`` best for ``asked`` (``row, vec_id, v, cell``) in
+    every block of their cell."""
+    asking = asked.groupBy("cell").agg(F.count("*").alias("q"))
+    # One row per pivot at most; written, so that its size is known.
+    sizes = cut_lineage(
+        celled.groupBy("cell").agg(F.count("*").alias("n")).join(asking, "cell").select(
+            "cell",
+            F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+            F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("slices"),
+        )
+    )
 
-    return (
-        queries.select("vec_id", "v", "cell").mapInArrow(run, "cell int, target int").distinct()
+    def dealt(size: str) -> Column:
+        return F.pmod(F.xxhash64("row"), F.col(size)).cast("int")
+
+    def every(size: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+
+    columns = ["cell", "block", "slice", "asks", "row", "vec_id", "v"]
+    candidates = celled.join(sizes, "cell").withColumn("block", dealt("blocks"))
+    candidates = candidates.withColumn("slice", every("slices")).withColumn("asks", F.lit(0))
+    queries = asked.join(sizes, "cell").withColumn("slice", dealt("slices"))
+    queries = queries.withColumn("block", every("blocks")).withColumn("asks", F.lit(1))
+    # A block of candidates in the order of ids, then the queries that pass it.
+    order = ["cell", "block", "slice", "asks", "vec_id"]
+    together = (
+        candidates.select(columns).unionByName(queries.select(columns))
+        .repartition("cell", "block", "slice").sortWithinPartitions(order)
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, block = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            rows, ids = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            turns = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in pairwise([0, *turns.tolist(), len(keys)]):
+                if lo == hi:
+                    continue
+                if tuple(keys[lo, :3]) != at:
+                    at, held, block = tuple(keys[lo, :3]), [], None
+                if not keys[lo, 3]:
+                    held.append((ids[lo:hi], _matrix(batch.column(6).slice(lo, hi - lo), width)))
+                    continue
+                if block is None:
+                    block = [np.concatenate(x) for x in zip(*held, strict=True)]
+                for i in range(lo, hi, _STEP):
+                    j = min(i + _STEP, hi)
+                    asks = _matrix(batch.column(6).slice(i, j - i), width)
+                    yield _best(rows[i:j], ids[i:j], asks, *block, k)
+
+    return together.mapInArrow(run, "row long, query_id long, vec_id long, score long")
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, asks: np.ndarray, others: np.ndarray, block: np.ndarray,
+          k: int) -> pa.RecordBatch:
+    """The ``k`` best of a block, in the order of ids, for some queries."""
+    out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
+    for row, id, found in zip(rows, ids, scores(asks, block), strict=True):
+        free = np.flatnonzero(others != id)
+        own = found[free]
+        if len(own) > k:
+            best = np.flatnonzero(own >= np.partition(own, -k)[-k])
+            free, own = free[best], own[best]
+        # The complement turns the order round without overflow; stable, so that ties go by id.
+        best = np.argsort(~own, kind="stable")[:k]
+        n = len(best)
+        out.append((np.full(n, row), np.full(n, id), others[free[best]], own[best]))
+    columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["row", "query_id", "vec_id", "score"])
+
+
+def _ranked(best: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best others for every row of ``is_query`` (over
@@ -178,81 +286,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     points = quantised(vectors)
     how = plan(points)
     celled = _celled(points, how) if how.width else points.select(
-        "vec_id", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("distance"))
+        "vec_id", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("norm"))
     # The row tells queries of one id apart.
     celled = cut_lineage(celled.withColumn("row", F.monotonically_increasing_id()))
-    queries = celled.filter(is_query)
-    # One row per pivot: bounded.
-    summary = celled.groupBy("cell").agg(
-        F.count("*").alias("n"), F.max("distance").alias("radius"),
-        F.count_if(is_query).alias("queries"),
-    ).collect()
-    cells = max(len(how.pivots), 1)
-    radius = np.full(cells, -1.0)
-    blocks, query_blocks = [1] * cells, [1] * cells
-    for r in summary:
-        radius[r.cell] = r.radius * (1 + 1e-9) + 1e-9
-        blocks[r.cell] = -(-r.n // BLOCK)
-        query_blocks[r.cell] = max(1, -(-r.queries // QUERY_BLOCK))
-    if how.width:
-        pairs = _needed(queries, how, radius, k)
-    else:  # no components at all: every score is 0
-        pairs = queries.select("cell", F.col("cell").alias("target")).distinct()
-    # At most PIVOTS squared rows.
-    pairs = cut_lineage(pairs)
-    sizes = vectors.sparkSession.createDataFrame(
-        [(i, b, q) for i, (b, q) in enumerate(zip(blocks, query_blocks, strict=True))],
-        "cell int, blocks int, query_blocks int",
-    )
-    pairs = (
-        pairs.join(sizes.select("cell", "query_blocks"), "cell")
-        .join(sizes.select(F.col("cell").alias("target"), "blocks"), "target")
-    )
-    part = F.xxhash64("vec_id")
-    sent = (
-        celled.join(pairs.withColumnsRenamed({"cell": "asking", "target": "cell"}), "cell")
-        .withColumn("block", F.pmod(part, F.col("blocks")).cast("int"))
-        .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-        .select("asking", F.col("cell").alias("target"), "block", "query_block", "row", "vec_id", "v")
-    )
-    asked = (
-        queries.join(pairs, "cell")
-        .withColumn("query_block", F.pmod(part, F.col("query_blocks")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.col("cell").alias("asking"), "target", "block", "query_block", "row", "vec_id", "v")
-    )
-
-    def solve(asked: pa.Table, sent: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if asked.num_rows and sent.num_rows:
-            q, c = (t.sort_by("vec_id").combine_chunks() for t in (asked, sent))
-            rows, ids, others = (t.to_numpy() for t in (q["row"], q["vec_id"], c["vec_id"]))
-            found = scores(*(_matrix(_one(t["v"]), how.width) for t in (q, c)))
-            for i, own in enumerate(found):
-                free = np.flatnonzero(others != ids[i])
-                # Stable, so that equal scores stand in the order of ids.
-                best = free[np.argsort(-own[free].astype(object) if own.min() == -_LONG - 1
-                                       else -own[free], kind="stable")[:k]]
-                n = len(best)
-                out.append((np.full(n, rows[i]), np.full(n, ids[i]), others[best], own[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.empty(0, np.int64)] * 4
-        return pa.table(dict(zip(["row", "query_id", "vec_id", "score"], columns, strict=True)))
-
-    keys = ["asking", "target", "block", "query_block"]
-    # Columns of their own on either side.
-    asked, sent = (df.toDF(*keys, "row", "vec_id", "v") for df in (asked, sent))
-    best = (
-        asked.groupBy(*keys)
-        .cogroup(sent.groupBy(*keys))
-        .applyInArrow(solve, "row long, query_id long, vec_id long, score long")
-    )
-    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    return (
-        best.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
-
-
-def _one(column: pa.ChunkedArray) -> pa.Array:
-    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    queries = celled.filter(is_query).select("row", "vec_id", "v", "cell")
+    best = cut_lineage(_ranked(_met(queries, celled, how.width, k), k).drop("rank"))
+    if len(how.pivots) > 1 and how.width:
+        full = F.when(F.count("*") == k, F.min("score"))
+        bounds = best.groupBy("row").agg(full.alias("bound"))
+        away = _away(queries.join(bounds, "row", "left"), how, extent(celled, how), k)
+        best = best.unionByName(_met(cut_lineage(away), celled, how.width, k))
+    return _ranked(best, k).select("query_id", "rank", "vec_id", "score")

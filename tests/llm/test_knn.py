@@ -66,17 +66,34 @@ def test_few_and_no_candidates(spark):
     assert run(spark, rows, 100) == plain_top(rows, 5, lambda i: i == 0)
 
 
-def test_groups_out_of_reach_are_not_sent(spark):
-    """With far clusters, most groups of candidates cannot matter to a query group."""
+def cells_left_out(spark, rows, every):
+    """Share of pairs of a query and a cell that is not its home which the bounds leave out."""
+    points = knn.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    how = knn.plan(points)
+    celled = knn._celled(points, how).withColumn("row", F.col("vec_id")).cache()
+    queries = celled.filter(F.col("vec_id") % every == 0)
+    home = knn._ranked(knn._met(queries.select("row", "vec_id", "v", "cell"), celled, how.width, 5), 5)
+    bounds = home.groupBy("row").agg(F.when(F.count("*") == 5, F.min("score")).alias("bound"))
+    away = knn._away(queries.join(bounds, "row", "left"), how, knn.extent(celled, how), 5)
+    sent = away.groupBy("row").agg(F.count("*").alias("n"), F.countDistinct("cell").alias("d")).collect()
+    assert all(r.n == r.d < len(how.pivots) for r in sent)
+    return 1 - sum(r.n for r in sent) / (queries.count() * (len(how.pivots) - 1))
+
+
+def test_queries_go_to_cells_in_reach_only(spark):
     rng = np.random.default_rng(4)
     centres = np.eye(16) * 8
     rows = [(i, (centres[i % 16] + rng.normal(size=16) * 0.05).tolist()) for i in range(800)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    points = knn.quantised(df)
+    assert cells_left_out(spark, rows, 10) > 0.9
+
+
+def test_candidates_move_once_a_pass(spark):
+    """A block is copied only where too many queries ask for it."""
+    rows = [(i, v, "x") for i, v in vectors(5, 400)]
+    points = knn.quantised(spark.createDataFrame(rows, SCHEMA))
     how = knn.plan(points)
-    celled = knn._celled(points, how)
-    radius = np.full(len(how.pivots), -1.0)
-    for r in celled.groupBy("cell").agg(F.max("distance").alias("r")).collect():
-        radius[r.cell] = r.r
-    pairs = knn._needed(celled.filter("vec_id % 10 = 0"), how, radius, 5).count()
-    assert pairs < 0.3 * len(how.pivots) ** 2
+    celled = knn._celled(points, how).withColumn("row", F.col("vec_id"))
+    asked = celled.select("row", "vec_id", "v", "cell")
+    asked = asked.unionByName(asked.withColumn("row", F.col("row") + 1000))
+    per_block = knn._met(asked, celled, how.width, 1)
+    assert per_block.count() == 800  # one block a cell, and one answer of it for every query
