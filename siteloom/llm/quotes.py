@@ -6,9 +6,15 @@ message says itself. A passage belongs to the earlier message of its conversatio
 of its characters, the latest of several. A message answers the one that its outermost passage
 belongs to, else the message before it. Only messages with quotes are taken apart into lines.
 
-In the result a reply stands below the message it answers, before later answers to that. A null text
-has no words; a message of a null conversation or turn is left as it is, without a link. Rows that
-repeat a turn stand side by side, with positions of their own."""
+In the result a reply stands below the message it answers, before later answers to that. Turns that
+answer the one before form a branch; sizes and offsets of branches are added up by pointer doubling,
+in as many rounds as the logarithm of the deepest nesting, and siblings in buckets, so that no
+conversation meets in one task.
+
+A null text has no words; a message of a null conversation or turn is left as it is, without a link.
+Rows that repeat a turn stand side by side, with positions of their own. Of equal passages the latest
+earlier one is taken. Very long texts are taken apart by line, each within its row. An empty table
+gives no rows. Columns besides the four that are read do not go along, whatever their names."""
 
 from __future__ import annotations
 
@@ -112,7 +118,7 @@ def linked_passages(messages: DataFrame, quoted: DataFrame) -> DataFrame:
 def _previous(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, before``: the turn before every turn."""
     turns = messages.select("conv_id", "turn").distinct()
-    events = turns.crossJoin(messages.sparkSession.range(2).select(F.col("id").alias("kind")))
+    events = turns.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1))))
     found = running_max(
         events,
         ["conv_id"],
@@ -191,7 +197,7 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
 
 def _branch_offsets(branched: DataFrame, placed: DataFrame) -> DataFrame:
     """``conv_id, branch, offset``: messages that stand before a branch. Below a branch, those come
-    first that leave it last; a round resolves one level of branches."""
+    first that leave it last."""
     sizes = (
         placed.groupBy("conv_id", "turn")
         .agg(F.count("*").alias("n"))
@@ -206,23 +212,70 @@ def _branch_offsets(branched: DataFrame, placed: DataFrame) -> DataFrame:
     tree = cut_lineage(heads.join(parents, ["conv_id", "reply_to"], "left").join(
         sizes, ["conv_id", "branch"]
     ))
-    step = F.struct((-F.col("reply_to")).alias("leaves"), F.col("branch").alias("starts"))
-    done = tree.filter("parent is null").select("conv_id", "branch", F.array(step).alias("path"))
-    done = cut_lineage(done)
-    last = done
-    while True:
-        above = last.select("conv_id", F.col("branch").alias("parent"), F.col("path").alias("up"))
-        last = cut_lineage(
-            tree.join(above, ["conv_id", "parent"]).select(
-                "conv_id", "branch", F.concat("up", F.array(step)).alias("path")
-            )
-        )
-        if last.isEmpty():
-            break
-        done = done.unionByName(last)
-    order = Window.partitionBy("conv_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    below = _summed(tree.select("conv_id", "branch", F.col("parent").alias("up"), F.col("n").alias("value")), True)
+    nested = tree.filter("parent is not null").join(
+        below.select("conv_id", "branch", F.col("value").alias("size")), ["conv_id", "branch"]
+    )
+    # The complement turns the order round without overflow.
+    nested = cut_lineage(nested.withColumn("leaves", F.bitwise_not("reply_to")))
+    # Siblings that leave later, then those that leave at the same turn and start before.
+    by_turn = nested.groupBy("conv_id", "parent", "leaves").agg(F.sum("size").alias("size"))
+    by_turn = _sum_before(by_turn, ["conv_id", "parent"], "leaves", "size").drop("size")
+    beside = _sum_before(nested, ["conv_id", "parent", "leaves"], "branch", "size")
+    above = tree.select("conv_id", F.col("branch").alias("parent"), F.col("n").alias("own"))
+    steps = (
+        beside.join(by_turn.withColumnRenamed("before", "later"), ["conv_id", "parent", "leaves"])
+        .join(above, ["conv_id", "parent"])
+        .select("conv_id", "branch", F.col("parent").alias("up"), F.expr("own + later + before").alias("value"))
+    )
+    roots = tree.filter("parent is null").select(
+        "conv_id", "branch", F.col("parent").alias("up"), F.lit(0).cast("long").alias("value")
+    )
+    offsets = _summed(roots.unionByName(steps), False)
+    return offsets.withColumnRenamed("value", "offset")
+
+
+def _sum_before(df: DataFrame, keys: list[str], along: str, value: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over the rows of ``keys`` with less in ``along``,
+    which no two of them share."""
+    rows = df.withColumn("_bucket", F.floor(F.col(along) / TURNS))
+    all_before = Window.unboundedPreceding, -1
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*all_before)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(along).rowsBetween(*all_before)
+    buckets = (
+        rows.groupBy(*keys, "_bucket")
+        .agg(F.sum(value).alias("_sum"))
+        .withColumn("_earlier", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        .drop("_sum")
+    )
+    rows = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return (
-        done.join(tree.select("conv_id", "branch", "n"), ["conv_id", "branch"])
-        .withColumn("offset", F.coalesce(F.sum("n").over(order), F.lit(0)))
-        .select("conv_id", "branch", "offset")
+        rows.join(buckets, [*keys, "_bucket"])
+        .withColumn("before", F.col("_inside") + F.col("_earlier"))
+        .drop("_bucket", "_inside", "_earlier")
     )
+
+
+def _summed(tree: DataFrame, below: bool) -> DataFrame:
+    """``conv_id, branch, value``: sums of ``value`` over a branch and all below it, else over it and
+    all above it. ``up`` is the branch above, null at the top.
+
+    A round doubles the way that every pointer ``up`` spans: what is summed there joins what is
+    summed here. Branches whose pointer has passed the top take no part in joins on it."""
+    node = ["conv_id", "branch"]
+    now = cut_lineage(tree.select(*node, "up", "value"))
+    while not (going := now.filter("up is not null")).isEmpty():
+        there = now.select("conv_id", F.col("branch").alias("up"), F.col("up").alias("next"), F.col("value").alias("more"))
+        moved = going.join(there, ["conv_id", "up"])
+        still = now.filter("up is null")
+        if below:
+            gained = going.groupBy("conv_id", F.col("up").alias("branch")).agg(F.sum("value").alias("gain"))
+            moved = moved.select(*node, F.col("next").alias("up"), "value").unionByName(still)
+            moved = moved.join(gained, node, "left").withColumn(
+                "value", F.col("value") + F.coalesce("gain", F.lit(0))
+            ).drop("gain")
+        else:
+            moved = moved.select(*node, F.col("next").alias("up"), (F.col("value") + F.col("more")).alias("value"))
+            moved = moved.unionByName(still)
+        now = cut_lineage(moved.select(*node, "up", "value"))
+    return now.select(*node, "value")

@@ -1,4 +1,8 @@
+import random
+import re
+
 from siteloom.llm import quotes
+from siteloom.session import cut_lineage
 
 SCHEMA = "conv_id long, turn long, role string, text string, position string"
 
@@ -82,3 +86,80 @@ def test_long_conversations_are_numbered_in_buckets(spark, monkeypatch):
             at += below(c)
 
     walk(0)
+
+
+def plain_links(rows):
+    """``turn: (reply_to, quoted, position)`` of one conversation, compared turn by turn."""
+
+    def level(line):
+        return re.match(r"(?:[ \t]*>)*", line).group().count(">")
+
+    def units(text):
+        parts = [text, *re.split(r"\n\s*\n", text), *text.split("\n")]
+        return {re.sub(r"[\s!-/:-@\[-`{-~]+", " ", p.lower()).strip() for p in parts} - {""}
+
+    said, parent, quoted = {}, {}, {}
+    for turn, text in sorted(rows):
+        lines = text.split("\n")
+        runs = []
+        for at, line in enumerate(lines):
+            if level(line):
+                if not (runs and runs[-1][1] == at - 1 and runs[-1][0] == level(line)):
+                    runs.append([level(line), at, []])
+                runs[-1][1] = at
+                runs[-1][2].append(re.sub(r"^(?:[ \t]*>)+[ \t]?", "", line))
+        linked = []
+        for number, (depth, _, own) in enumerate(runs):
+            votes = {}
+            for unit in units("\n".join(own)):
+                earlier = [t for t in said if unit in said[t]]
+                if earlier:
+                    votes[max(earlier)] = votes.get(max(earlier), 0) + len(unit)
+            if votes:
+                linked.append((depth, number, max(votes, key=lambda t: (votes[t], t))))
+        quoted[turn] = bool(linked)
+        parent[turn] = min(linked)[2] if linked else max(said, default=None)
+        said[turn] = units("\n".join(x for x in lines if not level(x)))
+    place, stack = {}, [t for t in parent if parent[t] is None]
+    while stack:
+        at = stack.pop()
+        place[at] = len(place) + 1
+        stack += sorted((t for t in parent if parent[t] == at), reverse=True)
+    return {t: (parent[t], quoted[t], place[t]) for t in parent}
+
+
+def compared(spark, threads):
+    got = run(spark, [(c, t, "u", text) for c, rows in threads.items() for t, text in rows])
+    for c, rows in threads.items():
+        own = {r.turn: (r.reply_to, r.quoted, r.position) for r in got if r.conv_id == c}
+        assert own == plain_links(rows)
+
+
+def test_random_threads_against_plain_code(spark, monkeypatch):
+    """Nested, repeated and clashing quotes: few sentences, said again and again."""
+    monkeypatch.setattr(quotes, "TURNS", 7)
+    rng = random.Random(9)
+    threads = {}
+    for c in range(12):
+        rows = []
+        for turn in range(rng.choice([1, 5, 30, 60])):
+            lines = [f"Sentence {rng.randrange(40)} of us." for _ in range(rng.choice([1, 1, 2, 3]))]
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                if rows:
+                    source = rng.choice(rows)[1].split("\n")
+                    cut = source[: rng.randrange(1, len(source) + 1)]
+                    lines[0:0] = ["> " + x for x in cut] + rng.choice([[], [""], ["So."]])
+            rows.append((turn * 3, "\n".join(lines)))
+        threads[c] = rows
+    compared(spark, threads)
+
+
+def test_deep_and_wide_threads(spark, monkeypatch):
+    """Every turn quotes the one two before, or all quote the first: rounds as the logarithm of the
+    depth."""
+    written = []
+    monkeypatch.setattr(quotes, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    deep = [(t, (f"> says {t - 2}\n" if t > 1 else "") + f"says {t}") for t in range(200)]
+    wide = [(t, ("> says 0\n" if t else "") + f"says {t}") for t in range(200)]
+    compared(spark, {1: deep, 2: wide})
+    assert len(written) < 2 * 8 + 12
