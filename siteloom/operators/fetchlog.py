@@ -183,11 +183,13 @@ def robots_index(rules: DataFrame, user_agent: str) -> DataFrame:
         .filter("n_rules > 0 and (everybody or named)")
         .groupBy("host_key")
         .agg(F.min(F.struct("everybody", "entry")).alias("x"))
-        .select("host_key", "x.entry")
+        .select("host_key", F.col("x.entry").alias("chosen"))
     )
+    # A row per host: as many as there are files, whatever the planner makes of their size.
     return (
         rules.filter(F.col("name").isin("allow", "disallow"))
-        .join(chosen, ["host_key", "entry"], "left_semi")
+        .join(chosen.hint("merge"), "host_key")
+        .filter(F.col("entry") == F.col("chosen"))
         .groupBy("host_key", F.col("arg").alias("prefix"))
         .agg(F.min(F.struct("n", ((F.col("name") == "allow") | (F.col("arg") == "")).alias("allow"))).alias("x"))
         .select("host_key", "prefix", "x.n", "x.allow")
@@ -198,7 +200,8 @@ def robots_decisions(urls: DataFrame, rules: DataFrame, user_agent: str) -> Data
     """Add ``allowed``: the first rule whose prefix fits decides, and no rule means allowed.
 
     A URL looks itself up in the index by those prefixes of its path that have a length its host
-    has rules of. Hosts and prefixes are spread over ``SALTS`` keys, as one may have most of the URLs."""
+    has rules of. Hosts and prefixes are spread over ``SALTS`` keys, as one may have most of the URLs. The planner
+    takes the copies for as small as the files they come from, so the joins are told to merge."""
     index = robots_index(rules, user_agent)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     lengths = index.groupBy("host_key").agg(F.collect_set(F.length("prefix")).alias("lengths"))
@@ -208,18 +211,18 @@ def robots_decisions(urls: DataFrame, rules: DataFrame, user_agent: str) -> Data
         .withColumn("host_key", F.regexp_extract("url", r"^([^:/?#]+://[^/?#]*)", 1))
         .withColumn("robots_path", F.coalesce(F.nullif(target, F.lit("")), F.lit("/")))
         .withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
-        .join(lengths.withColumn("salt", salts), ["host_key", "salt"])
+        .join(lengths.withColumn("salt", salts).hint("merge"), ["host_key", "salt"])
         .withColumn("length", F.explode("lengths"))
         .filter(F.col("length") <= F.length("robots_path"))
         .withColumn("prefix", F.expr("left(robots_path, length)"))
     )
     blocked = (
-        asked.join(index.withColumn("salt", salts), ["host_key", "prefix", "salt"])
+        asked.join(index.withColumn("salt", salts).hint("merge"), ["host_key", "prefix", "salt"])
         .groupBy("url").agg(F.min(F.struct("n", "allow")).alias("x"))
         .filter("not x.allow")
         .select("url", F.lit(False).alias("allowed"))
     )
-    return urls.join(blocked, "url", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+    return urls.join(blocked.hint("merge"), "url", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
 def fetch_outcomes(

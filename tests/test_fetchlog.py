@@ -146,3 +146,16 @@ def test_polite_starts(spark):
         start = max(ready, last.get(host, -10**9) + 500)
         last[host] = start
         assert starts[i] == start
+
+
+def test_robots_of_many_hosts_are_not_broadcast(spark):
+    files = spark.createDataFrame(
+        [(f"http://h{i}", 200, "User-agent: *\nDisallow: /a\nAllow: /b\n") for i in range(50)],
+        "host_key string, status int, body string",
+    )
+    urls = spark.createDataFrame([(f"http://h{i}/{p}",) for i in range(60) for p in "abc"], "url string")
+    judged = fetchlog.robots_decisions(urls, fetchlog.robots_rules(files), "x")
+    # Tables this small are broadcast wherever the planner may choose.
+    assert "Broadcast" not in judged._jdf.queryExecution().executedPlan().toString()
+    blocked = {r.url for r in judged.filter("not allowed").collect()}
+    assert blocked == {f"http://h{i}/a" for i in range(50)}
