@@ -10,7 +10,7 @@ from siteloom.operators import daily
 from siteloom.operators.extract import extract_pages
 from siteloom.operators.profile import build_profiles
 from siteloom.operators.report import page_counts, nested_reports, page_records, status_rollup
-from siteloom.plans.catalog import _scratch
+from siteloom.plans.catalog import QUERIES, _scratch
 from siteloom.sources import store
 from siteloom.streaming import feed
 
@@ -223,3 +223,16 @@ def test_sketches_of_days_add_up(spark):
     assert daily.span_figures(days, [], [0.5]).first().visits == 40_000
     assert daily.span_figures(days, ["site"], [0.5], F.lit(False)).count() == 0
     days.unpersist()
+
+
+def test_feed_queries_read_files_and_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"https://s.test/{i}", f"<title>t{i}</title>") for i in range(6)], feed.PAGE_FEED_SCHEMA)
+    for kind, parts in (("folder", 3), ("file", 1)):
+        folder = tmp_path / kind
+        rows.repartition(parts).write.parquet(str(folder / "pages.parquet"))
+        if kind == "file":
+            (folder / "pages.parquet").rename(folder / "written")
+            next((folder / "written").glob("part-*")).rename(folder / "pages.parquet")
+            (folder / "other.parquet").write_bytes((folder / "pages.parquet").read_bytes())
+        found = QUERIES["feed_extract"](spark, str(folder))
+        assert sorted((r.page_id, r.title) for r in found.collect()) == [(i, f"t{i}") for i in range(6)]
