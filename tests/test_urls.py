@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from siteloom.functions import classify as C
 from siteloom.functions import urls as U
+from siteloom.operators.links import with_canonical_url
 
 CANONICAL = [
     ("/team", "https://mill.test/", "https://mill.test/team"),
@@ -141,3 +144,35 @@ def test_content_decides_only_for_other(spark):
     cols = [F.col(c) for c in ("url", "title", "h1", "guess")]
     for r in df.select("want", C.classify_content(*cols).alias("c")).collect():
         assert r.c == r.want
+
+
+PIECES = [
+    "..", ".", "a", "B-c", "...", ".x", "p;v=1", "", "a:b", "%zz", "é", "x y", "a..", "\n", "//", "http://H.test", "http://h.test",
+    "https://h-1.test/a/b", "https://a.b.test:443", "https://.", "?", "?a=1", "?b=2&a=1", "?a=2&a-b=1&a=1", "?utm_source=x",
+    "?a=1&UTM_Source=y&b=", "?a", "?=1", "?a=1&&b=2", "?a=b=c", "?x=%41", "#f", "mailto:x", "\t", "?c=/../",
+]
+BASES = [
+    "http://h.test/a/b/c;v=1?q=0", "https://h.test", "http://h-2.test/x/y/z", "https://h.test/a/../b/", "https://h.test/a//b",
+    "http://h.test:80/a/b", "https://H.test/a", "https://h.test/a:/b#x?y", "https://h.test/a?b/c/d", None, "", "/rel",
+    "https://h.test/.a/b/",
+]
+
+
+def test_common_urls_agree_with_the_rule(spark):
+    """Random URLs: what the compiled steps give is what the whole rule gives, and common ones are not left to it."""
+    chance = random.Random(3)
+
+    def url():
+        return "".join(chance.choice(PIECES) + chance.choice(["", "/"]) for _ in range(chance.randint(0, 5)))
+
+    rows = [(url(), chance.choice(BASES)) for _ in range(6000)]
+    common = ["../c", "./c?utm_source=m&b=2&a=1", "/s/#top", "../../x/./y", "https://m.test/a/../b?x="]
+    rows += [(u, "http://m.test/a/b/d?x=1") for u in common]
+    df = spark.createDataFrame(rows, "url string, base string")
+    for base in (None, "base"):
+        both = with_canonical_url(U.with_common_url(df, "url", base, "common"), "url", base)
+        got = both.withColumn("rule", U.canonical_url("url", base)).collect()
+        assert all(r.canonical_url == r.rule for r in got)
+        assert all(r.common is None or r.common == r.rule for r in got)
+        if base:
+            assert {r.url for r in got if r.common and r.base == "http://m.test/a/b/d?x=1"} == set(common)
