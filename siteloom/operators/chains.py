@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.functions import urls as U
 from siteloom.operators.fetchlog import retry_choice
+from siteloom.operators.links import with_canonical_url
 from siteloom.session import cut_lineage
 
 
@@ -52,16 +52,23 @@ def _followed(links: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame | Non
 
 
 def _loop_heads(links: DataFrame) -> DataFrame:
-    """``node``: the smallest node of every loop. All chains of ``links`` lead into one."""
+    """``node``: the smallest node of every loop. All chains of ``links`` lead into one.
+
+    Steps and the smallest node met on them are doubled until no chain meets a smaller one: as many rounds as the
+    logarithm of the longest chain, however many chains there are. From then on the smallest node never falls along a
+    chain, so around a loop it is the same everywhere; it is the head if it is met again behind itself."""
     state = cut_lineage(links.select("node", F.col("next").alias("at"), F.col("node").alias("least")))
-    # Past as many steps as there are nodes, every chain is on its loop and has been all around it.
-    for _ in range(max(1, state.count()).bit_length()):
+    while True:
         far = state.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("least").alias("far_least"))
-        state = cut_lineage(
-            state.join(far, "at").select("node", F.col("far").alias("at"), F.least("least", "far_least").alias("least"))
+        stepped = cut_lineage(
+            state.join(far, "at").select(
+                "node", F.col("far").alias("at"), F.least("least", "far_least").alias("least"), "far_least",
+                (F.col("far_least") < F.col("least")).alias("fell"),
+            )
         )
-    on_loop = state.select(F.col("at").alias("node")).distinct()
-    return state.join(on_loop, "node", "left_semi").select(F.col("least").alias("node")).distinct()
+        if stepped.filter("fell").isEmpty():
+            return stepped.filter("node = least and node = far_least").select("node")
+        state = stepped.drop("far_least", "fell")
 
 
 def follow(links: DataFrame, paths: bool = False) -> DataFrame:
@@ -126,10 +133,12 @@ def redirect_chains(attempts: DataFrame, max_attempts: int | None = None, max_by
     ``content_type``, ``ok``, ``error`` and ``attempts`` of the final URL; ``elapsed_ms`` adds up the whole chain. A loop is an
     error of its own. A final URL that the log does not hold was never reached."""
     # Redirects end the matter: they are judged before type and size. Those that lead to no page are errors.
-    log = attempts.select(
-        "url", "attempt", "status", "content_type", "body_bytes", "exception", "message", "elapsed_ms",
-        U.canonical_url("location", "url").alias("location"),
-    )
+    log = with_canonical_url(
+        attempts.select(
+            "url", "attempt", "status", "content_type", "body_bytes", "exception", "message", "elapsed_ms", "location"
+        ),
+        "location", "url",
+    ).drop("location").withColumnRenamed("canonical_url", "location")
     chosen = retry_choice(log, max_attempts, max_bytes, redirects=True)
     own = cut_lineage(chosen.withColumn("to", F.when(F.col("redirected"), F.col("location"))))
     ends = follow(

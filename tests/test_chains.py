@@ -96,3 +96,26 @@ def test_bodies_of_chosen_attempts(spark):
     two = ("u", 2, 200, "text/html", 1, None, None, 4, "body", "v")
     rows = fetchlog.retry_reduction(spark.createDataFrame([one, two, two], schema)).collect()
     assert [tuple(r) for r in rows] == [("u", 2, True, 200, None, "v", "body", "text/html", 4)]
+
+
+def test_rounds_follow_the_longest_loop(spark, monkeypatch):
+    """Many short loops take no more rounds than a few."""
+    written, cut = [], chains.cut_lineage
+    monkeypatch.setattr(chains, "cut_lineage", lambda df: written.append(df) or cut(df))
+
+    def tables(loops):
+        written.clear()
+        links = [(f"n{i}-{k}", f"n{i}-{(k + 1) % 3}", 1) for i in range(loops) for k in range(3)]
+        assert followed(spark, links) == plain(links)
+        return len(written)
+
+    assert tables(300) == tables(3)
+
+
+def test_loop_heads_are_on_loops(spark):
+    """Tails hold smaller nodes than the loop that they lead into; loops of all lengths, and of one node."""
+    links = [("a0", "a1", 1), ("a1", "z5", 2), ("z5", "m", 3), ("m", "z9", 4), ("z9", "z5", 5), ("s", "s", 6), ("b", "s", 7)]
+    for n in (2, 4, 7, 8, 9):
+        links += [(f"l{n}-{k}", f"l{n}-{(k + 1) % n}", 1) for k in range(n)]
+        links += [(f"a{n}-{k}", f"a{n}-{k + 1}" if k < n else f"l{n}-1", 1) for k in range(n + 1)]
+    assert followed(spark, links) == plain(links)
