@@ -87,9 +87,11 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def replace_parts(path: str, rows: DataFrame) -> None:
-    """Write ``rows`` (with ``part``) over the partitions they have."""
+    """Write ``rows`` (with ``part``) over the partitions they have. Rows of one partition come together first, large
+    partitions in several pieces: every task would else leave a file in each of them."""
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", PART)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(PART)
         .parquet(path)

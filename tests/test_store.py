@@ -236,3 +236,13 @@ def test_feed_queries_read_files_and_folders(spark, tmp_path):
             (folder / "other.parquet").write_bytes((folder / "pages.parquet").read_bytes())
         found = QUERIES["feed_extract"](spark, str(folder))
         assert sorted((r.page_id, r.title) for r in found.collect()) == [(i, f"t{i}") for i in range(6)]
+
+
+def test_merges_leave_few_files(spark, tmp_path):
+    """As many files as partitions, however many tasks the rows come from."""
+    path = str(tmp_path / "merged")
+    for at in (1, 2):
+        rows = spark.range(0, 2000, 1, 40).selectExpr("concat('s', id) as website", f"{at} as seen_at")
+        store.merge_table(path, rows, ["website"])
+    assert len(list((tmp_path / "merged").rglob("*.parquet"))) <= store.PARTS
+    assert store.read_table(spark, path).groupBy("seen_at").count().collect() == [(2, 2000)]
