@@ -18,6 +18,11 @@ from siteloom.operators.links import with_canonical_url
 from siteloom.session import cut_lineage
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Rounds write URLs above all, which fill much less room this way."""
+    return cut_lineage(df, compression="zstd")
+
+
 def _followed(links: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame | None]:
     """``node, end, hops, cost`` (and ``path``) of the chains that end, and the links of those that do not.
 
@@ -25,12 +30,12 @@ def _followed(links: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame | Non
     path = [F.array("node").alias("path")] if paths else []
     state = links.select("node", F.col("next").alias("at"), F.lit(1).cast("bigint").alias("hops"), "cost", *path)
     ended: list[DataFrame] = []
-    still, before = cut_lineage(state), -1
+    still, before = _stored(state), -1
     while (left := still.count()) not in (0, before):
         before = left
         far = reduce(DataFrame.unionByName, [*ended, still.withColumn("done", F.lit(False))])
         more = [F.concat("path", F.coalesce("far_path", F.array().cast("array<string>"))).alias("path")] if paths else []
-        stepped = cut_lineage(
+        stepped = _stored(
             still.join(
                 far.withColumnsRenamed({"at": "far", "node": "at", **{c: f"far_{c}" for c in ("hops", "cost", "path", "done")}}),
                 "at", "left",
@@ -57,10 +62,10 @@ def _loop_heads(links: DataFrame) -> DataFrame:
     Steps and the smallest node met on them are doubled until no chain meets a smaller one: as many rounds as the
     logarithm of the longest chain, however many chains there are. From then on the smallest node never falls along a
     chain, so around a loop it is the same everywhere; it is the head if it is met again behind itself."""
-    state = cut_lineage(links.select("node", F.col("next").alias("at"), F.col("node").alias("least")))
+    state = _stored(links.select("node", F.col("next").alias("at"), F.col("node").alias("least")))
     while True:
         far = state.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("least").alias("far_least"))
-        stepped = cut_lineage(
+        stepped = _stored(
             state.join(far, "at").select(
                 "node", F.col("far").alias("at"), F.least("least", "far_least").alias("least"), "far_least",
                 (F.col("far_least") < F.col("least")).alias("fell"),
@@ -85,13 +90,13 @@ def follow(links: DataFrame, paths: bool = False) -> DataFrame:
         .groupBy("node").agg(F.min(F.struct("next", cost.cast("bigint").alias("cost"))).alias("x"))
         .select("node", "x.next", F.coalesce("x.cost", F.lit(0)).alias("cost"))
     )
-    stored = cut_lineage(single)
+    stored = _stored(single)
     straight, rest = _followed(stored, paths)
     straight = straight.withColumn("looped", F.lit(False))
     if rest is None:
         return straight
-    rest = cut_lineage(rest)
-    heads = cut_lineage(_loop_heads(rest))
+    rest = _stored(rest)
+    heads = _stored(_loop_heads(rest))
     cut, _ = _followed(rest.join(heads, "node", "left_anti"), paths)
     none = [F.array().cast("array<string>").alias("path")] if paths else []
     own = heads.select(
@@ -107,16 +112,17 @@ def discovery_paths(pages: DataFrame) -> DataFrame:
     links from there; ``known`` tells whether the root is one of the pages. Pages that name each other in a ring are
     ``looped``, their root is the smallest of the ring. A page without a discoverer is its own root. A URL may be a
     page of several sites."""
-    key = F.struct("site", "url")
+    node = F.to_json(F.struct("site", "url")).alias("node")
     links = pages.filter("discovered_from is not null").select(
-        F.to_json(key).alias("node"), F.to_json(F.struct("site", F.col("discovered_from").alias("url"))).alias("next")
+        node, F.to_json(F.struct("site", F.col("discovered_from").alias("url"))).alias("next")
     )
-    ends = follow(links)
-    found = pages.select("site", "url", F.to_json(key).alias("node")).distinct().join(ends, "node", "left")
-    root = F.coalesce("end", "node")
-    known = pages.select(F.to_json(key).alias("end"), F.lit(True).alias("is_known")).distinct()
-    return found.withColumn("end", root).join(known, "end", "left").select(
-        "site", "url",
+    # A node says its site and URL, so nothing else is moved with it.
+    own = pages.select(node).distinct()
+    found = own.join(follow(links), "node", "left").withColumn("end", F.coalesce("end", "node"))
+    known = own.select(F.col("node").alias("end"), F.lit(True).alias("is_known"))
+    return found.join(known, "end", "left").select(
+        F.get_json_object("node", "$.site").alias("site"),
+        F.get_json_object("node", "$.url").alias("url"),
         F.get_json_object("end", "$.url").alias("root"),
         F.coalesce("hops", F.lit(0)).cast("bigint").alias("hops"),
         F.coalesce("looped", F.lit(False)).alias("looped"),
@@ -140,7 +146,7 @@ def redirect_chains(attempts: DataFrame, max_attempts: int | None = None, max_by
         "location", "url",
     ).drop("location").withColumnRenamed("canonical_url", "location")
     chosen = retry_choice(log, max_attempts, max_bytes, redirects=True)
-    own = cut_lineage(chosen.withColumn("to", F.when(F.col("redirected"), F.col("location"))))
+    own = _stored(chosen.withColumn("to", F.when(F.col("redirected"), F.col("location"))))
     ends = follow(
         own.filter("to is not null").select(F.col("url").alias("node"), F.col("to").alias("next"), F.col("elapsed_ms").alias("cost")),
         paths=True,

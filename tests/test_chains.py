@@ -101,7 +101,7 @@ def test_bodies_of_chosen_attempts(spark):
 def test_rounds_follow_the_longest_loop(spark, monkeypatch):
     """Many short loops take no more rounds than a few."""
     written, cut = [], chains.cut_lineage
-    monkeypatch.setattr(chains, "cut_lineage", lambda df: written.append(df) or cut(df))
+    monkeypatch.setattr(chains, "cut_lineage", lambda df, **how: written.append(df) or cut(df, **how))
 
     def tables(loops):
         written.clear()
@@ -119,3 +119,14 @@ def test_loop_heads_are_on_loops(spark):
         links += [(f"l{n}-{k}", f"l{n}-{(k + 1) % n}", 1) for k in range(n)]
         links += [(f"a{n}-{k}", f"a{n}-{k + 1}" if k < n else f"l{n}-1", 1) for k in range(n + 1)]
     assert followed(spark, links) == plain(links)
+
+
+def test_discovery_keeps_odd_texts(spark):
+    """Sites and URLs that JSON must escape, and pages without one of them."""
+    pages = [('s"', "a\\b", None), ('s"', "t\tü\n", "a\\b"), ("", "", None), (None, "x", "y"), ("s", None, "x"), (None, None, None)]
+    df = spark.createDataFrame(pages, "site string, url string, discovered_from string")
+    got = {(r.site, r.url): (r.root, r.hops, r.known) for r in chains.discovery_paths(df).collect()}
+    assert got == {
+        ('s"', "a\\b"): ("a\\b", 0, True), ('s"', "t\tü\n"): ("a\\b", 1, True), ("", ""): ("", 0, True),
+        (None, "x"): ("y", 1, False), ("s", None): ("x", 1, False), (None, None): (None, 0, True),
+    }
