@@ -5,6 +5,8 @@ import pyarrow as pa
 from siteloom.plans import corpus
 from siteloom.plans.catalog import QUERIES, _candidates
 from siteloom.sources import html, tables
+from siteloom.session import BucketedTable
+from siteloom.sources.tables import TASKS_PER_CORE
 
 TABLES = {
     "region": [("r_regionkey int, r_name string", [(0, "ASIA")])],
@@ -60,3 +62,31 @@ def test_variants_and_trees_read_a_stored_copy(spark, tmp_path):
         scans = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         # The lines of orders are read before, into the copy.
         assert "l_partkey" not in scans
+
+
+def test_shop_links_are_dealt(spark, tmp_path):
+    """Products of a small table come out of many tasks, one row per URL; without a key there is no URL."""
+    spark.createDataFrame([(1, 7, "F"), (2, 7, "O")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    lines = [(1, 1, 5, 3), (2, 1, 5, 3), (2, 2, 6, 3), (1, 2, 5, None), (2, 3, 5, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    found = corpus.shop_links(spark, str(tmp_path), ["help"])
+    assert found.rdd.getNumPartitions() == TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    rows = found.filter("ord = 1").collect()
+    shop = "https://shop-7.test/"
+    assert sorted((r.url or "", r.href) for r in rows) == [
+        ("", "/help/part-5"), (f"{shop}products/part-5?supplier=3", "/help/part-5"),
+        (f"{shop}products/part-6?supplier=3", "/help/part-6"),
+    ]
+
+
+def test_edges_are_told_apart_in_their_buckets(spark):
+    stored = BucketedTable(spark, "edges_test", ["url"])
+    try:
+        stored.add(spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), (None, "c"), (None, "c")], "url string, to string"), distinct=True)
+        assert stored.read().count() == 3
+    finally:
+        stored.forget()
