@@ -1,5 +1,7 @@
 """What keeps large tables from ending in one task or in one worker's memory."""
 
+import cProfile
+
 import pyarrow as pa
 
 from siteloom.plans import corpus
@@ -56,6 +58,18 @@ def test_outlines_leave_the_worker_in_short_batches():
     assert max(sizes) < 21_000
 
 
+def test_outlines_take_few_calls_an_element():
+    """Most of the time of supplier pages is spent here, call by call."""
+    page = "<div class='card x'><h3>Name &amp; more</h3><a href='/kits/1'>See  kit</a><p>Text</p></div>" * 200
+    profile = cProfile.Profile()
+    profile.enable()
+    elems, _ = html._Outline().outline(page)
+    profile.disable()
+    assert len(elems) == 801  # and the body
+    calls = sum(entry.callcount for entry in profile.getstats())
+    assert calls < 45 * len(elems)
+
+
 def test_variants_and_trees_read_a_stored_copy(spark, tmp_path):
     folder = _tables(spark, tmp_path)
     for name in ("url_variants", "discovery_tree"):
