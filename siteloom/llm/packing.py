@@ -70,11 +70,21 @@ class WordIds:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.parts) + len(words) > CACHE:
-            self.parts.clear()
-        folded = {w: w.lower() for w in words}
-        pieces = {w: [f] if f.isalpha() else self.split(f) for w, f in folded.items()}
-        new = list({p for own in pieces.values() for p in own if p not in self.parts})
+        # A word of letters only is one piece.
+        split, parts, known = self.split, self.parts, self.known
+        if len(parts) + len(words) > CACHE:
+            parts.clear()
+        whole, mixed, needed = [], [], set()
+        for word in words:
+            folded = word.lower()
+            if folded.isalpha():
+                whole.append((word, folded))
+                needed.add(folded)
+            else:
+                own = split(folded)
+                mixed.append((word, own))
+                needed.update(own)
+        new = list(needed.difference(parts))
         if new:
             ids = self.words.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
             flat = np.array(ids, dtype="<u4")
@@ -83,13 +93,16 @@ class WordIds:
             if len(cuts) != len(new):
                 raise ValueError("a word without an end in the vocabulary")
             for piece, cut in zip(new, (cuts * 4).tolist(), strict=True):
-                self.parts[piece] = raw[start:cut]
+                parts[piece] = raw[start:cut]
                 start = cut
-        for word, own in pieces.items():
-            self.known[word] = b"".join([self.parts[p] for p in own])
+        for word, folded in whole:
+            known[word] = parts[folded]
+        for word, own in mixed:
+            known[word] = b"".join([parts[p] for p in own])
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        ids_of = self.known.__getitem__
         for text in texts:
             text = text or ""
             if not text.isascii():
@@ -99,13 +112,14 @@ class WordIds:
                 yield np.array(ids, dtype="<u4").tobytes()
                 continue
             words = text.split()
-            missing = {w for w in words if w not in self.known}
+            distinct = set(words)
+            missing = distinct.difference(self.known)
             if missing and len(self.known) + len(missing) > CACHE:
                 self.known.clear()
-                missing = set(words)
+                missing = distinct
             if missing:
                 self._learn(missing)
-            yield b"".join([self.known[w] for w in words])
+            yield b"".join(map(ids_of, words))
 
 
 _loaded: dict[str, WordIds] = {}

@@ -28,6 +28,29 @@ def test_forgetting_words_changes_nothing(texts, monkeypatch):
     assert list(packing.WordIds(PATH)(texts)) == whole
 
 
+def test_words_of_letters_are_not_cut(texts):
+    """Only words that may hold more than one piece go through the pattern, and each once."""
+    words = packing.WordIds(PATH)
+    asked, cut = [], words.split
+    words.split = lambda word: asked.append(word) or cut(word)
+    plain = Tokenizer.from_file(PATH)
+    given = ["Alpha beta, Alpha's 12 beta,", "alpha ÉTÉ été x1"]
+    for text, raw in zip(given * 2, words(given * 2), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == ["12", "alpha's", "beta,", "x1"]
+    # What a text lacks is told by sets, not word by word.
+    lookups = []
+
+    class Known(dict):
+        def __contains__(self, word):
+            lookups.append(word)
+            return super().__contains__(word)
+
+    words.known = Known(words.known)
+    assert len(list(words(["alpha beta, " * 500]))) == 1
+    assert len(lookups) <= 2
+
+
 def check(bins, lengths, size):
     assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
     assert all(sum(lengths[i] for i in b) <= size for b in bins)
