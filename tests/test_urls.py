@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siteloom import constants as K
 from siteloom.functions import classify as C
 from siteloom.functions import urls as U
 from siteloom.operators.links import with_canonical_url
@@ -176,3 +177,12 @@ def test_common_urls_agree_with_the_rule(spark):
         assert all(r.common is None or r.common == r.rule for r in got)
         if base:
             assert {r.url for r in got if r.common and r.base == "http://m.test/a/b/d?x=1"} == set(common)
+
+
+def test_a_path_is_worked_out_once_for_all_categories(spark):
+    rows = spark.createDataFrame([("https://a.test/products/x", "More")], "url string, anchor string")
+    typed = rows.select(C.classify_url(F.col("url"), F.col("anchor")).alias("c"))
+    plan = typed._jdf.queryExecution().analyzed().toString()
+    assert typed.first().c == "products"
+    # The scan and one use, not one for every category.
+    assert plan.count("url#") < len(K.CATEGORY_KEYWORDS)
