@@ -68,7 +68,6 @@ class WordIds:
             self.ends[number] = token.endswith("</w>")
         self.parts: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         # A word of letters only is one piece.
@@ -103,6 +102,7 @@ class WordIds:
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        ids_of = self.known.__getitem__
         for text in texts:
             text = text or ""
             if not text.isascii():
@@ -114,16 +114,12 @@ class WordIds:
             words = text.split()
             distinct = set(words)
             missing = distinct.difference(self.known)
-            if missing and len(self.known) + len(missing) > CACHE // 2:
-                # Words still in use come back from the older half, so only the others are learnt anew.
-                self.older, self.known = self.known, {}
+            if missing and len(self.known) + len(missing) > CACHE:
+                self.known.clear()
                 missing = distinct
             if missing:
-                again = self.older.keys() & missing
-                for word in again:
-                    self.known[word] = self.older[word]
-                self._learn(missing - again)
-            yield b"".join(map(self.known.__getitem__, words))
+                self._learn(missing)
+            yield b"".join(map(ids_of, words))
 
 
 _loaded: dict[str, WordIds] = {}
