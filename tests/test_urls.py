@@ -186,3 +186,20 @@ def test_a_path_is_worked_out_once_for_all_categories(spark):
     assert typed.first().c == "products"
     # The scan and one use, not one for every category.
     assert plan.count("url#") < len(K.CATEGORY_KEYWORDS)
+
+
+def test_gates_take_one_search(spark):
+    """Both gates of a URL are one pattern; the same authority is told without one."""
+    chance = random.Random(4)
+    words = [*K.SKIP_PATH_KEYWORDS, *K.NON_HTML_EXTENSIONS, "/", "x", "?", "#", ".", "P", "\n"]
+    urls = ["https://m.test/" + "".join(chance.choice(words) for _ in range(chance.randint(0, 4))) for _ in range(3000)]
+    roots = ["https://m.test/a", "http://www.m.test:80/", "https://m.test?x", "m.test", "//M.test/", "https://o.test/", None]
+    df = spark.createDataFrame([(u, chance.choice(roots)) for u in [*urls, "", "m.test", None]], "url string, root string")
+    url, root = F.col("url"), F.col("root")
+    got = df.select(
+        U.is_worth_reading(url).alias("worth"), (~U.has_non_html_extension(url) & ~U.is_skip_path(url)).alias("rule"),
+        U.is_same_site(url, root).alias("same"), (U.site_key_of(url) == U.site_key_of(root)).alias("key"),
+    )
+    assert all(r.worth == r.rule and r.same == r.key for r in got.collect())
+    plan = df.select(U.is_worth_reading(url).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("regexp_extract") == 1
