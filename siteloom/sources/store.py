@@ -108,8 +108,9 @@ def with_part(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn(PART, F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
 
 
-def merge_table(path: str, new: DataFrame, keys: list[str], version: str = "seen_at") -> None:
-    """Merge ``new`` into the table at ``path``, latest wins; the first merge creates it."""
+def merge_table(path: str, new: DataFrame, keys: list[str], version: str = "seen_at") -> DataFrame:
+    """Merge ``new`` into the table at ``path``, latest wins; the first merge creates it. Returns ``new`` as it was
+    written aside, with its partitions."""
     new = cut_lineage(with_part(new, keys[0]))
     stored = _stored(new.sparkSession, path)
     merged = new
@@ -118,6 +119,7 @@ def merge_table(path: str, new: DataFrame, keys: list[str], version: str = "seen
         # Written aside first, as a partition cannot be read while it is replaced.
         merged = cut_lineage(latest_wins(old, new, [*keys, PART], version))
     replace_parts(path, merged)
+    return new
 
 
 # --- JSON -----------------------------------------------------------------------------

@@ -81,8 +81,9 @@ def refresh_profiles(
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
-        store.merge_table(extract_path, new, ["site", "url"], "batch")
-        touched = store.with_part(batch.select("site").distinct(), "site")
+        # Pages are read once: the rows merged come back from where they were written.
+        merged = store.merge_table(extract_path, new, ["site", "url"], "batch")
+        touched = cut_lineage(merged.select("site", store.PART).distinct())
         pages = store.touched_parts(spark.read.parquet(extract_path), touched)
         facts = store.with_part(company_facts(profile_facts(pages)), "website")
         # A row without a field in every partition, so that one left without facts is replaced too.

@@ -246,3 +246,22 @@ def test_merges_leave_few_files(spark, tmp_path):
         store.merge_table(path, rows, ["website"])
     assert len(list((tmp_path / "merged").rglob("*.parquet"))) <= store.PARTS
     assert store.read_table(spark, path).groupBy("seen_at").count().collect() == [(2, 2000)]
+
+
+def test_a_batch_of_the_feed_is_extracted_once(spark):
+    """Merging, the sites touched and the marks of their partitions go by the rows as they were written."""
+    folder, extract, table, state = (_scratch(spark, n) for n in ("once", "once-ex", "once-pr", "once-st"))
+    schema = "page_id long, site string, seq long, depth int, url string, html string"
+    pages = [(i, f"https://m{i % 3}.test/", i, 1, f"https://m{i % 3}.test/p{i}", f"<title>Mill {i}</title>") for i in range(12)]
+    spark.createDataFrame(pages, schema).coalesce(1).write.parquet(folder)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(html):
+        read.add(1)
+        return html
+
+    stream = spark.readStream.schema(schema).parquet(folder).withColumn("html", noted.asNondeterministic()("html"))
+    feed.refresh_profiles(extract_pages(stream), extract, table, state)
+    assert read.value == len(pages)
+    assert store.read_table(spark, table).filter("field is not null").select("website").distinct().count() == 3
