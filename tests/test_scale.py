@@ -4,6 +4,9 @@ import cProfile
 
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
+from siteloom.operators import frontier
 from siteloom.plans import corpus
 from siteloom.plans.catalog import QUERIES, _candidates
 from siteloom.sources import html, tables
@@ -104,3 +107,39 @@ def test_edges_are_told_apart_in_their_buckets(spark):
         assert stored.read().count() == 3
     finally:
         stored.forget()
+
+
+def test_a_tree_is_read_in_its_buckets(spark, monkeypatch):
+    """Pages and parents are not shuffled again; what is stored was grouped where it was dealt."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tree = BucketedTable(spark, "tree_test", ["site", "url"])
+    dealt = []
+
+    def least(rows):
+        found = rows.groupBy("site", "url").agg(F.min(F.struct("depth", "discovered_from")).alias("f"))
+        dealt.append(found._jdf.queryExecution().executedPlan().toString())
+        return found.select("site", "url", "f.*")
+
+    edges = [("s", "b", 2, "c"), ("s", "b", 1, "a"), ("s", "c", 1, "a"), ("s", "d", 2, "gone")]
+    schema = "site string, url string, depth int, discovered_from string"
+    try:
+        tree.add(spark.createDataFrame(edges, schema), reduced=least)
+        # A start that is there twice counts twice, and so does what it led to.
+        tree.add(spark.createDataFrame([("s", "a", 0, None)] * 2, schema))
+        stats = frontier.discovery_tree(tree.read())
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        # Children by their parent, pages by their parent, and the result.
+        assert plan.count("Exchange hashpartitioning") == 3 and dealt[0].count("Exchange") == 1
+        got = {r.depth: tuple(r)[2:] for r in stats.collect()}
+        assert got == {0: (2, 2, 2, 0), 1: (4, 0, 0, 0), 2: (1, 0, 0, 1)}
+    finally:
+        tree.forget()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_product_links_rank_no_lines(spark, tmp_path):
+    """Products are told apart by the keys of their lines; places among the lines of an order are not asked for."""
+    folder = _tables(spark, tmp_path)
+    plan = corpus.shop_links(spark, folder, ["help"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
